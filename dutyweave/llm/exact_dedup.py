@@ -59,7 +59,8 @@ def heavy_groups(rows: DataFrame, max_tracked: int = MAX_TRACKED, top_k: int = T
     sketches = keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")).agg(
         F.expr(f"approx_top_k_accumulate(k, {max_tracked})").alias("s")
     )
-    named = sketches.agg(F.expr(f"approx_top_k_combine(s, {max_tracked})").alias("s")).select(
+    # grouped by a constant: an ungrouped aggregate would merge the untyped sketches of empty partitions
+    named = sketches.groupBy(F.lit("all").alias("g")).agg(F.expr(f"approx_top_k_combine(s, {max_tracked})").alias("s")).select(
         F.explode(F.expr(f"approx_top_k_estimate(s, {top_k})")).alias("e")
     )
     named = named.where("e.count > 1").select(F.col("e.item").alias("k"))

@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dutyweave.llm import exact_dedup
+from dutyweave.llm import exact_dedup, mixing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op4_mix_sources": mixing.op4_mix_sources,
+        "op6_url_filter": url_filter.op6_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op6_url_filter": url_filter.ORACLE,
     }

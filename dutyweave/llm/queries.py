@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dutyweave.llm import collision_search, exact_dedup, language_id, mixing, piece_sampling, url_filter
+from dutyweave.llm import collision_search, exact_dedup, language_id, mixing, personal_data, piece_sampling, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_collision_search": collision_search.op3_collision_search,
         "op4_mix_sources": mixing.op4_mix_sources,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_personal_data": personal_data.op7_personal_data,
         "op8_language_id": language_id.op8_language_id,
         "op10_piece_sampling": piece_sampling.op10_piece_sampling,
     }

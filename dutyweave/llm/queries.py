@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dutyweave.llm import collision_search, exact_dedup, language_id, mixing, personal_data, piece_sampling, toxicity, url_filter
+from dutyweave.llm import collision_search, exact_dedup, language_id, mixing, ngram_join, personal_data, piece_sampling, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_personal_data": personal_data.op7_personal_data,
         "op8_language_id": language_id.op8_language_id,
+        "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_piece_sampling": piece_sampling.op10_piece_sampling,
     }
 

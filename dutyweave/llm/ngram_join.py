@@ -52,6 +52,9 @@ PIECE = 1 << 22
 ODD = np.uint64(0xD1342543DE82EF95)
 ODD_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 SALT = np.uint64(0xA0761D6478BD642F)
+MAX_WORDS = 64
+#: Independent odd factors of a shingle's words.
+FACTORS = splitmix(np.arange(MAX_WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -89,14 +92,14 @@ def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
         with np.errstate(over="ignore"):
             mixed = np.zeros(len(h), np.uint64)
             for k in range(words):
-                mixed[: len(h) - k] += np.roll(h, -k)[: len(h) - k] * (ODD + np.uint64(2 * k) * SALT | np.uint64(1))
+                mixed[: len(h) - k] += np.roll(h, -k)[: len(h) - k] * FACTORS[k]
             mixed = splitmix(mixed)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
             if b - a >= words:
                 yield np.unique(mixed[a : b - words + 1])
             elif b > a:
                 with np.errstate(over="ignore"):
-                    part = (h[a:b] * (ODD + np.arange(b - a, dtype=np.uint64) * np.uint64(2) * SALT | np.uint64(1))).sum(dtype=np.uint64)
+                    part = (h[a:b] * FACTORS[: b - a]).sum(dtype=np.uint64)
                 yield splitmix(np.array([part + np.uint64(b - a)]))
             else:
                 yield h[:0]

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dutyweave.llm.batches import per_batch, small_batches
 from dutyweave.llm.components import connected_components
@@ -153,49 +154,67 @@ def signatures(s: np.ndarray, hot: np.ndarray, hot_rank: np.ndarray, boundary: i
     return np.concatenate(found)
 
 
-def _hot_tokens(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """Frequent tokens with their rank, and the number of sets of each size, over all documents."""
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = list(shingle_sets(batch.column("text").to_pylist(), words))
-        token, n = np.unique(np.concatenate(sets), return_counts=True)
-        often = n >= max(2, HOT_SHARE * len(sets))
-        size, m = np.unique(np.array([len(s) for s in sets]), return_counts=True)
-        kind = np.repeat([0, 1], [int(often.sum()), len(size)]).astype(np.int32)
-        key = np.concatenate([token[often].view(np.int64), size.astype(np.int64)])
-        return pa.record_batch([pa.array(kind), pa.array(key), pa.array(np.concatenate([n[often], m]).astype(np.int64))], ["kind", "key", "n"])
-
-    counted = stage(docs.select("text").mapInArrow(per_batch(count), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "token-counts")
-    sizes = {r["key"]: r["n"] for r in counted.where("kind = 1").collect()}  # one row a distinct size
-    least = HOT_SHARE * sum(sizes.values())
-    # at most (mean set size) / HOT_SHARE tokens can be so frequent; the order they define need not be complete
-    rows = counted.where((F.col("kind") == 0) & (F.col("n") >= least)).orderBy(F.desc("n"), "key").limit(MAX_HOT).toPandas()
-    hot, rank = rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+def _profile(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n, d1, d2, cells, tokens) of every document; the first row of a batch also carries its frequent tokens."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, d1, d2, cells, sets = [], [], [], [], []
+        for s in shingle_sets(batch.column("text").to_pylist(), words):
+            n.append(len(s))
+            a, b = digest(s)
+            d1.append(a)
+            d2.append(b)
+            cells.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+            sets.append(s)
+        token, count = np.unique(np.concatenate(sets), return_counts=True)
+        often = count >= max(2, HOT_SHARE * len(sets))
+        frequent = [{"h": int(h), "n": int(c)} for h, c in zip(token[often].view(np.int64), count[often])]
+        kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
+        return pa.record_batch(
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(cells, pa.binary()), pa.array([frequent] + [[]] * (len(n) - 1), kind)],
+            ["doc_id", "n", "d1", "d2", "cells", "frequent"],
+        )
+
+    return docs.mapInArrow(per_batch(run), "doc_id long, n long, d1 long, d2 long, cells binary, frequent array<struct<h:long,n:long>>")
+
+
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that name a set."""
+    with np.errstate(over="ignore"):
+        return int(s.sum(dtype=np.uint64).astype(np.int64)), int(splitmix(s ^ SALT).sum(dtype=np.uint64).astype(np.int64))
+
+
+def _hot_tokens(profile: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens frequent in the corpus, sorted, with their counts; at most (mean set size) / HOT_SHARE can be."""
+    counted = profile.select(F.explode("frequent").alias("f")).groupBy("f.h").agg(F.sum("f.n").alias("n"))
+    found = counted.where(F.col("n") >= max(LONG_LIST, HOT_SHARE * rows)).orderBy(F.desc("n"), "h").limit(MAX_HOT).toPandas()
+    hot, count = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     by = np.argsort(hot)
-    return hot[by], rank[by], sizes
+    return hot[by], count[by]
 
 
-def _profile(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, d1, d2, cells, sigs) of every document."""
-    hot, rank, sizes = _hot_tokens(docs, words)
+def _signatures(docs: DataFrame, profile: DataFrame, words: int, percent: int) -> DataFrame:
+    """(h, node, hot): lists and subsets that each distinct set enters; node names the set. Copies in one batch enter once."""
+    sizes = {r["n"]: r["count"] for r in profile.groupBy("n").count().collect()}  # one row a distinct size
+    hot, rank = _hot_tokens(profile, sum(sizes.values()))
     boundary = choose_boundary(sizes, percent)
-    shared = docs.sparkSession.sparkContext.broadcast((hot, rank))
+    shared = docs.sparkSession.sparkContext.broadcast((hot, rank, np.sort(splitmix(hot))))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hot, rank = shared.value
-        n, d1, d2, cells, sigs = [], [], [], [], []
+        hot, rank, hot_lists = shared.value
+        done, h, node = set(), [], []
         for s in shingle_sets(batch.column("text").to_pylist(), words):
-            n.append(len(s))
-            with np.errstate(over="ignore"):
-                d1.append(np.int64(s.sum(dtype=np.uint64).astype(np.int64)))
-                d2.append(np.int64(splitmix(s ^ SALT).sum(dtype=np.uint64).astype(np.int64)))
-            cells.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
-            sigs.append(signatures(s, hot, rank, boundary, percent).view(np.int64))
-        ends = np.append(0, np.cumsum([len(x) for x in sigs])).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs)))
-        return pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(cells, pa.binary()), lists], ["doc_id", "n", "d1", "d2", "cells", "sigs"])
+            name = digest(s)
+            if name not in done:
+                done.add(name)
+                h.append(signatures(s, hot, rank, boundary, percent))
+                node.append(np.full(len(h[-1]), name[0], np.int64))
+        h, node = np.concatenate(h), np.concatenate(node)
+        at = np.minimum(np.searchsorted(hot_lists, h), max(0, len(hot_lists) - 1))
+        is_hot = hot_lists[at] == h if len(hot_lists) else np.zeros(len(h), bool)
+        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(node), pa.array(is_hot)], ["h", "node", "hot"])
 
-    return docs.mapInArrow(per_batch(run), "doc_id long, n long, d1 long, d2 long, cells binary, sigs array<long>")
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(per_batch(run), "h long, node long, hot boolean")
 
 
 def _root(parent: np.ndarray, i: int) -> int:
@@ -236,7 +255,7 @@ def _neighbours(percent: int):
             if not batch.num_rows:
                 continue
             cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-            part = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "doc_id", "n")), cells)
+            part = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "node", "n")), cells)
             if held is not None:
                 part = tuple(np.concatenate([a, b]) for a, b in zip(held, part, strict=True))
             cut = int(np.flatnonzero(np.concatenate([[True], part[0][1:] != part[0][:-1]]))[-1])
@@ -286,21 +305,24 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """(doc_id, n_shingles, component_id) of every row of docs with (doc_id, text)."""
     small_batches(docs.sparkSession)
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stage(_profile(ready, words, percent), "shingle-profiles")
-    classes = profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
+    profile = stage(_profile(ready, words), "shingle-profiles")
+    classes = profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("cells").alias("cells"))
     classes = stage(classes, "shingle-classes")
-    heads = profile.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi")
-    entries = stage(heads.select("doc_id", F.explode("sigs").alias("h")), "signatures")
-    lists = entries.groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("doc_id").alias("lead")).where("held > 1")
-    shared = stage(entries.join(lists, "h"), "shared-signatures")
-    long_edges = shared.where((F.col("held") > LONG_LIST) & (F.col("doc_id") != F.col("lead"))).select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    short = shared.where(F.col("held") <= LONG_LIST).select("doc_id", "h").join(heads.select("doc_id", "n", "cells"), "doc_id")
-    short = short.repartition(F.col("h")).sortWithinPartitions("h", "doc_id")
-    near = short.select("h", "doc_id", "n", "cells").mapInArrow(_neighbours(percent), "a long, b long")
+    # node names may clash; that only widens candidate groups, which are verified
+    # lists of hot tokens are spread by set here, and counted as long without being gathered
+    spread = F.when(F.col("hot"), F.xxhash64("h", "node")).otherwise(F.col("h"))
+    entries = _signatures(ready, profile, words, percent).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(spread)))
+    entries = entries.withColumn("held", F.when(F.col("hot"), F.lit(LONG_LIST + 1)).otherwise(F.col("held"))).where("held > 1")
+    entries = stage(entries, "shared-signatures")
+    long_edges = entries.where(F.col("held") > LONG_LIST).select(F.col("node").alias("a"), F.col("h").alias("b")).distinct()
+    short = entries.where(F.col("held") <= LONG_LIST).select("h", "node").distinct()
+    short = short.join(classes.select(F.col("d1").alias("node"), "n", "cells"), "node")
+    short = short.repartition(F.col("h")).sortWithinPartitions("h", "node")
+    near = short.select("h", "node", "n", "cells").mapInArrow(_neighbours(percent), "a long, b long")
     groups = connected_components(near.unionByName(long_edges))
-    groups = stage(groups.join(heads.select(F.col("doc_id").alias("node"), "n"), "node"), "candidate-groups")
-    weight = groups.groupBy("component").agg(F.sum("n").alias("tokens"))
-    dealt = groups.join(weight, "component").select(F.col("node").alias("doc_id"), "component", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    groups = stage(groups.join(classes.select(F.col("d1").alias("node"), "n", "rep"), "node"), "candidate-groups")
+    weight = groups.groupBy("component").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    dealt = groups.join(weight, "component").select(F.col("rep").alias("doc_id"), "component", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
     with_text = ready.join(dealt, "doc_id")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:

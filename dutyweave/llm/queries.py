@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dutyweave.llm import collision_search, exact_dedup, language_id, mixing, ngram_join, personal_data, piece_sampling, toxicity, url_filter
+import corpus_pipeline
+from dutyweave.llm import collision_search, exact_dedup, language_id, mixing, ngram_join, personal_data, piece_sampling, suffix_dedup, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,11 +16,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_collision_search": collision_search.op3_collision_search,
         "op4_mix_sources": mixing.op4_mix_sources,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_personal_data": personal_data.op7_personal_data,
         "op8_language_id": language_id.op8_language_id,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_piece_sampling": piece_sampling.op10_piece_sampling,
+        "pipeline": corpus_pipeline.run,
     }
 
 

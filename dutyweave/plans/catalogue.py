@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dutyweave.plans import requirement_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+GROUPS = (requirement_queries,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for g in GROUPS for name, (q, _) in g.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for g in GROUPS for name, (_, sql) in g.QUERIES.items() if sql}

@@ -65,7 +65,7 @@ def threshold_holds(op: Column, percent: Column, value: Column) -> Column:
 
 def quantities(text: Column) -> Column:
     """array<struct<value, unit>> of numbers with a unit."""
-    pattern = r"(\d+(?:\.\d+)?)\s*(kg|g|mg|ml|l|cm|mm|%)\b"
+    pattern = r"(\d+(?:\.\d+)?)\s*(kg|g|mg|ml|l|cm|mm|%|eur)(?:\W|$)"
     low = F.lower(F.coalesce(text, F.lit("")))
     return F.arrays_zip(
         F.regexp_extract_all(low, F.lit(pattern), F.lit(1)).alias("value"), F.regexp_extract_all(low, F.lit(pattern), F.lit(2)).alias("unit")

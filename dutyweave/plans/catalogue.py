@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dutyweave.plans import requirement_queries
+from dutyweave.plans import classify_queries, hierarchy_queries, requirement_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-GROUPS = (requirement_queries,)
+GROUPS = (requirement_queries, text_queries, hierarchy_queries, classify_queries)
 
 
 def queries() -> dict[str, Query]:

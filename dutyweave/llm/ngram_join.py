@@ -10,7 +10,7 @@ enumerate the 2-subsets of that prefix for h = 2; heavy sets enter the inverted
 of its single tokens for h = 1; sets close below the boundary do both. The boundary
 minimises the modelled cost over the counted sizes.
 
-Sets that share a list or subset become neighbours if sizes and 64-cell histograms
+Sets that share a list or subset become neighbours if sizes and histograms of hashes
 allow the similarity (the histograms' distance never exceeds the symmetric
 difference, so no link is lost). Components of these neighbours are candidate groups;
 a group's sets meet once and all its links are verified exactly by scanning the
@@ -41,14 +41,13 @@ from dutyweave.staging import stage
 
 WORDS = 5
 PERCENT = 80
-HOT_SHARE = 0.005
+HOT_SHARE = 0.002
 MAX_HOT = 1 << 20
 #: Cost of an inverted-list entry against that of an enumerated subset.
 LIST_COST = 4.0
-#: Lists longer than this join all their sets as neighbours unseen; verification is exact anyway.
-LONG_LIST = 512
+#: Lists longer than this are split into blocks, of which every pair meets.
+LONG_LIST = 2048
 BLOCK_TOKENS = 1 << 19
-CELLS = 64
 PIECE = 1 << 22
 ODD = np.uint64(0xD1342543DE82EF95)
 ODD_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
@@ -164,7 +163,7 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
             a, b = digest(s)
             d1.append(a)
             d2.append(b)
-            cells.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+            cells.append(cells_of(s))
             sets.append(s)
         token, count = np.unique(np.concatenate(sets), return_counts=True)
         often = count >= max(2, HOT_SHARE * len(sets))
@@ -187,7 +186,7 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 def _hot_tokens(profile: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens frequent in the corpus, sorted, with their counts; at most (mean set size) / HOT_SHARE can be."""
     counted = profile.select(F.explode("frequent").alias("f")).groupBy("f.h").agg(F.sum("f.n").alias("n"))
-    found = counted.where(F.col("n") >= max(LONG_LIST, HOT_SHARE * rows)).orderBy(F.desc("n"), "h").limit(MAX_HOT).toPandas()
+    found = counted.where(F.col("n") >= max(64, HOT_SHARE * rows)).orderBy(F.desc("n"), "h").limit(MAX_HOT).toPandas()
     hot, count = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     by = np.argsort(hot)
     return hot[by], count[by]
@@ -224,37 +223,63 @@ def _root(parent: np.ndarray, i: int) -> int:
     return i
 
 
+def cells_of(s: np.ndarray) -> bytes:
+    """Histogram of a set over its hashes' leading bits; more cells for large sets, so that chance differences outgrow the bound."""
+    bits = min(13, max(6, int(len(s) - 1).bit_length() - 3)) if len(s) else 6
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _matrix(cells: np.ndarray, width: int) -> np.ndarray:
+    """Histograms [n, width]; wider ones are folded."""
+    return np.stack([np.frombuffer(c, np.uint8).astype(np.int16).reshape(width, -1).sum(1) for c in cells]) if len(cells) else np.zeros((0, width), np.int16)
+
+
 def _neighbours(percent: int):
-    """Over rows sorted by list: spanning edges between sets of one list whose sizes and histograms allow a link."""
+    """Over rows sorted by list and size: spanning edges between sets of one list whose sizes and histograms allow a link.
+
+    Saturated cells and folding only lower the histograms' distance.
+    """
 
-    def allowed(n: np.ndarray, c: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
-        apart = np.abs(c - d).sum(-1, dtype=np.int64)
-        small, large = np.minimum(n, m), np.maximum(n, m)
-        return (small * 100 >= percent * large) & (apart * (100 + percent) <= (100 - percent) * (n + m))
+    def allowed(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        return (np.minimum(n, m) * 100 >= percent * np.maximum(n, m)) & (apart * (100 + percent) <= (100 - percent) * (n + m))
 
-    def edges(h: np.ndarray, doc: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[np.ndarray]:
+    def edges(h: np.ndarray, node: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[np.ndarray]:
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(start, len(h)))
+        width = np.array([len(x) for x in c], np.int64)
         two = start[size == 2]
-        ok = two[allowed(n[two], c[two], n[two + 1], c[two + 1])]
-        yield np.stack([doc[ok], doc[ok + 1]], 1)
+        two = two[n[two] * 100 >= percent * n[two + 1]]
+        for w in np.unique(width[two]):
+            at = two[width[two] == w]
+            ok = at[allowed(n[at], n[at + 1], np.abs(_matrix(c[at], w) - _matrix(c[at + 1], w)).sum(1, dtype=np.int64))]
+            yield np.stack([node[ok], node[ok + 1]], 1)
         for a, k in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-            parent = np.arange(k)
+            parent, sizes, wide = np.arange(k), n[a : a + k], width[a : a + k]
+            low = np.searchsorted(sizes * 100, sizes * percent)
+            begin = {int(w): int(np.searchsorted(wide, w)) for w in np.unique(wide)}
+            matrix = {w: _matrix(c[a + f : a + int(np.searchsorted(wide, w, "right"))], w) for w, f in begin.items()}
             for i in range(1, k):
-                for j in np.flatnonzero(allowed(n[a + i], c[a + i], n[a : a + i], c[a : a + i])).tolist():
-                    x, y = _root(parent, i), _root(parent, j)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
+                for w, f in begin.items():
+                    x, y = max(int(low[i]), f), min(i, f + len(matrix[w]))
+                    if x >= y or w > wide[i]:
+                        continue
+                    mine = _matrix(c[a + i : a + i + 1], w)[0]
+                    apart = np.abs(matrix[w][x - f : y - f] - mine).sum(1, dtype=np.int64)
+                    for j in (x + np.flatnonzero(allowed(sizes[i], sizes[x:y], apart))).tolist():
+                        p, q = _root(parent, i), _root(parent, j)
+                        if p != q:
+                            parent[max(p, q)] = min(p, q)
             roots = np.array([_root(parent, i) for i in range(k)])
             far = np.flatnonzero(roots != np.arange(k))
-            yield np.stack([doc[a + far], doc[a + roots[far]]], 1)
+            yield np.stack([node[a + far], node[a + roots[far]]], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+            cells = np.empty(batch.num_rows, object)
+            cells[:] = batch.column("cells").to_pylist()
             part = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in ("h", "node", "n")), cells)
             if held is not None:
                 part = tuple(np.concatenate([a, b]) for a, b in zip(held, part, strict=True))
@@ -266,7 +291,8 @@ def _neighbours(percent: int):
             yield table(edges(*held))
 
     def table(parts: Iterator[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(list(parts)).astype(np.int64), axis=0)
+        found = [np.zeros((0, 2), np.int64), *parts]
+        pairs = np.unique(np.concatenate(found).astype(np.int64), axis=0)
         return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
@@ -309,17 +335,19 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("cells").alias("cells"))
     classes = stage(classes, "shingle-classes")
     # node names may clash; that only widens candidate groups, which are verified
-    # lists of hot tokens are spread by set here, and counted as long without being gathered
+    # lists of hot tokens are spread by set here, so that none is gathered to be counted
     spread = F.when(F.col("hot"), F.xxhash64("h", "node")).otherwise(F.col("h"))
     entries = _signatures(ready, profile, words, percent).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(spread)))
-    entries = entries.withColumn("held", F.when(F.col("hot"), F.lit(LONG_LIST + 1)).otherwise(F.col("held"))).where("held > 1")
-    entries = stage(entries, "shared-signatures")
-    long_edges = entries.where(F.col("held") > LONG_LIST).select(F.col("node").alias("a"), F.col("h").alias("b")).distinct()
-    short = entries.where(F.col("held") <= LONG_LIST).select("h", "node").distinct()
-    short = short.join(classes.select(F.col("d1").alias("node"), "n", "cells"), "node")
-    short = short.repartition(F.col("h")).sortWithinPartitions("h", "node")
-    near = short.select("h", "node", "n", "cells").mapInArrow(_neighbours(percent), "a long, b long")
-    groups = connected_components(near.unionByName(long_edges))
+    entries = stage(entries.where("held > 1 OR hot").select("h", "node", "hot"), "shared-signatures").distinct()
+    lists = entries.groupBy("h").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    short = entries.join(lists, "h").join(classes.select(F.col("d1").alias("node"), "n", "cells"), "node")
+    blocks = F.ceil(F.col("held") / LONG_LIST).cast("int")
+    mine = F.pmod(F.xxhash64("node", "h"), blocks).cast("int")
+    short = short.select("h", "node", "n", "cells", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    list_key = F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))  # a clash only compares more sets
+    short = short.select(list_key.alias("h"), "node", "n", "cells").repartition(F.col("h")).sortWithinPartitions("h", "n")
+    near = short.mapInArrow(_neighbours(percent), "a long, b long")
+    groups = connected_components(near)
     groups = stage(groups.join(classes.select(F.col("d1").alias("node"), "n", "rep"), "node"), "candidate-groups")
     weight = groups.groupBy("component").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     dealt = groups.join(weight, "component").select(F.col("rep").alias("doc_id"), "component", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))

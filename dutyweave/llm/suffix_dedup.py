@@ -39,9 +39,9 @@ WINDOW = 50
 GRAM = 20
 PER = WINDOW - GRAM + 1
 SHARD_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 SEGMENT = (1 << 20) - 64
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -59,7 +59,7 @@ def _eights(data: np.ndarray) -> np.ndarray:
 
 def _gram(w: np.ndarray, a, b, c) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _mix(w[a] * FACTORS[0] + _mix(w[b]) * FACTORS[1] + _mix(w[c] * FACTORS[2]))
+        return _mix(w[a] * FACTORS[0] + w[b] * FACTORS[1] + w[c] * FACTORS[2])
 
 
 def gram_at(w: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -118,7 +118,8 @@ class Shard:
             near = gram_at(w, self.lo) * FACTORS[0] + gram_at(w, self.lo + GRAM) * FACTORS[1]
             near = _mix(near) * FACTORS[2] + gram_at(w, np.minimum(self.lo + 2 * GRAM, self.hi + PER - 1)) * FACTORS[3] + gram_at(w, self.hi + PER - 1) * FACTORS[4]
             near = _mix(near + ((self.anchor - self.lo) * 64 + self.hi - self.lo).astype(np.uint64) * FACTORS[5]) & LOW48
-        order = np.lexsort((number[self.doc], near, h))
+        with np.errstate(over="ignore"):  # anchors are in order of doc_id, so the first of equal ones has the smallest
+            order = np.argsort(h * FACTORS[1] + near * FACTORS[2], kind="stable")
         h, near = h[order], near[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (near[1:] != near[:-1])
@@ -131,7 +132,7 @@ class Shard:
     def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Entries in order of bucket, and where each bucket begins."""
         of = (self.h % np.uint64(buckets)).astype(np.int64)
-        return np.argsort(of, kind="stable"), np.searchsorted(np.sort(of), np.arange(buckets + 1))
+        return np.argsort(of, kind="stable"), np.append(0, np.cumsum(np.bincount(of, minlength=buckets)))
 
     def answers(self, table: pa.Table, buckets: int, part: str) -> tuple[np.ndarray, np.ndarray]:
         """Entry and code of every answer of one part."""

@@ -159,3 +159,40 @@ def tie_break(siblings: DataFrame, votes: DataFrame) -> DataFrame:
     j = siblings.join(v, "code", "left").withColumn("ok", F.coalesce(F.col("n_refs") >= 2, F.lit(False)))
     j = j.withColumn("tied", (F.min("score").over(w) == F.max("score").over(w)) & (F.count_if(F.col("decision") == "undecided").over(w) == F.count(F.lit(1)).over(w)))
     return j.withColumn("n_ok", F.count_if("ok").over(w)).where("tied AND ok AND n_ok = 1").select("product", "parent", "code", "n_refs")
+
+
+def gate_confirmed(rolled: DataFrame, details: DataFrame, weak: list[str]) -> DataFrame:
+    """A confirmed code falls back to undecided when only states, or only matches without a typed field, made it true."""
+    t = details.where("verdict").groupBy("product", "code").agg(
+        F.every(F.col("cond").isin("processing_state", "preservation_state", "physical_form")).alias("states"), F.bool_or(~F.col("source").isin(*weak)).alias("typed")
+    )
+    j = rolled.join(t, ["product", "code"], "left")
+    bad = F.coalesce("states", F.lit(False)) | ~F.coalesce("typed", F.lit(False))
+    return j.select("product", "code", F.when((F.col("decision") == "confirmed") & bad, "undecided").otherwise(F.col("decision")).alias("decision"))
+
+
+def final_candidates(ranked: DataFrame, codes: DataFrame, k: int) -> DataFrame:
+    """Details of each product's first k candidates, in rank order."""
+    return top_k(ranked.join(codes, "code"), ["product"], [F.col("rank"), F.col("code")], k)
+
+
+def ruling_pool(codes: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """Rulings of a code's 8-, 6- or 4-digit scope over several tables; of a repeated reference the first table's, nearest scope first."""
+    pool = None
+    for i, t in enumerate(tables):
+        part = t.withColumn("source", F.lit(i))
+        pool = part if pool is None else pool.unionByName(part, allowMissingColumns=True)
+    widths = F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(w).alias("w")) for i, w in enumerate((8, 6, 4))])).alias("t")
+    a = codes.select("product", "code10", widths).select("product", "t.tier", F.left("code10", F.col("t.w")).alias("prefix"))
+    b = pool.select("ref", "source", "code10", widths).select("ref", "source", "t.tier", F.left("code10", F.col("t.w")).alias("prefix"))
+    order = Window.partitionBy("product", "ref").orderBy("source", "tier")
+    return a.join(b, ["tier", "prefix"]).withColumn("r", F.row_number().over(order)).where("r = 1").select("product", "ref", "source", "tier")
+
+
+def state_conflict(products: DataFrame, qualifiers: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """A confirmed code falls back when the product's words occur in a sibling's set but not in its own."""
+    own = products.join(qualifiers, "word").select("product", "parent", "code").distinct()
+    any_own = own.groupBy("product", "parent").agg(F.collect_set("code").alias("hit"))
+    j = verdicts.join(any_own, ["product", "parent"], "left")
+    clash = F.coalesce((F.size("hit") > 0) & ~F.array_contains("hit", F.col("code")), F.lit(False))
+    return j.select("product", "parent", "code", F.when(clash & (F.col("decision") == "confirmed"), "undecided").otherwise(F.col("decision")).alias("decision"), clash.alias("conflict"))

@@ -98,3 +98,34 @@ def screen_substances(entries: DataFrame, lists: DataFrame) -> DataFrame:
     key = F.regexp_replace(F.lower("name"), r"[^a-z0-9]+", "")
     by_name = rest.withColumn("k", key).join(lists.select(key.alias("k"), "list_name").where("k <> ''").distinct(), "k")
     return by_cas.unionByName(by_name.select("entry_id", "list_name", F.lit("name").alias("how")))
+
+
+def load_forms(forms: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Header table, and one row a product and form of ;-lists, links to unknown forms dropped."""
+    heads = forms.dropDuplicates(["form"])
+    each = links.select("product", F.explode(F.split("forms", ";")).alias("form")).withColumn("form", F.trim("form")).where("form <> ''")
+    return heads, each.join(heads, "form", "left_semi").dropDuplicates(["product", "form"])
+
+
+def route_documents(files: DataFrame) -> DataFrame:
+    """Kind of each file by words of its name, food by default; kinds without a parser pass as stubs."""
+    low = F.lower("name")
+    kind = F.when(low.rlike("coa|certificate"), "certificate").when(low.rlike("inci|cosmetic"), "cosmetics").when(low.rlike("msds|sds"), "safety").otherwise("food")
+    return files.withColumn("kind", kind).withColumn("status", F.when(F.col("kind") == "safety", "stub").otherwise("parsed"))
+
+
+def explode_runs(runs: DataFrame) -> DataFrame:
+    """Nested run documents (JSON text) to one row a stage, candidate and detail."""
+    schema = "struct<stages:array<struct<level:int,candidates:array<struct<code:string,details:array<struct<axis:string,verdict:string>>>>>>>"
+    s = runs.select("run", F.explode_outer(F.from_json("payload", schema)["stages"]).alias("s"))
+    c = s.select("run", F.col("s.level").alias("level"), F.explode_outer("s.candidates").alias("c"))
+    return c.select("run", "level", F.col("c.code").alias("code"), F.explode_outer("c.details").alias("d")).select("run", "level", "code", "d.axis", "d.verdict")
+
+
+def flatten_package_documents(packages: DataFrame, fallback: DataFrame) -> DataFrame:
+    """Document list of each package: exempted ones skipped, unique keys by suffix, measure names where nothing is left."""
+    d = packages.where("status <> 'exempted'").withColumn("key", F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"))
+    r = F.row_number().over(Window.partitionBy("package", "key").orderBy("pos"))
+    d = d.withColumn("r", r).withColumn("key", F.when(F.col("r") > 1, F.concat("key", F.lit("_"), F.col("r").cast("string"))).otherwise(F.col("key")))
+    rest = fallback.join(d.select("package").distinct(), "package", "left_anti")
+    return d.select("package", "key", "name").unionByName(rest.select("package", F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-").alias("key"), "name"))

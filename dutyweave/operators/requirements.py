@@ -161,3 +161,56 @@ def route_domains(goods: DataFrame, chapter_domains: DataFrame, keyword_domains:
     return joined.select(
         "p_partkey", F.coalesce(F.array_join("d", ";"), F.lit("")).alias("domains"), (n > 1).alias("ambiguous"), F.when(n == 1, 0.8).when(n > 1, 0.5).otherwise(0.2).alias("confidence")
     )
+
+
+def attach_acts(measures: DataFrame, acts: DataFrame, chunks: DataFrame, clip: int = 200) -> DataFrame:
+    """Act of each legal base with its text assembled in chunk order and clipped."""
+    texts = chunks.groupBy("act_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), " ").alias("act_text"))
+    named = acts.join(texts, "act_id", "left")
+    return measures.join(named, "legal_base", "left").withColumn("act_text", F.left(F.coalesce("act_text", F.lit("")), F.lit(clip)))
+
+
+def scope_join_domain(products: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents whose ;-list of domains holds one of the product's, or all."""
+    want = documents.select("document", F.explode(F.split("domains", ";")).alias("domain"))
+    have = products.select("product", F.explode(F.split("domains", ";")).alias("domain")).where("domain <> ''")
+    have = have.unionByName(products.select("product", F.lit("all").alias("domain")))
+    return have.join(want, "domain").select("product", "document").distinct()
+
+
+def match_guidelines(certificates: DataFrame, mapping: DataFrame, excluded: DataFrame) -> DataFrame:
+    """First row of each guideline a product's codes lead to, exact codes first, groups reached otherwise left out."""
+    j = certificates.join(mapping, F.col("certificate").startswith(F.col("prefix")) & (F.left("certificate", F.lit(1)) == F.left("prefix", F.lit(1))))
+    j = j.join(excluded.select("product", "guideline"), ["product", "guideline"], "left_anti")
+    order = Window.partitionBy("product", "guideline").orderBy(F.desc(F.col("certificate") == F.col("prefix")), "certificate", "prefix")
+    return j.withColumn("r", F.row_number().over(order)).where("r = 1").select("product", "guideline", "certificate", "prefix")
+
+
+def bind_documents(details: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Documents bound to a subject's details, each with its strictest level and its sorted fields."""
+    rank = F.when(F.col("level") == "mandatory", 0).when(F.col("level") == "conditional", 1).otherwise(2)
+    return details.join(bindings, "detail").groupBy("subject", "document").agg(
+        F.min_by("level", rank).alias("level"), F.array_join(F.sort_array(F.collect_set("field")), ";").alias("fields"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def required_documents(groups: DataFrame) -> DataFrame:
+    """Each certificate once, with its first measure kind; exemption and preferential kinds left out."""
+    kind = duty.certificate_kind(F.col("certificate"))
+    return groups.where(~kind.isin("exemption", "preferential")).groupBy("certificate").agg(F.min("measure_type_code").alias("first_kind"), F.countDistinct("legal_base").alias("bases"))
+
+
+def signals(packages: DataFrame) -> DataFrame:
+    """Reasons to step back: no measures for a code, an ambiguous domain."""
+    none = packages.where("n_measures = 0").select("product", F.lit("no_measures").alias("signal"))
+    return none.unionByName(packages.where("ambiguous").select("product", F.lit("ambiguous_domain").alias("signal")))
+
+
+def document_family(name):
+    """Family of a document from words of its name, cosmetics first."""
+    low = F.lower(name)
+    families = [("cosmetics", "cosmetic|cpnp"), ("health", "health|sanitary|veterinary"), ("plant", "plant|phyto"), ("origin", "origin|eur.1"), ("transport", "invoice|packing|lading")]
+    out = None
+    for family, pattern in families:
+        out = F.when(low.rlike(pattern), family) if out is None else out.when(low.rlike(pattern), family)
+    return out.otherwise("other")

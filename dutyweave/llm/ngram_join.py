@@ -244,6 +244,9 @@ def _neighbours(percent: int):
         return (np.minimum(n, m) * 100 >= percent * np.maximum(n, m)) & (apart * (100 + percent) <= (100 - percent) * (n + m))
 
     def edges(h: np.ndarray, node: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[np.ndarray]:
+        new = np.ones(len(h), bool)  # copies in several batches enter a list several times, side by side
+        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        h, node, n, c = h[new], node[new], n[new], c[new]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.append(start, len(h)))
         width = np.array([len(x) for x in c], np.int64)
@@ -338,20 +341,23 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # lists of hot tokens are spread by set here, so that none is gathered to be counted
     spread = F.when(F.col("hot"), F.xxhash64("h", "node")).otherwise(F.col("h"))
     entries = _signatures(ready, profile, words, percent).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(spread)))
-    entries = stage(entries.where("held > 1 OR hot").select("h", "node", "hot"), "shared-signatures").distinct()
-    lists = entries.groupBy("h").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    short = entries.join(lists, "h").join(classes.select(F.col("d1").alias("node"), "n", "cells"), "node")
+    entries = stage(entries.where("held > 1 OR hot"), "shared-signatures")
+    hot = entries.where("hot").select("h", "node")
+    hot = hot.join(hot.groupBy("h").agg(F.count(F.lit(1)).alias("held")), "h")
+    short = entries.where("NOT hot").select("h", "node", "held").unionByName(hot)
+    short = short.join(classes.select(F.col("d1").alias("node"), "n", "cells"), "node")
     blocks = F.ceil(F.col("held") / LONG_LIST).cast("int")
     mine = F.pmod(F.xxhash64("node", "h"), blocks).cast("int")
     short = short.select("h", "node", "n", "cells", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     list_key = F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))  # a clash only compares more sets
-    short = short.select(list_key.alias("h"), "node", "n", "cells").repartition(F.col("h")).sortWithinPartitions("h", "n")
+    short = short.select(list_key.alias("h"), "node", "n", "cells").repartition(F.col("h")).sortWithinPartitions("h", "n", "node")
     near = short.mapInArrow(_neighbours(percent), "a long, b long")
     groups = connected_components(near)
     groups = stage(groups.join(classes.select(F.col("d1").alias("node"), "n", "rep"), "node"), "candidate-groups")
     weight = groups.groupBy("component").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
     dealt = groups.join(weight, "component").select(F.col("rep").alias("doc_id"), "component", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    with_text = ready.join(dealt, "doc_id")
+    # the same plan at every size: texts meet their groups in a shuffle
+    with_text = ready.join(dealt.hint("shuffle_merge"), "doc_id")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)]

@@ -114,7 +114,7 @@ def mix_rows(rows: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, sha
     quotas = apportion(shards, ["_rank"], "_shard", "_z", "_seats").select("_rank", "_shard", "_z", "quota")
     quotas = stage(quotas, "mix-shards")
     t = sharded(rows).join(quotas, ["_rank", "_shard"])
-    line = Window.partitionBy("_rank", "_shard").orderBy(F.xxhash64("_h"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("_rank", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("_c", F.coalesce(F.sum("size").over(line), F.lit(0)))
     words = F.least(F.col("quota") * block_words, 2 * F.col("_z"))
     t = t.withColumn("_full", F.when(F.col("_z") > 0, F.floor(words / F.col("_z"))).otherwise(F.lit(0)).cast("long"))
@@ -149,3 +149,30 @@ def mix_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = stage(document_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet")), "mix-sizes")
     return mix_rows(sizes, plan_from=sizes).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+g AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM g),
+c AS (SELECT *, [5.0, 2.0, 1.0][(rk - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS want FROM r),
+f AS (SELECT *, (want - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lv FROM c
+      WINDOW b AS (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, coalesce(least(cap, w * (SELECT lv FROM f WHERE cap / w > lv ORDER BY cap / w, rk LIMIT 1)), cap) AS target,
+             greatest(1, ceil(source_size / 262144))::BIGINT AS shards FROM f),
+q AS (SELECT rk, target / (2 * k + 1) AS v FROM t, unnest(range(0, CAST(target / 16 * 2 AS BIGINT) + 50)) AS u(k) WHERE target > 0),
+won AS (SELECT rk, count(*) AS seats FROM (SELECT rk, row_number() OVER (ORDER BY v DESC, rk) AS i FROM q) WHERE i <= (SELECT CAST(round(max(want) / 16) AS BIGINT) FROM t) GROUP BY rk),
+e AS (SELECT d.*, t.rk, t.source_size, t.target, h % shards AS shard, coalesce(seats, 0) AS seats FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN won USING (rk)),
+z AS (SELECT rk, shard, sum(size) AS z, max(seats) AS seats FROM e GROUP BY ALL),
+zq AS (SELECT rk, shard, seats, z / (2 * k + 1) AS v FROM z, unnest(range(0, CAST(z / 16 * 4 AS BIGINT) + 50)) AS u(k) WHERE z > 0),
+zw AS (SELECT rk, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY rk ORDER BY v DESC, shard) AS i FROM zq) WHERE i <= seats GROUP BY ALL),
+x AS (SELECT e.*, z.z, least(coalesce(quota, 0) * 16, 2 * z.z) AS words,
+             coalesce(sum(size) OVER (PARTITION BY e.rk, e.shard ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+      FROM e JOIN z USING (rk, shard) LEFT JOIN zw USING (rk, shard))
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(CASE WHEN z > 0 THEN words // z * size + greatest(0, least(size, words - words // z * z - c)) ELSE 0 END AS BIGINT) AS taken
+FROM x
+"""

@@ -29,5 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op4_mix_sources": mixing.ORACLE,
         "op6_url_filter": url_filter.ORACLE,
+        "op9_ngram_join": ngram_join.ORACLE,
     }

@@ -32,11 +32,11 @@ from pyspark.sql.window import Window
 
 from dutyweave.staging import stage
 
-PROJECTIONS = 48
+PROJECTIONS = 40
 #: Share of lines on which a row must collide: 2 Phi(1) - 1 less 2.3 standard deviations.
 THRESHOLD = 0.53
 WIDEN = 1.35
-INDEX_ROWS = 4096
+INDEX_ROWS = 16_384
 QUERY_ROWS = 1024
 
 

@@ -2,7 +2,8 @@
 
 A document is the set of its distinct word shingles, by 64-bit hash. Equal sets are
 one class with one representative. Tokens have one global order: rare ones by hash,
-then those held by more than HOT_SHARE of a batch's documents, commonest last.
+then those held by more than HOT_SHARE of a batch's documents, commonest last and
+equally common ones by hash.
 
 Two sets with Jaccard similarity t overlap in at least ceil(t * larger) tokens, so
 the first n - ceil(t n) + h tokens of both share at least h. Light (small) sets
@@ -140,7 +141,7 @@ def signatures(s: np.ndarray, hot: np.ndarray, hot_rank: np.ndarray, boundary: i
     if len(hot):
         at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
         is_hot = hot[at] == s
-        order = np.concatenate([s[~is_hot], s[is_hot][np.argsort(hot_rank[at[is_hot]])]])
+        order = np.concatenate([s[~is_hot], s[is_hot][np.argsort(hot_rank[at[is_hot]], kind="stable")]])
     p = n - int(least_overlap(n, percent)) + 1
     found = []
     if n > boundary or n * 100 >= percent * boundary:

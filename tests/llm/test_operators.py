@@ -342,6 +342,44 @@ def test_ngram_join(spark, words, percent, monkeypatch):
     assert ngram_join.similar_groups(df.limit(0), words, percent).count() == 0
 
 
+@pytest.mark.parametrize("size", [60, 200, 600, 1500, 3000])
+def test_signatures_meet_where_counts_tie(size):
+    rng = np.random.default_rng(size)
+    for _ in range(20):
+        base, more = (rng.integers(0, 1 << 63, n, np.uint64) for n in (size, size // 5))
+        whole = np.unique(np.concatenate([base, more]))
+        counts = np.where(np.isin(whole, base), 1000, rng.integers(64, 999, len(whole)))
+        sets = [np.unique(base), whole, np.sort(rng.permutation(whole)[: size + size // 10])]
+        entered = [ngram_join.signatures(s, whole, counts, 50, 80) for s in sets]
+        for i, j in ((0, 1), (0, 2), (1, 2)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both * 180 >= 80 * (len(sets[i]) + len(sets[j])):
+                assert len(np.intersect1d(entered[i], entered[j]))
+
+
+def test_ngram_join_of_copies_with_longer_and_shorter_ones(spark):
+    rng, rows, known = random.Random(3), [], []
+    for size in (60, 200, 600, 1500):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+        for extra in [0] * 150 + list(range(1, size // 6, max(1, size // 60))):
+            known.append(size)
+            rows.append((len(rows), " ".join(words + [f"x{rng.randrange(10**9)}" for _ in range(extra)])))
+            if extra:
+                known.append(size)
+                rows.append((len(rows), " ".join(words[: size - extra])))
+    sets = word_sets(rows, 3)
+    parent = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if known[i] == known[j] and parent[i] != parent[j]:
+                a, b = sets[rows[i][0]], sets[rows[j][0]]
+                if len(a & b) * 180 >= 80 * (len(a) + len(b)):
+                    old, least = max(parent[i], parent[j]), min(parent[i], parent[j])
+                    parent = [least if p == old else p for p in parent]
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(parent))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7), (300, 100)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -18,7 +18,11 @@ where its anchor does.
    merged in by binary search. Every window learns the smallest document that holds it.
 4. Shards apply both answers to their documents.
 
-A hot anchor is one row a shard at most, however many documents hold it.
+A shard lists at most MANY surroundings of an anchor. An anchor with that many in all, not
+all equal, is hot: its windows are sorted one by one instead, each distinct window once a
+shard with the smallest doc_id there, dealt by the hash of the whole window. So no task
+holds all surroundings of a hot anchor, and equal windows still meet. Rows without a
+doc_id pass by the shards, and rows that share a doc_id are dealt by their texts too.
 
 Defined results for odd input: a null text counts as empty; texts shorter than WINDOW
 bytes lose nothing; a null doc_id loses nothing and removes nothing; rows with the same
@@ -32,7 +36,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 50
@@ -42,6 +46,10 @@ SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 SEGMENT = (1 << 20) - 64
 BLOCK_BYTES = 1 << 20
+#: Distinct surroundings from which on an anchor is hot.
+MANY = 256
+#: Buckets for windows of hot anchors, for each ordinary one.
+HOT_SPREAD = 4
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -129,14 +137,41 @@ class Shard:
         self.h, self.near, self.least, self.head = h[new], near[new], number[self.doc[head]], head
         self.number = number
 
-    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries in order of bucket, and where each bucket begins."""
-        of = (self.h % np.uint64(buckets)).astype(np.int64)
-        return np.argsort(of, kind="stable"), np.append(0, np.cumsum(np.bincount(of, minlength=buckets)))
-
-    def answers(self, table: pa.Table, buckets: int, part: str) -> tuple[np.ndarray, np.ndarray]:
+    def by_bucket(self, buckets: int, many: int = MANY) -> tuple[np.ndarray, np.ndarray]:
+        """Listed entries (the first `many` of each anchor) in order of bucket, and where each bucket begins."""
+        order = np.argsort(self.h, kind="stable")
+        h = self.h[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+        rank = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+        listed = np.sort(order[rank < many])
+        of = (self.h[listed] % np.uint64(buckets)).astype(np.int64)
+        return listed[np.argsort(of, kind="stable")], np.append(0, np.cumsum(np.bincount(of, minlength=buckets)))
+
+    def windows_of(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all windows of these entries' anchors: entry, bit, number; and of each number: position, hash, smallest doc_id. Equal windows share a number."""
+        mine = np.flatnonzero(np.isin(self.h, self.h[entry]))
+        lo = self.lo[self.head[mine]]
+        count = self.hi[self.head[mine]] - lo + 1
+        bit = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        at, owner, w = np.repeat(lo, count) + bit, np.repeat(mine, count), _eights(self.data)
+        with np.errstate(over="ignore"):
+            hashed = _mix(gram_at(w, at) * FACTORS[0] + gram_at(w, at + GRAM) * FACTORS[1] + gram_at(w, at + WINDOW - GRAM) * FACTORS[2])
+        order = np.argsort(hashed, kind="stable")
+        sorted_at = at[order]
+        new = np.ones(len(order), bool)
+        new[1:] = hashed[order][1:] != hashed[order][:-1]
+        for step in (*range(0, WINDOW - 8, 8), WINDOW - 8):  # bytes decide; a clash of hashes only lists a window twice
+            x = w[sorted_at + step]
+            new[1:] |= x[1:] != x[:-1]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        least = np.minimum.reduceat(self.least[owner][order], first) if len(first) else np.zeros(0, np.int64)
+        return owner, bit, number, sorted_at[first], hashed[order][first], least
+
+    def answers(self, table: pa.Table, buckets: int, part: str, many: int = MANY) -> tuple[np.ndarray, np.ndarray]:
         """Entry and code of every answer of one part."""
-        order, begin = self.by_bucket(buckets)
+        order, begin = self.by_bucket(buckets, many)
         entries, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for b, p, where, code in zip(*(table.column(c).to_pylist() for c in ("bucket", "part", "place", "code")), strict=True):
             if p == part:
@@ -267,17 +302,22 @@ def _answer_rows(shard: np.ndarray, place: np.ndarray, code: np.ndarray, bucket:
     )
 
 
-def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shard_of(shards: int) -> Column:
+    """Rows that share a doc_id spread by their texts: nothing needs them together."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))
+
+
+def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, many: int = MANY) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<s, e>>, kept binary) of every row of docs with (doc_id, text)."""
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = ready.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, buckets = max(1, math.ceil(total / shard_bytes)), max(1, math.ceil(total / bucket_bytes))
-    dealt = ready.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.col("doc_id").isNull()), F.lit(shards)))
+    dealt = ready.where("doc_id IS NOT NULL").withColumn("shard", shard_of(shards))
     dealt = dealt.repartition(shards, "shard")  # one exchange, reused by the three steps that need texts
 
     def list_anchors(key: tuple, table: pa.Table) -> pa.Table:
         s = Shard(table)
-        order, begin = s.by_bucket(buckets)
+        order, begin = s.by_bucket(buckets, many)
         rows = [order[a:b] for a, b in zip(begin[:-1], begin[1:])]
         full = [b for b, r in enumerate(rows) if len(r)]
         return pa.table(
@@ -302,25 +342,34 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes
         lowest = np.minimum.reduceat(least[order], first)
         equal = np.minimum.reduceat(near[order], first) == np.maximum.reduceat(near[order], first)
         group = np.repeat(np.arange(len(first)), size)
-        code = np.where(equal[group], np.where(least[order] > lowest[group], 2, 0), 1)
+        code = np.where(equal[group], np.where(least[order] > lowest[group], 2, 0), np.where(size[group] >= many, 3, 1))
         code[size[group] == 1] = 0
         told = np.flatnonzero(code)
         return _answer_rows(shard[order][told], place[order][told], code[told], key[0].as_py(), "met")
 
     def send_texts(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         s = Shard(left)
-        entry, code = s.answers(right, buckets, "met")
-        order, begin = s.by_bucket(buckets)
+        entry, code = s.answers(right, buckets, "met", many)
+        hot = entry[code == 3]
+        order, begin = s.by_bucket(buckets, many)
         place = np.empty(len(s.h), np.int64)
         place[order] = np.arange(len(order)) - np.repeat(begin[:-1], np.diff(begin))
         entry = np.sort(entry[code == 1])
         of = (s.h[entry] % np.uint64(buckets)).astype(np.int64)
-        full, rows = np.unique(of), []
+        full, rows = np.unique(of).tolist(), []
         data = s.data.tobytes()
         for b in full:
             e = entry[of == b]
             lo, hi = s.lo[s.head[e]], s.hi[s.head[e]] + WINDOW
             rows.append((place[e].astype(np.uint32).tobytes(), s.least[e].tobytes(), (hi - lo).astype(np.uint8).tobytes(), b"".join(data[x:y] for x, y in zip(lo.tolist(), hi.tolist()))))
+        if len(hot):
+            *_, at, hashed, least = s.windows_of(hot)
+            to = (hashed % np.uint64(HOT_SPREAD * buckets)).astype(np.int64) + buckets
+            turn = np.argsort(to, kind="stable")
+            dealt_to, first = np.unique(to[turn], return_index=True)
+            for b, e in zip(dealt_to.tolist(), np.split(turn, first[1:]), strict=True):
+                full.append(b)
+                rows.append((e.astype(np.uint32).tobytes(), least[e].tobytes(), np.full(len(e), WINDOW, np.uint8).tobytes(), b"".join(data[x : x + WINDOW] for x in at[e].tolist())))
         names = ("place", "least", "size", "text")
         return pa.table(
             {"bucket": pa.array(full, pa.int32()), "shard": pa.array([key[0].as_py()] * len(full), pa.int64())}
@@ -340,15 +389,24 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes
         mask = np.zeros(len(size), np.uint32)
         np.bitwise_or.at(mask, whose, np.where(lowest < least[whose], np.left_shift(1, bit), 0).astype(np.uint32))
         told = np.flatnonzero(mask)
-        return _answer_rows(shard[told], place[told], mask[told], key[0].as_py(), "sorted")
+        return _answer_rows(shard[told], place[told], mask[told], key[0].as_py(), "sorted" if key[0].as_py() < buckets else "hot")
 
     def apply_answers(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         s = Shard(left)
         mask = np.zeros(len(s.h), np.uint32)
-        entry, code = s.answers(right, buckets, "met")
+        entry, code = s.answers(right, buckets, "met", many)
         mask[entry[code == 2]] = 0xFFFFFFFF
-        entry, code = s.answers(right, buckets, "sorted")
+        hot = entry[code == 3]
+        entry, code = s.answers(right, buckets, "sorted", many)
         mask[entry] |= code
+        if len(hot):
+            owner, bit, number, at, _, least = s.windows_of(hot)
+            lower = np.zeros(len(at), bool)
+            for part, where in zip(right.column("part").to_pylist(), right.column("place").to_pylist(), strict=True):
+                if part == "hot":
+                    lower[np.frombuffer(where, np.uint32)] = True
+            hit = np.flatnonzero(lower[number] | (s.least[owner] > least[number]))
+            np.bitwise_or.at(mask, owner[hit], np.left_shift(1, bit[hit]).astype(np.uint32))
         mine = mask[s.entry]
         mine[s.number[s.doc] > s.least[s.entry]] = 0xFFFFFFFF
         cover = np.zeros(len(s.data) + WINDOW + 1, np.int32)
@@ -375,7 +433,10 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes
     texts = dealt.groupBy("shard").cogroup(met.groupBy("shard")).applyInArrow(send_texts, "bucket int, shard long, place binary, least binary, size binary, text binary")
     ordered = texts.groupBy("bucket").applyInArrow(sort_texts, ANSWER)
     answers = met.unionByName(ordered)
-    return dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(apply_answers, "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary")
+    spans = "array<struct<s:long,e:long>>"
+    found = dealt.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(apply_answers, f"doc_id long, n_bytes long, spans {spans}, kept binary")
+    unnamed = ready.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast(spans).alias("spans"), F.col("text").cast("binary").alias("kept"))
+    return found.unionByName(unnamed)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

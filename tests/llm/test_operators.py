@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dutyweave.llm import collision_search, components, exact_dedup, language_id, mixing, ngram_join, personal_data, piece_sampling, suffix_dedup, toxicity, url_filter
@@ -168,6 +169,40 @@ def test_suffix_dedup(spark, shard_bytes):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def hot_rows():
+    rng = random.Random(5)
+    filler = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    phrases = [filler(70), filler(52), filler(35)]
+    rows = [(i, filler(60) + " ".join(p + filler(rng.randint(1, 40)) for p in phrases)) for i in range(120)]
+    rows += [(200 + i, filler(9) + rows[i][1][20:150] + filler(9)) for i in range(0, 120, 3)]
+    return rows + [(None, phrases[0])] * 30
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 3000])
+def test_suffix_dedup_of_hot_anchors(spark, shard_bytes):
+    rows = hot_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, (r.n_bytes, [(s.s, s.e) for s in r.spans], bytes(r.kept))) for r in suffix_dedup.remove_repeats(df, shard_bytes, shard_bytes, many=4).collect()]
+    assert [x for i, x in got if i is None] == [(70, [], rows[-1][1].encode())] * 30
+    assert {i: x for i, x in got if i is not None} == brute_repeats(rows)
+
+
+def test_suffix_dedup_bounds_hot_anchors_and_shared_ids(spark):
+    rows = [r for r in hot_rows() if r[0] is not None]
+    shard = suffix_dedup.Shard(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    assert np.unique(shard.h, return_counts=True)[1].max() >= 100
+    listed, begin = shard.by_bucket(7, 4)
+    assert np.unique(shard.h[listed], return_counts=True)[1].max() == 4 and begin[-1] == len(listed)
+    name, count = np.unique(shard.h, return_counts=True)
+    owner, bit, number, at, hashed, least = shard.windows_of(np.flatnonzero(shard.h == name[count.argmax()])[:4])
+    data = bytes(shard.data)
+    windows = [data[x : x + 50] for x in at]
+    assert len(set(windows)) == len(windows) > 4
+    assert all(data[(p := shard.lo[shard.head[e]] + b) : p + 50] == windows[n] and least[n] <= shard.least[e] for e, b, n in zip(owner, bit, number))
+    same = spark.range(400).selectExpr("7L AS doc_id", "CAST(id AS STRING) AS text")
+    assert same.select(suffix_dedup.shard_of(8).alias("s")).distinct().count() == 8
+
+
 def test_suffix_array_and_prefixes():
     texts = [b"banana\0nana", b"anana", b"", b"banana"]
     raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)

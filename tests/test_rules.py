@@ -125,3 +125,19 @@ def test_union_of_inputs_is_union_of_results(spark):
     whole = evaluate.table_agreement(df, other).collect()
     parts = [r for k in (0, 1) for r in evaluate.table_agreement(df.where(f"table_id % 2 = {k}"), other.where(f"table_id % 2 = {k}")).collect()]
     assert sorted(map(tuple, whole)) == sorted(map(tuple, parts))
+
+
+def test_bridge_terms_takes_contained_keys_of_any_length(spark):
+    keys = {"ab": "1", "pepper": "2", "xpepperpowder": "3", "peppercornsandmustardseeds": "4", "q": "5", "whole name": "6"}
+    names = ["zzabzz", "hotxpepperpowderx", "a-peppercornsandmustardseeds-b", "1q1", "hot pepper", "whole name", "", "p"]
+    standard = spark.createDataFrame(list(keys.items()), "key string, code10 string")
+    entries = spark.createDataFrame(list(enumerate(names)), "entry_id long, name string")
+    want = {}
+    for i, name in enumerate(names):
+        parts = [k for k in name.split() if k in keys]
+        inner = [k for k in keys if len(k) >= 2 and k in name]
+        key, tier = (name, 1) if name in keys else (max(parts, key=len), 2) if parts else (max(inner, key=len), 3) if inner else (None, 0)
+        want[i] = (key, keys.get(key), tier)
+    assert want[2] == ("peppercornsandmustardseeds", "4", 3) and want[0] == ("ab", "1", 3)
+    assert {r.entry_id: (r.key, r.code10, r.tier) for r in facts.bridge_terms(entries, standard).collect()} == want
+    assert [r.tier for r in facts.bridge_terms(entries, standard.limit(0)).collect()] == [0] * len(names)

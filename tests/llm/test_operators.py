@@ -143,6 +143,48 @@ def test_collision_search(spark):
     assert collision_search.nearest(df.limit(0)).count() == 0
 
 
+def brute_nearest(rows, every, k):
+    """query_id to its k nearest (vec_id, score) among rows (vec_id, vector)."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    out = {}
+    for q in np.flatnonzero(ids % every == 0):
+        s = np.where(ids == ids[q], -np.inf, (x * x[q]).sum(1))
+        best = [j for j in np.lexsort((ids, -s))[:k] if s[j] > -np.inf]
+        out[int(ids[q])] = [(int(ids[j]), float(s[j])) for j in best]
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_the_search_query(spark, sf):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    want = brute_nearest(rows, 20, 20)
+    got = collections.defaultdict(list)
+    for r in collision_search.op3_collision_search(spark, f"/root/testdata/{sf}").orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in found}) for q, found in want.items())
+    assert set(got) == set(want) and all(len(f) == 20 for f in got.values())
+    assert hit >= 0.99 * sum(map(len, want.values()))
+
+
+def test_search_of_large_repeated_and_clustered_vectors(spark):
+    huge = [(i, [1e200 * (i + 1), 1e200 * (i % 7), -1e199 * i]) for i in range(50)]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<double>").selectExpr("*", "1 AS v", "'x' AS cell", "2 AS s")
+    found = collision_search.nearest(df, 10, 3).where("query_id = 20").orderBy("rank").collect()
+    small = [(i, [x / 1e200 for x in v]) for i, v in huge]
+    assert [r.vec_id for r in found] == [i for i, _ in brute_nearest(small, 10, 3)[20]] and all(r.score == float("inf") for r in found)
+    rng = np.random.default_rng(8)
+    centre = 10 * rng.normal(size=(20, 8))
+    rows = [(i, list(map(float, centre[i % 20] + 0.05 * rng.normal(size=8)))) for i in range(2000)]
+    rows += [(5000 + i, rows[40][1]) for i in range(300)] + [rows[40]] * 3  # one common vector, one repeated row
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_nearest(rows, 20, 20)
+    got = collections.defaultdict(list)
+    for r in collision_search.nearest(df, 20, 20, index_rows=100, query_rows=16, cells=20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hit = sum(sum((collections.Counter(i for i, _ in got[q]) & collections.Counter(i for i, _ in found)).values()) for q, found in want.items())
+    assert set(got) == set(want) and hit >= 0.97 * sum(map(len, want.values()))
+
+
 def brute_repeats(rows):
     seen, out = set(), {}
     for i, t in sorted(((i, t) for i, t, *_ in rows if i is not None)):

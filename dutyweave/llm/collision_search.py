@@ -122,7 +122,7 @@ class Block:
                 seen[j][new] = True
                 new = new[self.ids[new] != q_ids[j]]
                 if len(new):
-                    rows, scores = np.append(best[j][0], new), np.append(best[j][1], (self.x[new] * q[j]).sum(1))
+                    rows, scores = np.append(best[j][0], new), np.append(best[j][1], np.take(self.x, new, 0) @ q[j])
                     if len(rows) > k:  # whatever ties with the k-th stays for the sort
                         fine = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
                         rows, scores = rows[fine], scores[fine]

@@ -7,8 +7,10 @@ without loss: each window has an anchor, the GRAM-byte piece of smallest hash in
 (leftmost of equals). Equal windows have equal anchors, so a window can only repeat
 where its anchor does.
 
-1. Documents are dealt to shards of bounded size. A shard lists its anchors with the
-   hash of their surroundings (all windows the anchor serves) and the smallest doc_id.
+1. Anchors are found once, where documents are read, and travel with the text as two
+   bytes each. Documents are dealt to shards of bounded size. A shard lists its anchors
+   with the hash of their surroundings (all windows the anchor serves) and the smallest
+   doc_id.
 2. Anchors meet by hash. One that occurs once needs nothing; one with equal
    surroundings everywhere is decided; the others, where passages begin, end or differ,
    ask their shards for the surroundings' text.
@@ -21,8 +23,8 @@ where its anchor does.
 A shard lists at most MANY surroundings of an anchor. An anchor with that many in all, not
 all equal, is hot: its windows are sorted one by one instead, each distinct window once a
 shard with the smallest doc_id there, dealt by the hash of the whole window. So no task
-holds all surroundings of a hot anchor, and equal windows still meet. Rows without a
-doc_id pass by the shards, and rows that share a doc_id are dealt by their texts too.
+holds all surroundings of a hot anchor, and equal windows still meet. Fewer surroundings than that are at most MANY * 80
+bytes in one task. Rows without a doc_id pass by the shards, and rows that share a doc_id are dealt by their texts too.
 
 Defined results for odd input: a null text counts as empty; texts shorter than WINDOW
 bytes lose nothing; a null doc_id loses nothing and removes nothing; rows with the same
@@ -39,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dutyweave.llm.batches import per_batch, small_batches
+
 WINDOW = 50
 GRAM = 20
 PER = WINDOW - GRAM + 1
@@ -46,8 +50,8 @@ SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 SEGMENT = (1 << 20) - 64
 BLOCK_BYTES = 1 << 20
-#: Distinct surroundings from which on an anchor is hot.
-MANY = 256
+#: Distinct surroundings from which on an anchor is hot; fewer are 164 kB of text at most.
+MANY = 2048
 #: Buckets for windows of hot anchors, for each ordinary one.
 HOT_SPREAD = 4
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -103,24 +107,38 @@ def anchors(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return owner[first], window[first], window[last]
 
 
+def marks(texts: list[bytes]) -> list[bytes]:
+    """For each text the offset of every anchor in its first window, then the number of windows it serves; windows follow each other without a gap."""
+    size = np.array([len(t) for t in texts], np.int64)
+    end = np.cumsum(size)
+    anchor, lo, hi = anchors(np.frombuffer(bytearray(b"".join(texts) + bytes(64)), np.uint8), end - size, end)
+    cut = np.searchsorted(anchor, np.append(0, end))
+    offset, count = (anchor - lo).astype(np.uint8), (hi - lo + 1).astype(np.uint8)
+    return [offset[a:b].tobytes() + count[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
 class Shard:
     """Documents of one shard in order of doc_id, their anchors, and the distinct (anchor, surroundings) entries."""
 
     def __init__(self, table: pa.Table) -> None:
-        ids = table.column("doc_id").to_pylist()
-        texts = table.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+        ids, texts, marked = (table.column(c).to_pylist() for c in ("doc_id", "text", "marks"))
+        order = sorted(range(len(ids)), key=ids.__getitem__)
         self.ids = [ids[i] for i in order]
-        raw = [(texts[i] or "").encode("utf-8", "surrogatepass") for i in order]
+        raw = [texts[i].encode("utf-8", "surrogatepass") for i in order]
         size = np.array([len(r) for r in raw], np.int64)
         self.end = np.cumsum(size)
         self.start = self.end - size
         self.data = np.frombuffer(bytearray(b"".join(raw) + bytes(64)), np.uint8)
-        known = sum(i is not None for i in self.ids)
-        self.anchor, self.lo, self.hi = anchors(self.data[: (self.end[known - 1] if known else 0) + 64], self.start[:known], self.end[:known])
+        held = np.array([len(marked[i]) // 2 for i in order], np.int64)
+        offset = np.frombuffer(b"".join(marked[i][: len(marked[i]) // 2] for i in order), np.uint8).astype(np.int64)
+        count = np.frombuffer(b"".join(marked[i][len(marked[i]) // 2 :] for i in order), np.uint8).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(order)), held)
+        before = np.cumsum(count) - count
+        first = np.cumsum(held) - held  # the place of each document's first anchor
+        self.lo = self.start[self.doc] + before - np.append(before, 0)[first][self.doc]
+        self.anchor, self.hi = self.lo + offset, self.lo + count - 1
         w = _eights(self.data)
-        self.doc = np.searchsorted(self.end, self.anchor, "right")
-        number = np.array([i or 0 for i in self.ids], np.int64)
+        number = np.array(self.ids, np.int64)
         h = gram_at(w, self.anchor) >> np.uint64(16)
         with np.errstate(over="ignore"):
             near = gram_at(w, self.lo) * FACTORS[0] + gram_at(w, self.lo + GRAM) * FACTORS[1]
@@ -284,6 +302,19 @@ def _from_six(b: bytes) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers as their least and the distances from it, in as few bytes as the largest needs."""
+    least = int(x.min())
+    away = (x - least).view(np.uint64)
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if int(away.max()) <= np.iinfo(k).max)
+    return np.int64(least).tobytes() + away.astype(kind).tobytes()
+
+
+def _from_narrow(b: bytes, n: int) -> np.ndarray:
+    away = np.frombuffer(b, np.dtype(f"u{(len(b) - 8) // n}"), offset=8).astype(np.uint64)
+    return away.view(np.int64) + np.frombuffer(b[:8], np.int64)[0]
+
+
 ANSWER = "shard long, bucket int, part string, place binary, code binary"
 
 
@@ -312,8 +343,14 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = ready.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, buckets = max(1, math.ceil(total / shard_bytes)), max(1, math.ceil(total / bucket_bytes))
-    dealt = ready.where("doc_id IS NOT NULL").withColumn("shard", shard_of(shards))
-    dealt = dealt.repartition(shards, "shard")  # one exchange, reused by the three steps that need texts
+    small_batches(docs.sparkSession)
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = marks([t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()])
+        return pa.record_batch([*batch.columns, pa.array(found, pa.binary())], ["doc_id", "text", "marks"])
+
+    marked = ready.where("doc_id IS NOT NULL").mapInArrow(per_batch(mark), "doc_id long, text string, marks binary")
+    dealt = marked.withColumn("shard", shard_of(shards)).repartition(shards, "shard")  # one exchange, reused by the three steps that need texts
 
     def list_anchors(key: tuple, table: pa.Table) -> pa.Table:
         s = Shard(table)
@@ -326,7 +363,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes
                 "shard": pa.array([key[0].as_py()] * len(full), pa.int64()),
                 "h": pa.array([_six(s.h[rows[b]]) for b in full], pa.binary()),
                 "near": pa.array([_six(s.near[rows[b]]) for b in full], pa.binary()),
-                "least": pa.array([s.least[rows[b]].tobytes() for b in full], pa.binary()),
+                "least": pa.array([_narrow(s.least[rows[b]]) for b in full], pa.binary()),
             }
         )
 
@@ -335,7 +372,8 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes
         count = np.array([len(x) // 6 for x in h])
         shard = np.repeat(table.column("shard").to_numpy(), count)
         place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        h, near, least = _from_six(b"".join(h)), _from_six(b"".join(near)), np.frombuffer(b"".join(least), np.int64)
+        least = np.concatenate([_from_narrow(x, n) for x, n in zip(least, count.tolist(), strict=True)])
+        h, near = _from_six(b"".join(h)), _from_six(b"".join(near))
         order = np.argsort(h, kind="stable")
         first = np.flatnonzero(np.diff(h[order], prepend=h[order[0]] + np.uint64(1)))
         size = np.diff(np.append(first, len(h)))

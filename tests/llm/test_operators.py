@@ -211,6 +211,20 @@ def test_suffix_dedup(spark, shard_bytes):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def write_documents(spark, tmp_path, rows, name="documents"):
+    spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS marks", "1 AS shard", "2 AS n", "'y' AS h").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_suffix_dedup_query(spark, tmp_path):
+    rows = [r for r in corpus(11, 60) if r[0] is not None]
+    rows += [(800 + i, ("long words of a very long text " * 3 + str(i)) * 400, None, None, 0) for i in range(3)]
+    found = suffix_dedup.op5_suffix_dedup(spark, write_documents(spark, tmp_path, rows + [(None, "w" * 90, None, None, 0)])).collect()
+    want = {i: (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()) for i, (n, spans, kept) in brute_repeats(rows).items()}
+    want[None] = (90, 0, 0, hashlib.sha256(b"w" * 90).hexdigest())
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == want and len(found) == len(rows) + 1
+
+
 def hot_rows():
     rng = random.Random(5)
     filler = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
@@ -231,7 +245,7 @@ def test_suffix_dedup_of_hot_anchors(spark, shard_bytes):
 
 def test_suffix_dedup_bounds_hot_anchors_and_shared_ids(spark):
     rows = [r for r in hot_rows() if r[0] is not None]
-    shard = suffix_dedup.Shard(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    shard = suffix_dedup.Shard(pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "marks": suffix_dedup.marks([r[1].encode() for r in rows])}))
     assert np.unique(shard.h, return_counts=True)[1].max() >= 100
     listed, begin = shard.by_bucket(7, 4)
     assert np.unique(shard.h[listed], return_counts=True)[1].max() == 4 and begin[-1] == len(listed)

@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dutyweave.llm.batches import per_batch, small_batches
+from dutyweave.staging import stage
 
 WINDOW = 50
 GRAM = 20
@@ -154,16 +155,20 @@ class Shard:
         self.entry[order] = np.cumsum(new) - 1
         self.h, self.near, self.least, self.head = h[new], near[new], number[self.doc[head]], head
         self.number = number
+        self.by: tuple[int, int] | None = None
 
     def by_bucket(self, buckets: int, many: int = MANY) -> tuple[np.ndarray, np.ndarray]:
         """Listed entries (the first `many` of each anchor) in order of bucket, and where each bucket begins."""
+        if self.by == (buckets, many):
+            return self.listed
         order = np.argsort(self.h, kind="stable")
         h = self.h[order]
         first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
         rank = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
         listed = np.sort(order[rank < many])
         of = (self.h[listed] % np.uint64(buckets)).astype(np.int64)
-        return listed[np.argsort(of, kind="stable")], np.append(0, np.cumsum(np.bincount(of, minlength=buckets)))
+        self.by, self.listed = (buckets, many), (listed[np.argsort(of, kind="stable")], np.append(0, np.cumsum(np.bincount(of, minlength=buckets))))
+        return self.listed
 
     def windows_of(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all windows of these entries' anchors: entry, bit, number; and of each number: position, hash, smallest doc_id. Equal windows share a number."""
@@ -209,7 +214,9 @@ def suffix_array(text: np.ndarray, lane: np.ndarray) -> np.ndarray:
     for i in range(7):
         over |= padded[i : i + n] == 0
         key = (key << np.uint64(9)) | np.where(over, np.uint64(0), padded[i : i + n])
-    sa = np.lexsort((np.where(over, lane, 0), key))
+    sa = np.argsort(key)
+    short = np.flatnonzero(over[sa])  # these are sorted now, but for ties: by text
+    sa[short] = sa[short][np.lexsort((lane[sa[short]], key[sa[short]]))]
     same = (key[sa][1:] == key[sa][:-1]) & ~over[sa][1:]
     rank, depth = np.empty(n, np.int64), 7
     rank[sa] = np.maximum.accumulate(np.concatenate([[0], np.where(same, 0, np.arange(1, n))]))
@@ -223,7 +230,7 @@ def suffix_array(text: np.ndarray, lane: np.ndarray) -> np.ndarray:
             return sa
         item = sa[at]
         ahead = rank[item + depth]  # an unsorted suffix is longer than depth
-        order = np.lexsort((ahead, r[at]))
+        order = np.argsort(r[at] << 32 | ahead)
         item, ahead, group = item[order], ahead[order], r[at][order]
         sa[at] = item
         new = np.ones(len(at), bool)
@@ -448,8 +455,11 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes
         mine = mask[s.entry]
         mine[s.number[s.doc] > s.least[s.entry]] = 0xFFFFFFFF
         cover = np.zeros(len(s.data) + WINDOW + 1, np.int32)
+        whole, part = np.flatnonzero(mine == 0xFFFFFFFF), np.flatnonzero((mine != 0xFFFFFFFF) & (mine != 0))
+        np.add.at(cover, s.lo[whole], 1)
+        np.add.at(cover, s.hi[whole] + WINDOW, -1)
         for bit in range(PER):
-            hit = np.flatnonzero((mine >> np.uint32(bit) & np.uint32(1)).astype(bool) & (s.lo + bit <= s.hi))
+            hit = part[(mine[part] >> np.uint32(bit) & np.uint32(1)).astype(bool) & (s.lo[part] + bit <= s.hi[part])]
             np.add.at(cover, s.lo[hit] + bit, 1)
             np.add.at(cover, s.lo[hit] + bit + WINDOW, -1)
         gone = np.cumsum(cover)[: len(s.data)] > 0
@@ -467,7 +477,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_bytes
         return pa.table({"doc_id": pa.array(s.ids, pa.int64()), "n_bytes": pa.array(s.end - s.start), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
 
     listed = dealt.groupBy("shard").applyInArrow(list_anchors, "bucket int, shard long, h binary, near binary, least binary")
-    met = listed.groupBy("bucket").applyInArrow(meet, ANSWER)
+    met = stage(listed.groupBy("bucket").applyInArrow(meet, ANSWER), "met-anchors")  # two steps read it
     texts = dealt.groupBy("shard").cogroup(met.groupBy("shard")).applyInArrow(send_texts, "bucket int, shard long, place binary, least binary, size binary, text binary")
     ordered = texts.groupBy("bucket").applyInArrow(sort_texts, ANSWER)
     answers = met.unionByName(ordered)

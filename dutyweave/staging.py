@@ -16,9 +16,11 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a folder of our own in local mode only: executors of a cluster would not share it."""
     found = spark.conf.get(_CONF, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_CONF} must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(_CONF, found)
     return found.rstrip("/")
@@ -29,4 +31,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.staged_at = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Deletes what stage wrote, once nothing reads it any more."""
+    jvm = written.sparkSession._jvm
+    at = jvm.org.apache.hadoop.fs.Path(written.staged_at)
+    at.getFileSystem(written.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dutyweave.staging import stage
+from dutyweave.staging import discard, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of edges (a, b); component: the smallest node reachable."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of edges (a, b); component: the smallest node reachable. Rounds go on until nothing changes."""
     edges = stage(edges.select("a", "b").where("a <> b").distinct(), "edges")
     last = None
-    for _ in range(max_rounds):
-        edges = stage(_small_star(_large_star(edges)), "stars")
+    while True:
+        before, edges = edges, stage(_small_star(_large_star(edges)), "stars")
+        discard(before)
         seen = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.col("b").cast("decimal(38,0)")).alias("s")).first()
         if seen == last:
             break

@@ -17,8 +17,8 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language that the network was taught go."""
-    return language_id.keep_identified(docs, language_id.fit(docs))
+    """Documents in no language that the network was taught go: null texts, texts without letters, garbled and foreign ones."""
+    return language_id.keep_identified(docs, language_id.fit(docs, reject=True))
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows of an Arrow batch sent to Python; texts can be long.
 BATCH_ROWS = 1000
@@ -39,14 +40,14 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable
     return run
 
 
-def seeded_sample(rows: DataFrame, key: Column, stratum: Column, per_stratum: int, seed: int, max_strata: int = 64) -> DataFrame:
-    """About per_stratum rows of each of the max_strata largest strata, chosen by a hash of key; bounded for use on the driver."""
+def seeded_sample(rows: DataFrame, key: Column, stratum: Column, per_stratum: int, seed: int, most_rows: int = 100_000, max_strata: int = 4096) -> DataFrame:
+    """About per_stratum rows of each stratum, chosen by a hash of key; for use on the driver.
+
+    Bounds: with many strata each gets fewer rows, so that all have about most_rows; beyond max_strata the smallest are left out.
+    """
     s = rows.withColumn("_stratum", stratum.cast("string")).where(F.col("_stratum").isNotNull())
-    counts = s.groupBy("_stratum").count().orderBy(F.desc("count"), "_stratum").limit(max_strata).collect()
-    if not counts:
-        return s.drop("_stratum").limit(0)
-    take = F.lit(False)
+    counts = s.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.desc("_rows"), "_stratum").limit(max_strata)
+    each = F.least(F.lit(per_stratum), F.greatest(F.lit(1), F.floor(F.lit(most_rows) / F.count(F.lit(1)).over(Window.partitionBy()))))
     u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0
-    for row in counts:
-        take = take | ((F.col("_stratum") == row["_stratum"]) & (u < min(1.0, per_stratum / row["count"])))
-    return s.where(take).drop("_stratum")
+    rated = counts.select("_stratum", (each / F.col("_rows")).alias("_rate"))  # at most max_strata rows
+    return s.withColumn("_u", u).join(F.broadcast(rated), "_stratum").where("_u < _rate").select(*rows.columns)

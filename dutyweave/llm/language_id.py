@@ -35,7 +35,11 @@ EPOCHS = 8
 MINIBATCH = 128
 CHUNK = 1024
 LETTER = re.compile(r"[^\W\d_]")
-REJECT_BELOW = 0.3
+#: Label of a class trained on garbled windows, where texts in no learnt language are to be told; no language value is empty.
+OTHER = ""
+#: Mean probability of OTHER over a text's positions, and SHORT more that speak for a language, from which a text is rejected.
+REJECT_FROM = 0.6
+SHORT = 96
 
 
 @dataclass
@@ -171,9 +175,20 @@ def train(cells: np.ndarray, target: np.ndarray, labels: list[str], epochs: int
     return net
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, epochs: int = EPOCHS, seed: int = 7) -> Network | None:
-    """Trains on a bounded sample of (doc_id, text, lang) rows that may be learnt from."""
-    rows = docs.where(may_learn(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+def garbled(windows: list[str], seed: int) -> list[str]:
+    """Each window with its characters shuffled, and with its letters exchanged by a substitution of their own."""
+    rng, out = np.random.default_rng(seed), []
+    for w in windows:
+        out.append("".join(rng.permutation(list(w))))
+        letters = sorted({c for c in w.lower() if LETTER.match(c)} | set("abcdefghijklmnopqrstuvwxyz"))
+        out.append(w.lower().translate(str.maketrans(dict(zip(letters, rng.permutation(letters).tolist())))))
+    return out
+
+
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, epochs: int = EPOCHS, seed: int = 7, reject: bool = False) -> Network | None:
+    """Trains on a bounded sample of (doc_id, text, lang) rows that may be learnt from; with reject, also on the class OTHER."""
+    known = F.col("lang") != OTHER if reject else F.col("lang").isNotNull()
+    rows = docs.where(may_learn(F.col("doc_id")) & known & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sample = seeded_sample(rows, F.col("doc_id"), F.col("lang"), docs_per_language, seed)
     room = F.greatest(F.length("text") - SEGMENT, F.lit(1))
     windows = [F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(i)), room) + 1).cast("int"), F.lit(SEGMENT)) for i in range(WINDOWS_PER_DOC)]
@@ -182,6 +197,9 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, epochs: int
     labels = sorted({x[1] for x in found})
     if not labels:
         return None
+    if reject:
+        found += [(0, OTHER, w) for w in garbled([x[2] for x in found], seed)]
+        labels = [OTHER, *labels]
     cells, owner, _ = segments([x[2] for x in found])
     target = np.array([labels.index(x[1]) for x in found])[owner]
     return train(cells, target, labels, epochs, seed)
@@ -220,8 +238,11 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return ready.mapInArrow(per_batch(label), schema)
 
 
-def keep_identified(docs: DataFrame, net: Network | None, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """The rows of docs whose language the network names with at least the given probability, with all their columns."""
+def keep_identified(docs: DataFrame, net: Network | None, reject_from: float = REJECT_FROM) -> DataFrame:
+    """The rows of docs in a language that the network (fitted with reject) was taught, with all their columns.
+
+    Texts that are null or without a letter go; texts too short to tell stay.
+    """
     small_batches(docs.sparkSession)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -229,8 +250,9 @@ def keep_identified(docs: DataFrame, net: Network | None, reject_below: float =
         known = [i for i, t in enumerate(texts) if net is not None and t and LETTER.search(t)]
         stay = []
         if known:
-            p = probabilities(net, [texts[i] for i in known]).max(1)
-            stay = [i for i, x in zip(known, p, strict=True) if x >= reject_below]
+            other = probabilities(net, [texts[i] for i in known])[:, net.labels.index(OTHER)]
+            size = np.array([len(texts[i].encode("utf-8", "replace")) for i in known])
+            stay = [i for i, x in zip(known, other * size / (size + SHORT), strict=True) if x < reject_from]
         return batch.take(pa.array(stay, pa.int64()))
 
     return docs.mapInArrow(per_batch(keep), docs.schema)

@@ -10,8 +10,11 @@ vector machine that is trained on labelled sentences: every sentence of a clean
 document is negative, the best sentences of a toxic one are positive, chosen again in
 each round. A document's score is the calibrated margin of its worst sentence.
 
-Kernels below FLOOR count as 0, so that words which share too few letters with every
-landmark need no evaluation.
+Kernels below FLOOR count as 0. A word and a landmark need no evaluation where the
+letters they share bound their kernel below FLOOR: by Cauchy-Schwarz it is at most the
+share of the landmark's own norm that its subsequences of those letters carry. That
+share is tabulated for every set of a landmark's letters, so nothing at or above FLOOR
+is skipped.
 
 Defined results for odd input: null and empty texts get the score of a sentence
 without any match; without labelled rows of both kinds all scores are the share of
@@ -39,6 +42,8 @@ DECAY = 0.7
 FLOOR = 0.35
 LANDMARKS = 96
 WORD_MAX = 24
+#: Letter classes of a landmark whose sets are tabulated.
+GATE_LETTERS = 12
 #: Bounds of the training sample: documents of each label, characters of a training document.
 DOCS_PER_LABEL = 1500
 TRAIN_CHARS = 20_000
@@ -102,11 +107,40 @@ def letter_mask(words: list[str]) -> np.ndarray:
     return np.bitwise_or.reduceat(bits, np.cumsum(size) - size) if len(words) else np.zeros(0, np.uint64)
 
 
+def gate(landmark: str) -> tuple[np.ndarray, np.ndarray]:
+    """(letter classes as bits, may): may[s] is False where sharing just the classes of s bounds the kernel below FLOOR.
+
+    s has a bit for each of the first GATE_LETTERS classes; any others count as shared.
+    """
+    cells = pad([landmark])[:, 0]
+    own = np.unique(cells % 64)[:GATE_LETTERS]
+    sets = np.arange(1 << len(own))
+    part = np.repeat(cells[:, None], len(sets), 1)
+    for i, c in enumerate(own):
+        part[np.ix_(cells % 64 == c, (sets >> i & 1) == 0)] = 0
+    norm = np.concatenate([raw_kernel(part[:, i : i + 1024], part[:, i : i + 1024]) for i in range(0, len(sets), 1024)])
+    return own.astype(np.uint64), norm >= FLOOR**2 * norm[-1] * (1 - 1e-4)
+
+
+def may_match(mask: np.ndarray, gates: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, landmark) pairs whose shared letters allow a kernel of FLOOR."""
+    rows, cols = [], []
+    for j, (own, may) in enumerate(gates):
+        at = np.zeros(len(mask), np.int64)
+        for i, c in enumerate(own):
+            at |= ((mask >> c & np.uint64(1)) << np.uint64(i)).astype(np.int64)
+        hit = np.flatnonzero(may[at])
+        rows.append(hit)
+        cols.append(np.full(len(hit), j))
+    return np.concatenate(rows), np.concatenate(cols)
+
+
 @dataclass
 class Model:
     """landmarks with their self-kernels; weights on the raw kernel vector (projection folded in); calibration."""
 
     landmarks: list[str] = field(default_factory=list)
+    gates: list = field(default_factory=list)
     own: np.ndarray | None = None
     weight: np.ndarray | None = None
     bias: float = 0.0
@@ -128,20 +162,14 @@ def pieces(word: str) -> list[str]:
     return [word[i : i + WORD_MAX] for i in range(0, len(word) - half, half)]
 
 
-def kernels(words: list[str], landmarks: list[str], own: np.ndarray) -> np.ndarray:
+def kernels(words: list[str], landmarks: list[str], own: np.ndarray, gates: list | None = None) -> np.ndarray:
     """Normalised kernels [n, m] of letter strings with the landmarks, 0 below FLOOR."""
-    split = [(i, p) for i, w in enumerate(words) for p in pieces(w) if len(p) > LENGTH]
+    split = [(i, p) for i, w in enumerate(words) for p in pieces(w) if len(p) >= LENGTH]
     out = np.zeros((len(words), len(landmarks)), np.float32)
     if not split:
         return out
-    part, mask = [p for _, p in split], letter_mask([p for _, p in split])
-    rows, cols = [], []
-    for j, lm in enumerate(letter_mask(landmarks)):
-        need = max(3, int(np.ceil(0.7 * np.bitwise_count(lm))))
-        hit = np.flatnonzero(np.bitwise_count(mask & lm) >= need)
-        rows.append(hit)
-        cols.append(np.full(len(hit), j))
-    at, to = np.concatenate(rows), np.concatenate(cols)
+    part = [p for _, p in split]
+    at, to = may_match(letter_mask(part), gates if gates is not None else [gate(w) for w in landmarks])
     used, back = np.unique(at, return_inverse=True)
     norm = self_kernel([part[i] for i in used]) if len(used) else np.zeros(0)
     marks = pad(landmarks)
@@ -204,10 +232,10 @@ def pool(sentences: list[list[str]], table: dict[str, np.ndarray], m: int) -> np
     return out
 
 
-def table_of(words: set[str], landmarks: list[str], own: np.ndarray) -> dict[str, np.ndarray]:
+def table_of(words: set[str], landmarks: list[str], own: np.ndarray, gates: list | None = None) -> dict[str, np.ndarray]:
     """Kernel vectors of the words that match some landmark."""
     names = sorted(words)
-    k = kernels(letters(names), landmarks, own)
+    k = kernels(letters(names), landmarks, own, gates)
     return {names[i]: k[i] for i in np.flatnonzero(k.any(1))}
 
 
@@ -233,9 +261,9 @@ def fit_texts(rows: list[tuple[str, int]], landmark_count: int = LANDMARKS) -> M
     landmarks = choose_landmarks(docs, landmark_count)
     if not landmarks:
         return Model(constant=toxic / len(docs))
-    own = self_kernel(landmarks)
-    table = table_of({w for s, _ in docs for x in s for w in x}, landmarks, own)
-    mm = kernels(landmarks, landmarks, own)
+    own, gates = self_kernel(landmarks), [gate(w) for w in landmarks]
+    table = table_of({w for s, _ in docs for x in s for w in x}, landmarks, own, gates)
+    mm = kernels(landmarks, landmarks, own, gates)
     value, vector = np.linalg.eigh((mm + mm.T) / 2 + 1e-3 * np.eye(len(landmarks)))
     project = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
     pooled = [pool(s, table, len(landmarks)) for s, _ in docs]
@@ -262,7 +290,7 @@ def fit_texts(rows: list[tuple[str, int]], landmark_count: int = LANDMARKS) -> M
     for _ in range(2000):  # calibration: logistic regression on the margin
         e = 1 / (1 + np.exp(-np.clip(slope * margin + shift, -40, 40))) - target
         slope, shift = slope - 0.5 * ((e * margin).mean() + 1e-4 * slope), shift - 0.5 * e.mean()
-    return Model(landmarks, own, weight.astype(np.float32), bias, slope, shift)
+    return Model(landmarks, gates, own, weight.astype(np.float32), bias, slope, shift)
 
 
 def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL, train_chars: int = TRAIN_CHARS) -> Model:
@@ -293,7 +321,7 @@ class Scorer:
         if fresh:
             if len(self.seen) > MEMORY:
                 self.seen, self.table, fresh = set(), {}, set().union(*words)
-            self.table.update(table_of(fresh, m.landmarks, m.own))
+            self.table.update(table_of(fresh, m.landmarks, m.own, m.gates))
             self.seen |= fresh
         for i, w in enumerate(words):
             if not self.table.keys().isdisjoint(w):

@@ -7,8 +7,11 @@ unit and the step, so a row gets the same segmentation on every run, in every ba
 
 No piece of the vocabulary holds a word mark after another character, so the lattice
 falls apart at word starts (and around characters that no longer piece holds); those
-units are independent and are drawn for a whole batch at once in numpy. Units are cut
-at MAX_UNIT characters, which bounds memory. A character outside the vocabulary is
+units are independent and are drawn for a whole batch at once in numpy. Units of more
+than LONG_UNIT characters (scripts without blanks, long identifiers) are drawn one by
+one: their forward pass keeps one number a character, and the pieces that end in a block
+of characters are found again where sampling comes back to it. Texts of more than
+CHUNK_CHARS characters are taken in parts that end where a unit does. A character outside the vocabulary is
 written as its UTF-8 bytes' pieces, and so is a word mark that stands in the text
 itself, which keeps decoding lossless.
 
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 from dutyweave.llm.batches import per_batch, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_UNIT = 64
+LONG_UNIT = 256
+#: Characters of a long unit whose pieces are held at once.
+BLOCK = 1 << 14
 MARK = 0x2581
 #: Stands for a word mark that the text itself holds.
 LITERAL_MARK = 0x110000
@@ -89,7 +94,7 @@ def load_vocabulary(model: str = MODEL) -> Vocabulary:
             continue
         cps = tuple(map(ord, piece))
         if any(b == MARK and a != MARK for a, b in zip(cps, cps[1:])):
-            continue
+            raise ValueError(f"piece {piece!r} crosses a word start, where texts are split")
         weight[i] = -np.log(10 - sp.get_score(i))
         texts[i] = piece.replace("▁", " ").encode()
         for n in range(1, len(cps)):
@@ -121,17 +126,13 @@ def _units(cps: np.ndarray, doc_of: np.ndarray, vocab: Vocabulary) -> np.ndarray
     at = np.searchsorted(vocab.joined, cps)
     lone = vocab.joined[np.minimum(at, len(vocab.joined) - 1)] != cps
     first[1:] = new_doc | ((cps[1:] == MARK) & (cps[:-1] != MARK)) | lone[1:] | lone[:-1]
-    starts = np.flatnonzero(first)
-    offset = np.arange(len(cps)) - np.repeat(starts, np.diff(np.append(starts, len(cps))))
-    return np.flatnonzero(first | (offset % MAX_UNIT == 0))
+    return np.flatnonzero(first)
 
 
-def _lattice(cps: np.ndarray, start: np.ndarray, size: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """For units of concatenated characters: by end position and length, cumulative draw probability and piece (-2: bytes)."""
+def _pieces(cps: np.ndarray, room: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """By end position and length less 1, the piece of these characters (-2: the bytes of one, -1: none); room: characters left in the unit from each start."""
     n, with_hash = len(cps), splitmix(cps.astype(np.uint64))
-    offset = np.arange(n) - np.repeat(start, size)
-    room = np.repeat(size, size) - offset
-    piece = np.full((n, vocab.longest), -1, np.int32)  # by end
+    piece = np.full((n, vocab.longest), -1, np.int32)
     alive, h = np.arange(n), np.zeros(n, np.uint64)
     for length in range(1, vocab.longest + 1):
         with np.errstate(over="ignore"):
@@ -147,10 +148,55 @@ def _lattice(cps: np.ndarray, start: np.ndarray, size: np.ndarray, vocab: Vocabu
         go = known & (room[alive] > length)
         alive, h = alive[go], h[go]
         if not len(alive):
-            piece = np.ascontiguousarray(piece[:, :length])
-            break
+            return np.ascontiguousarray(piece[:, :length])
+    return piece
+
+
+def _weights(piece: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    return np.where(piece >= 0, vocab.weight[np.maximum(piece, 0)], np.where(piece == -2, np.float32(-60), np.float32(-np.inf)))
+
+
+def draw_long(cps: np.ndarray, vocab: Vocabulary, stream: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of one long unit in order, and the position at which each ends. Holds 8 bytes a character and the pieces of one block."""
+    n = len(cps)
+
+    def block(a: int) -> tuple[np.ndarray, np.ndarray]:
+        b, c = min(n, a + BLOCK), max(0, a - vocab.longest + 1)
+        piece = _pieces(cps[c:b], np.arange(b - c, 0, -1), vocab)[a - c :]
+        return piece, _weights(piece, vocab).astype(np.float64)
+
+    alpha = np.zeros(n + 1)
+    for a in range(0, n, BLOCK):
+        weight = block(a)[1]
+        for i in range(len(weight)):
+            e = a + i + 1
+            s = alpha[max(0, e - weight.shape[1]) : e][::-1] + weight[i, : min(e, weight.shape[1])]
+            top = s.max()
+            alpha[e] = top + np.log(np.exp(s - top).sum())
+    ids, ends, e, step, held = [], [], n, 0, -1
+    while e:
+        if (a := (e - 1) // BLOCK * BLOCK) != held:
+            (piece, weight), held = block(a), a
+        s = alpha[max(0, e - weight.shape[1]) : e][::-1] + weight[e - 1 - a, : min(e, weight.shape[1])]
+        cum = np.cumsum(np.exp(s - alpha[e]))
+        with np.errstate(over="ignore"):
+            r = float(splitmix(stream + np.uint64(step) * ODD) >> np.uint64(11)) / 2.0**53
+        possible = np.flatnonzero(piece[e - 1 - a, : len(s)] != -1)
+        take = int(possible[min(np.searchsorted(cum[possible] / cum[-1], r, "right"), len(possible) - 1)])
+        ids.append(piece[e - 1 - a, take])
+        ends.append(e - 1)
+        e -= take + 1
+        step += 1
+    return np.array(ids[::-1], np.int32), np.array(ends[::-1], np.int64)
+
+
+def _lattice(cps: np.ndarray, start: np.ndarray, size: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """For units of concatenated characters: by end position and length, cumulative draw probability and piece (-2: bytes)."""
+    n = len(cps)
+    offset = np.arange(n) - np.repeat(start, size)
+    piece = _pieces(cps, np.repeat(size, size) - offset, vocab)
     wide = piece.shape[1]
-    weight = np.where(piece >= 0, vocab.weight[np.maximum(piece, 0)], np.where(piece == -2, np.float32(-60), np.float32(-np.inf)))
+    weight = _weights(piece, vocab)
     alpha = np.full(n, -np.inf, np.float32)
     by_offset = np.argsort(offset, kind="stable")
     bounds = np.append(np.flatnonzero(np.diff(offset[by_offset], prepend=-1)), n)
@@ -177,62 +223,71 @@ def encode_batch(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, s
     """(sizes by text, piece ids of all texts)."""
     sizes, parts, i = np.zeros(len(texts), np.int64), [], 0
     while i < len(texts):
+        if len(texts[i] or "") > CHUNK_CHARS:
+            ids = _encode_long_text(texts[i], keys[i : i + 1], vocab, seed)
+            sizes[i] = len(ids)
+            parts.append(ids)
+            i += 1
+            continue
         j, chars = i, 0
-        while j < len(texts) and (j == i or chars + len(texts[j] or "") < CHUNK_CHARS):
+        while j < len(texts) and chars + len(texts[j] or "") <= CHUNK_CHARS:
             chars += len(texts[j] or "")
             j += 1
         live = [k for k in range(i, j) if texts[k]]
         if live:
-            n, ids = _encode_chunk([texts[k] for k in live], keys[live], vocab, seed)
+            cps, doc_of = _marked([texts[k] for k in live])
+            n, ids = _encode_units(cps, doc_of, _units(cps, doc_of, vocab), np.zeros(len(live), np.int64), keys[live], vocab, seed)
             sizes[live] = n
             parts.append(ids)
         i = j
     return sizes, np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
-def _encode_chunk(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    body = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+def _encode_long_text(text: str, key: np.ndarray, vocab: Vocabulary, seed: int) -> np.ndarray:
+    """Part by part, each of whole units; at least one unit a part."""
+    cps, doc_of = _marked([text])
+    start = _units(cps, doc_of, vocab)
+    bounds, u, parts = np.append(start, len(cps)), 0, []
+    while u < len(start):
+        v = max(u + 1, int(np.searchsorted(bounds, bounds[u] + CHUNK_CHARS, "right")) - 1)
+        part = slice(bounds[u], bounds[v])
+        parts.append(_encode_units(cps[part], doc_of[part], start[u:v] - bounds[u], np.array([u]), key, vocab, seed)[1])
+        u = v
+    return np.concatenate(parts)
+
+
+def _marked(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of the texts, a word mark before each, and the text each belongs to."""
+    body = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     length = np.array([len(t) for t in texts], np.int64)
     body = np.where(body == MARK, LITERAL_MARK, np.where(body == 32, MARK, body))
-    doc_of = np.repeat(np.arange(len(texts)), length + 1)
     cps = np.full(len(body) + len(texts), MARK, np.int64)
     cps[np.arange(len(body)) + np.repeat(np.arange(len(texts)), length) + 1] = body
-    start = _units(cps, doc_of, vocab)
+    return cps, np.repeat(np.arange(len(texts)), length + 1)
+
+
+def _encode_units(cps: np.ndarray, doc_of: np.ndarray, start: np.ndarray, before: np.ndarray, keys: np.ndarray, vocab: Vocabulary, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes by text, piece ids) of units that begin at start; before: units of each text in earlier parts."""
     size = np.diff(np.append(start, len(cps)))
-    offset = np.arange(len(cps)) - np.repeat(start, size)
-    with np.errstate(over="ignore"):
-        each = splitmix(cps.astype(np.uint64)) * _powers(MAX_UNIT)[offset]
-        name = splitmix(np.add.reduceat(each, start) + size.astype(np.uint64))
-    _, sample, unit_of = np.unique(name, return_index=True, return_inverse=True)
-    u_size = size[sample]
-    u_start = np.cumsum(u_size) - u_size
-    flat = np.repeat(start[sample] - u_start, u_size) + np.arange(int(u_size.sum()))
-    score, piece = _lattice(cps[flat], u_start, u_size, vocab)
     unit_doc = doc_of[start]
-    nth = np.arange(len(start)) - np.repeat(np.flatnonzero(np.diff(unit_doc, prepend=-1)), np.bincount(unit_doc, minlength=len(texts)))
+    nth = np.arange(len(start)) - np.repeat(np.flatnonzero(np.diff(unit_doc, prepend=-1)), np.bincount(unit_doc, minlength=len(keys))) + before[unit_doc]
     with np.errstate(over="ignore"):
         stream = splitmix(splitmix(keys.astype(np.uint64) + np.uint64(seed) * MIX)[unit_doc] + nth.astype(np.uint64))
-    active, left, step, drawn = np.arange(len(start)), size.copy(), 0, []
-    while len(active):
-        at = u_start[unit_of[active]] + left[active] - 1
-        with np.errstate(over="ignore"):
-            r = (splitmix(stream[active] + np.uint64(step) * ODD) >> np.uint64(11)).astype(np.float64) / 2.0**53
-        cum = score[at]
-        take = (cum <= r[:, None]).sum(1)
-        bad = piece[at, np.minimum(take, piece.shape[1] - 1)] == -1  # rounding at the end of the row
-        if bad.any():
-            take[bad] = [np.flatnonzero(piece[k] != -1)[-1] for k in at[bad]]
-        drawn.append((active, piece[at, take], at))
-        left[active] -= take + 1
-        active = active[left[active] > 0]
-        step += 1
-    count = np.zeros(len(start), np.int64)
-    for a, _, _ in drawn:
-        count[a] += 1
+    short = np.flatnonzero(size <= LONG_UNIT)
+    count, drawn = np.zeros(len(start), np.int64), []
+    if len(short):
+        drawn = _draw_short(cps, start[short], size[short], stream[short], vocab)
+        for a, _, _ in drawn:
+            count[short[a]] += 1
+    long = {int(u): draw_long(cps[start[u] : start[u] + size[u]], vocab, stream[u]) for u in np.flatnonzero(size > LONG_UNIT)}
+    for u, (ids, _) in long.items():
+        count[u] = len(ids)
     end = np.cumsum(count)
     ids, where = np.empty(int(end[-1]), np.int32), np.empty(int(end[-1]), np.int64)
     for k, (a, p, at) in enumerate(drawn):
-        ids[end[a] - 1 - k], where[end[a] - 1 - k] = p, flat[at]
+        ids[end[short[a]] - 1 - k], where[end[short[a]] - 1 - k] = p, at
+    for u, (p, at) in long.items():
+        ids[end[u] - count[u] : end[u]], where[end[u] - count[u] : end[u]] = p, start[u] + at
     owner = np.repeat(unit_doc, count)
     lone = np.flatnonzero(ids == -2)
     if len(lone):
@@ -246,7 +301,36 @@ def _encode_chunk(texts: list[str], keys: np.ndarray, vocab: Vocabulary, seed: i
             for b, byte in enumerate(c):
                 out[at[lone[back == k]] + b] = vocab.byte_piece[byte]
         ids, owner = out, np.repeat(owner, wide)
-    return np.bincount(owner, minlength=len(texts)), ids
+    return np.bincount(owner, minlength=len(keys)), ids
+
+
+def _draw_short(cps: np.ndarray, start: np.ndarray, size: np.ndarray, stream: np.ndarray, vocab: Vocabulary) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By step from the units' ends: units still active, the piece drawn for each, the position at which it ends."""
+    own = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    offset = own - np.repeat(start, size)
+    with np.errstate(over="ignore"):
+        each = splitmix(cps[own].astype(np.uint64)) * _powers(LONG_UNIT)[offset]
+        name = splitmix(np.add.reduceat(each, np.cumsum(size) - size) + size.astype(np.uint64))
+    _, sample, unit_of = np.unique(name, return_index=True, return_inverse=True)
+    u_size = size[sample]
+    u_start = np.cumsum(u_size) - u_size
+    flat = np.repeat(start[sample] - u_start, u_size) + np.arange(int(u_size.sum()))
+    score, piece = _lattice(cps[flat], u_start, u_size, vocab)
+    active, left, step, drawn = np.arange(len(start)), size.copy(), 0, []
+    while len(active):
+        at = u_start[unit_of[active]] + left[active] - 1
+        with np.errstate(over="ignore"):
+            r = (splitmix(stream[active] + np.uint64(step) * ODD) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        cum = score[at]
+        take = (cum <= r[:, None]).sum(1)
+        bad = piece[at, np.minimum(take, piece.shape[1] - 1)] == -1  # rounding at the end of the row
+        if bad.any():
+            take[bad] = [np.flatnonzero(piece[k] != -1)[-1] for k in at[bad]]
+        drawn.append((active, piece[at, take], start[active] + left[active] - 1))
+        left[active] -= take + 1
+        active = active[left[active] > 0]
+        step += 1
+    return drawn
 
 
 def decode_batch(sizes: np.ndarray, ids: np.ndarray, vocab: Vocabulary) -> list[bytes]:

@@ -138,7 +138,7 @@ def _judge_by_join(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES) + " AS t(host, path, verdict)")
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 

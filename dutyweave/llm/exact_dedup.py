@@ -33,13 +33,14 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", "")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sha): code points of the original text, SHA-256 of the normalised text."""
+def digests(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, n, sha) and other columns: code points of the original text, SHA-256 of the normalised text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.length(text).alias("n"),
         F.unhex(F.sha2(F.encode(normalised(F.col("text").cast("string")), "UTF-8"), 256)).alias("sha"),
+        *others,
     )
 
 
@@ -96,10 +97,23 @@ def exact_duplicates(docs: DataFrame, max_tracked: int = MAX_TRACKED, top_k: int
     )
 
 
-def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
+def drop_duplicates(docs: DataFrame, max_tracked: int = MAX_TRACKED, top_k: int = TOP_K) -> DataFrame:
+    """One row of docs for each distinct text, with all its columns; of rows that share text and doc_id any one.
+
+    Rows of hot groups meet their winner by broadcast and are combined where they are read; the rest meet theirs in one
+    shuffle by text and doc_id, in which a row number leaves one of repeated rows.
+    """
+    rows = stage(digests(docs), "exact-digests")
+    heavy = stage(heavy_groups(rows, max_tracked, top_k), "exact-heavy")
+    id_of = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    cold = rows.join(F.broadcast(heavy.select("sha")), "sha", "left_anti").groupBy("sha").agg(_winner(F.col("n"), F.col("doc_id")).alias("w"))
+    winners = cold.select("sha", F.col("w.n").alias("n"), F.coalesce((-F.col("w.neg")).cast("string"), F.lit("")).alias("id"))
+    keys = digests(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), "row").withColumn("id", id_of)
+    hot = keys.join(F.broadcast(heavy.select("sha", F.col("w.n").alias("wn"), F.coalesce((-F.col("w.neg")).cast("string"), F.lit("")).alias("wid"))), "sha")
+    hot = hot.where("n = wn AND id = wid").groupBy("sha").agg(F.first("row").alias("row")).select("row")
+    met = keys.join(winners.hint("shuffle_merge"), ["sha", "n", "id"])
+    met = met.withColumn("k", F.row_number().over(Window.partitionBy("sha", "n", "id").orderBy(F.lit(0)))).where("k = 1")
+    return met.select("row").unionByName(hot).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

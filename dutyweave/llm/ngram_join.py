@@ -386,9 +386,19 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of a group of similar documents the one with the smallest doc_id."""
-    gone = similar_groups(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of docs that stay, with all their columns: of a group of similar documents the one with the smallest doc_id.
+
+    Of rows that share a doc_id the one with the smallest text stays; they are combined where they are read.
+    """
+    groups = stage(similar_groups(docs, words, percent).where("doc_id IS NOT NULL"), "similar-groups")
+    seen = stage(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component_id")).where("rows > 1 OR doc_id <> component_id"), "not-alone")
+    alone = docs.join(seen.select(F.col("doc_id").alias("_seen")), docs["doc_id"].cast("long") == F.col("_seen"), "left_anti")
+    shared = seen.where("rows > 1 AND doc_id = component_id").select(F.col("doc_id").alias("_shared"))
+    if shared.isEmpty():
+        return alone
+    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    one = packed.join(shared, F.col("_id") == F.col("_shared"), "left_semi").groupBy("_id").agg(F.min_by("_row", "_text").alias("_row"))
+    return alone.unionByName(one.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from dutyweave.llm import collision_search, components, exact_dedup, language_id, mixing, ngram_join, personal_data, piece_sampling, suffix_dedup, toxicity, url_filter
+from dutyweave.llm import batches, collision_search, components, exact_dedup, language_id, mixing, ngram_join, personal_data, piece_sampling, suffix_dedup, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -472,9 +472,116 @@ def test_ngram_join_of_copies_with_longer_and_shorter_ones(spark):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7), (300, 100)]
+    edges = [(i, i + 1) for i in range(50)] + [(10_000 + (i * 7919) % 4001, 10_000 + ((i + 1) * 7919) % 4001) for i in range(4000)] + [(100, 200), (200, 300), (7, 7), (300, 100)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(51)} | {100: 100, 200: 100, 300: 100}
+    assert got == {i: 0 for i in range(51)} | {10_000 + i: 10_000 for i in range(4001)} | {100: 100, 200: 100, 300: 100}
+
+
+def segmentation_odds(text, vocab):
+    """Every segmentation of a text (as pieces) with its probability, by enumeration."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_sampling.MODEL)
+    pieces = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    found = {}
+
+    def walk(rest, ids, weight):
+        if not rest:
+            found[tuple(ids)] = weight
+        for n in range(1, len(rest) + 1):
+            if rest[:n] in pieces:
+                walk(rest[n:], [*ids, pieces[rest[:n]]], weight * float(np.exp(vocab.weight[pieces[rest[:n]]])))
+
+    walk("▁" + text, [], 1.0)
+    total = sum(found.values())
+    return {k: v / total for k, v in found.items()}
+
+
+@pytest.mark.parametrize("long_unit", [256, 1])
+def test_drawn_segmentations_have_their_probabilities(long_unit, monkeypatch):
+    monkeypatch.setattr(piece_sampling, "LONG_UNIT", long_unit)
+    monkeypatch.setattr(piece_sampling, "BLOCK", 3)
+    vocab, n = piece_sampling.load_vocabulary(), 4000
+    odds = segmentation_odds("there", vocab)
+    sizes, ids = piece_sampling.encode_batch(["there"] * n, np.arange(n).astype(np.uint64), vocab)
+    seen = collections.Counter(tuple(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1]))
+    assert set(seen) <= set(odds) and len(odds) > 5
+    for k, p in odds.items():
+        assert abs(seen[k] - n * p) < 5 * np.sqrt(n * p * (1 - p)) + 1
+
+
+def test_long_units_are_not_cut(monkeypatch):
+    vocab = piece_sampling.load_vocabulary()
+    words = "unbreakablelongidentifier" * 40
+    texts = [words, "x " * 30 + words + " y", "日本語" * 300]
+    sizes, ids = piece_sampling.encode_batch(texts * 30, np.arange(90).astype(np.uint64), vocab)
+    assert [b.decode() for b in piece_sampling.decode_batch(sizes, ids, vocab)] == texts * 30
+    crossed = set()
+    for x in np.split(ids, np.cumsum(sizes)[:-1])[::3]:
+        end = np.cumsum(vocab.piece_size[x]) - 1  # without the mark
+        crossed |= {k for k in range(64, len(words), 64) if k not in end.tolist()}
+    assert len(crossed) >= 10  # of 15 positions, some at which no piece of the vocabulary crosses
+    monkeypatch.setattr(piece_sampling, "CHUNK_CHARS", 50)
+    parts = piece_sampling.encode_batch(texts * 30, np.arange(90).astype(np.uint64), vocab)
+    assert parts[0].tolist() == sizes.tolist() and parts[1].tolist() == ids.tolist()
+
+
+def test_exact_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a b", "en"), (1, "a b", "en"), (2, "ab", "en"), (1, "x", "en"), (3, "x y", "en"), (None, "q", None), (None, "q", None), (4, None, "en"), (4, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS n", "'c' AS sha", "2 AS row", "3 AS id", "4 AS k", "5 AS w")
+    for tracked, top in ((64, 4), (64, 1)):
+        left = exact_dedup.drop_duplicates(df, tracked, top)
+        assert left.columns == df.columns
+        assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == [("1", "a b"), ("1", "x"), ("3", "x y"), ("4", "None"), ("None", "q")]
+    many = spark.createDataFrame([(7, "same text", "en")] * 500 + [(i, f"t {i % 50}", "en") for i in range(300)], "doc_id long, text string, lang string").repartition(4)
+    assert exact_dedup.drop_duplicates(many, 64, 4).count() == 51
+
+
+def test_near_duplicates_keep_one_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text + " z"), (3, "short one"), (3, "short one"), (3, "another text here"), (None, text), (None, text), (5, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS rows", "2 AS component_id", "3 AS n")
+    left = ngram_join.keep_one_of_each(df)
+    assert left.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", text), ("3", "another text here"), ("None", text), ("None", text), ("5", "")])
+
+
+def test_every_kernel_from_the_floor_on_is_found():
+    rng = random.Random(1)
+    marks = ["^" + "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(60)] + ["^aaaa", "^abcdefghijklmnopq"]
+    words = ["^" + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(200)]
+    for m in marks * 8:
+        w = list(m[1:])
+        for _ in range(rng.randint(0, 3)):
+            w.insert(rng.randrange(len(w) + 1), rng.choice("abxyz")) if rng.random() < 0.5 or len(w) < 3 else w.pop(rng.randrange(len(w)))
+        words.append("^" + "".join(w))
+    own, mine = toxicity.self_kernel(marks), toxicity.self_kernel(words)
+    full = np.stack([toxicity.raw_kernel(toxicity.pad(words), toxicity.pad([m] * len(words))) / np.sqrt(np.maximum(mine * own[j], 1e-12)) for j, m in enumerate(marks)], 1)
+    full[full < toxicity.FLOOR] = 0
+    found = toxicity.kernels(words, marks, own)
+    near = np.abs(full - toxicity.FLOOR) < 1e-4
+    assert (full > 0).sum() > 400 and np.abs(full - found)[~near].max() < 1e-4
+
+
+def test_sample_reaches_every_stratum(spark):
+    df = spark.range(7000).selectExpr("id AS doc_id", "concat('l', id % 70) AS lang")
+    got = batches.seeded_sample(df, df["doc_id"], df["lang"], 20, 3).groupBy("lang").count().collect()
+    assert len(got) == 70 and all(5 <= r["count"] <= 45 for r in got)
+    assert batches.seeded_sample(df, df["doc_id"], df["lang"], 100, 3, most_rows=700).count() < 1000
+
+
+def test_foreign_and_garbled_texts_are_rejected(spark):
+    rng = random.Random(4)
+    words = {"en": "the cat and dog of it with every other house".split(), "de": "der hund und die maus ist nicht ohne haus weg".split()}
+    text = lambda k, n=60: " ".join(rng.choice(words[k]) for _ in range(n))
+    rows = [(i, text(("en", "de")[i % 2]), ("en", "de")[i % 2]) for i in range(400)]
+    net = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 120, epochs=6, reject=True)
+    odd = ["".join(rng.sample(text("en", 90), 300)) for _ in range(20)] + ["zqx vkpw jjzx qwv " * 20, "\u0436\u0448\u0449 \u044b\u044d\u044e " * 40]
+    clean = [text("en"), text("de"), "the cat", "der hund"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(clean + odd + [None, "", "12 34"])], "doc_id long, text string").selectExpr("*", "1 AS lang_pred", "2 AS score")
+    left = language_id.keep_identified(df, net)
+    kept = {r.doc_id for r in left.collect()}
+    assert left.columns == df.columns and set(range(4)) <= kept and len(kept) <= 6
 
 
 def test_piece_sampling(spark, docs, empty):

@@ -33,11 +33,13 @@ DOCS_PER_LANGUAGE = 900
 WINDOWS_PER_DOC = 2
 EPOCHS = 8
 MINIBATCH = 128
+#: Steps at least; small samples are gone through more often.
+LEAST_STEPS = 400
 CHUNK = 1024
 LETTER = re.compile(r"[^\W\d_]")
 #: Label of a class trained on garbled windows, where texts in no learnt language are to be told; no language value is empty.
 OTHER = ""
-#: Mean probability of OTHER over a text's positions, and SHORT more that speak for a language, from which a text is rejected.
+#: Mean probability of OTHER over a text's positions, and SHORT more that speak for a language, from which a text is rejected at the earliest.
 REJECT_FROM = 0.6
 SHORT = 96
 
@@ -51,6 +53,8 @@ class Network:
     rec: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    #: From this share of OTHER on a text is rejected.
+    reject_from: float = REJECT_FROM
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -159,7 +163,9 @@ def train(cells: np.ndarray, target: np.ndarray, labels: list[str], epochs: int
         np.zeros(len(labels), np.float32),
     )
     moments = {k: (np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))) for k in ("emb", "rec", "out", "bias")}
-    step, total = 0, epochs * -(-len(cells) // MINIBATCH)
+    each = -(-len(cells) // MINIBATCH)
+    epochs = max(epochs, -(-LEAST_STEPS // each))
+    step, total = 0, epochs * each
     for _ in range(epochs):
         order = rng.permutation(len(cells))
         for i in range(0, len(order), MINIBATCH):
@@ -202,7 +208,11 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, epochs: int
         labels = [OTHER, *labels]
     cells, owner, _ = segments([x[2] for x in found])
     target = np.array([labels.index(x[1]) for x in found])[owner]
-    return train(cells, target, labels, epochs, seed)
+    net = train(cells, target, labels, epochs, seed)
+    if reject:  # no more than one clean window in a thousand may look rejected
+        clean = probabilities(net, [x[2] for x in found if x[1] != OTHER])[:, labels.index(OTHER)]
+        net.reject_from = max(REJECT_FROM, float(np.quantile(clean, 0.999)))
+    return net
 
 
 def probabilities(net: Network, texts: list[str]) -> np.ndarray:
@@ -238,7 +248,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return ready.mapInArrow(per_batch(label), schema)
 
 
-def keep_identified(docs: DataFrame, net: Network | None, reject_from: float = REJECT_FROM) -> DataFrame:
+def keep_identified(docs: DataFrame, net: Network | None) -> DataFrame:
     """The rows of docs in a language that the network (fitted with reject) was taught, with all their columns.
 
     Texts that are null or without a letter go; texts too short to tell stay.
@@ -252,7 +262,7 @@ def keep_identified(docs: DataFrame, net: Network | None, reject_from: float = R
         if known:
             other = probabilities(net, [texts[i] for i in known])[:, net.labels.index(OTHER)]
             size = np.array([len(texts[i].encode("utf-8", "replace")) for i in known])
-            stay = [i for i, x in zip(known, other * size / (size + SHORT), strict=True) if x < reject_from]
+            stay = [i for i, x in zip(known, other * size / (size + SHORT), strict=True) if x < net.reject_from]
         return batch.take(pa.array(stay, pa.int64()))
 
     return docs.mapInArrow(per_batch(keep), docs.schema)

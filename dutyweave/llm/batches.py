@@ -50,4 +50,5 @@ def seeded_sample(rows: DataFrame, key: Column, stratum: Column, per_stratum: in
     each = F.least(F.lit(per_stratum), F.greatest(F.lit(1), F.floor(F.lit(most_rows) / F.count(F.lit(1)).over(Window.partitionBy()))))
     u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000_007)) / 1_000_000_007.0
     rated = counts.select("_stratum", (each / F.col("_rows")).alias("_rate"))  # at most max_strata rows
-    return s.withColumn("_u", u).join(F.broadcast(rated), "_stratum").where("_u < _rate").select(*rows.columns)
+    most = rated.agg(F.max("_rate")).first()[0]  # this bound reaches the scan, before rows meet anything
+    return s.where(u < (most or 0.0)).withColumn("_u", u).join(F.broadcast(rated), "_stratum").where("_u < _rate").select(*rows.columns)

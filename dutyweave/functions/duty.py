@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # fixed values: units and markers of duty expressions
 UNITS = r"KGM(?:\s+S)?|DTN(?:\s+[A-Z])?|TNE|NAR|NPR|MTK|LTR|HLT|GRM"
 NUMBER = r"\d[\d.,]*"
+# fixed values: certificate categories by first letter
+CERTIFICATES = {"Y": "exemption_declaration", "C": "mandatory_certificate", "N": "national_document", "U": "preferential_origin", "L": "import_license"}
 
 
 def duty_kind(text: Column) -> Column:
@@ -53,5 +55,7 @@ def duty_bucket(code: Column, description: Column) -> Column:
 
 def certificate_kind(code: Column) -> Column:
     """Certificate category by its first letter."""
-    first = F.upper(F.left(F.trim(code), F.lit(1)))
-    return F.when(first == "Y", "exemption").when(first.isin("U", "N"), "preferential").when(first.isin("C", "L", "D", "E", "I"), "certificate").otherwise("other")
+    first, kind = F.upper(F.left(F.trim(code), F.lit(1))), F.lit("other")
+    for letter, name in CERTIFICATES.items():
+        kind = F.when(first == letter, name).otherwise(kind)
+    return F.when(F.coalesce(code, F.lit("")) == "", "unknown").otherwise(kind)

@@ -87,10 +87,16 @@ def normal_url(url: Column) -> Column:
     return F.concat(head, F.rtrim(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), F.lit("/")))
 
 
+# fixed values: how a label of what is left over begins, besides the word "other"
+LEFT_OVER = ("not elsewhere specified", "not elsewhere included", "n.e.s")
+
+
 def is_residual(label: Column) -> Column:
-    """A label that names what is left over."""
-    low = F.lower(F.trim(F.coalesce(label, F.lit(""))))
-    return low.startswith("other") | low.contains("not elsewhere") | low.contains("n.e.s")
+    """A label that names what is left over: the word "other" or a marker of LEFT_OVER at its beginning."""
+    found = F.lower(F.trim(F.coalesce(label, F.lit("")))).rlike(r"^other\b")
+    for marker in LEFT_OVER:
+        found = found | F.lower(F.trim(F.coalesce(label, F.lit("")))).startswith(marker)
+    return found
 
 
 def stable_key(*parts: Column) -> Column:

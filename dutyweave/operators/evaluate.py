@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,11 +27,13 @@ def table_agreement(left: DataFrame, right: DataFrame, key: str = "table_id") ->
 
 
 def fact_agreement(facts: DataFrame) -> DataFrame:
-    """Jaccard similarity of the facts of each pair of routes."""
+    """Jaccard similarity of the facts of each pair of routes, 0 for pairs that share none. Routes are a handful of engines."""
     f = facts.select("route", "fact").distinct()
     n = f.groupBy("route").agg(F.count(F.lit(1)).alias("n"))
+    every = n.agg(F.array_sort(F.collect_list(F.struct("route", "n"))).alias("r")).select("r", F.inline("r"))
+    every = every.select("route", "n", F.explode(F.filter("r", lambda o: o["route"] > F.col("route"))).alias("o")).select("route", "n", F.col("o.route").alias("other"), F.col("o.n").alias("m"))
     s = f.join(f.select(F.col("route").alias("other"), "fact"), "fact").where("route < other").groupBy("route", "other").agg(F.count(F.lit(1)).alias("shared"))
-    j = s.join(n, "route").join(n.select(F.col("route").alias("other"), F.col("n").alias("m")), "other")
+    j = every.join(s, ["route", "other"], "left").na.fill(0, ["shared"])
     return j.select("route", "other", "shared", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 6).alias("jaccard"))
 
 
@@ -58,13 +60,20 @@ def compare_quantities(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def dedupe_boxes(boxes: DataFrame, least: float = 0.65) -> DataFrame:
-    """Boxes of a page that repeat an earlier one: same text or intersection over union of `least` or more."""
-    a = boxes.alias("a")
-    b = boxes.select("page", *[F.col(c).alias(f"o_{c}") for c in ("box_id", "x1", "y1", "x2", "y2", "text")]).alias("b")
-    w = F.least("x2", "o_x2") - F.greatest("x1", "o_x1")
-    h = F.least("y2", "o_y2") - F.greatest("y1", "o_y1")
-    inter = F.when((w > 0) & (h > 0), w * h).otherwise(0.0)
-    union = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("o_x2") - F.col("o_x1")) * (F.col("o_y2") - F.col("o_y1")) - inter
-    near = (F.col("o_x1") < F.col("x2")) & (F.col("o_x2") > F.col("x1")) & (F.col("o_y1") < F.col("y2")) & (F.col("o_y2") > F.col("y1"))
-    gone = a.join(b, "page").where("o_box_id < box_id").where(near & ((F.col("text") == F.col("o_text")) | (inter >= least * union))).select("page", "box_id").distinct()
-    return boxes.join(gone, ["page", "box_id"], "left_anti")
+    """Boxes that stay, page by page in order of box_id: one goes if a box kept before it has the same text (blanks folded, not empty) or covers it by `least`, intersection over union.
+
+    A page's boxes are gathered; a page holds a bounded number of them.
+    """
+    folded = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    box = F.struct("box_id", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], folded.alias("text"))
+    area = lambda b: F.greatest(b["x2"] - b["x1"], F.lit(0.0)) * F.greatest(b["y2"] - b["y1"], F.lit(0.0))
+
+    def repeats(kept: Column, b: Column) -> Column:
+        w = F.greatest(F.least(kept["x2"], b["x2"]) - F.greatest(kept["x1"], b["x1"]), F.lit(0.0))
+        h = F.greatest(F.least(kept["y2"], b["y2"]) - F.greatest(kept["y1"], b["y1"]), F.lit(0.0))
+        union = area(kept) + area(b) - w * h
+        return ((b["text"] != "") & (kept["text"] == b["text"])) | ((union > 0) & (w * h >= least * union))
+
+    pages = boxes.groupBy("page").agg(F.array_sort(F.collect_list(box)).alias("all"))
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda k, b: F.when(F.exists(k, lambda o: repeats(o, b)), k).otherwise(F.concat(k, F.array(b))))
+    return boxes.join(pages.select("page", F.explode(F.transform(kept, lambda b: b["box_id"])).alias("box_id")), ["page", "box_id"], "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,14 +11,17 @@ from pyspark.sql.window import Window
 from dutyweave.staging import stage
 
 
-def build_tree(rows: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Adds parent_pos to pre-order rows (chapter, pos, depth): the nearest earlier row of smaller depth.
+def build_tree(rows: DataFrame, include_expired: bool = False) -> DataFrame:
+    """Adds parent_pos to pre-order rows (chapter, pos, depth): the nearest earlier row of smaller depth. Rows with an end_date take no part.
 
-    For each depth a running maximum of positions; the parent is the largest of those of smaller depths.
+    For each depth that occurs (a handful) a running maximum of positions; the parent is the largest of those of smaller depths.
     """
+    if "end_date" in rows.columns and not include_expired:
+        rows = rows.where("end_date IS NULL")
+    depths = sorted(r["depth"] for r in rows.select("depth").distinct().collect() if r["depth"] is not None)
     w = Window.partitionBy("chapter").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("depth") == d, F.col("pos"))).over(w) for d in range(max_depth)]
-    nearest = F.greatest(*[F.when(F.col("depth") > d, p) for d, p in enumerate(last)], F.lit(None).cast("long"))
+    last = [F.max(F.when(F.col("depth") == d, F.col("pos"))).over(w) for d in depths]
+    nearest = F.greatest(*[F.when(F.col("depth") > d, p) for d, p in zip(depths, last, strict=True)], F.lit(None).cast("long"), F.lit(None).cast("long"))
     return rows.withColumn("parent_pos", nearest)
 
 
@@ -43,18 +48,19 @@ def children(parents: DataFrame, codes: DataFrame, width: int) -> DataFrame:
     return found.groupBy("parent", "child").agg(F.min("code10").alias("code10"), F.min_by("label", F.struct("code10", "label")).alias("label"))
 
 
-def closure(edges: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(concept, ancestor, distance) of edges (concept, parent), each concept its own ancestor at 0; smallest distance."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(concept, ancestor, distance) of edges (concept, parent), each concept its own ancestor at 0; smallest distance. Rounds go on until none is new.
+
+    Each round writes only its new rows; what is known is the union of the rounds.
+    """
     base = edges.select("concept").union(edges.select("parent")).distinct()
-    known = stage(base.select("concept", F.col("concept").alias("ancestor"), F.lit(0).alias("distance")), "closure")
-    front = known
-    for d in range(1, max_depth + 1):
+    known = front = stage(base.select("concept", F.col("concept").alias("ancestor"), F.lit(0).alias("distance")), "closure")
+    for d in count(1):
         step = front.join(edges.select(F.col("concept").alias("ancestor"), "parent"), "ancestor").select("concept", F.col("parent").alias("ancestor")).distinct()
         front = stage(step.join(known, ["concept", "ancestor"], "left_anti").withColumn("distance", F.lit(d)), "closure")
         if front.isEmpty():
-            break
-        known = stage(known.unionByName(front), "closure")
-    return known
+            return known
+        known = known.unionByName(front)
 
 
 def most_specific(found: DataFrame, closed: DataFrame) -> DataFrame:

@@ -43,12 +43,12 @@ def primary_branch(branches: DataFrame) -> DataFrame:
     return branches.groupBy("heading").agg(best.alias("primary_code"))
 
 
-def branch_status(branches: DataFrame) -> DataFrame:
-    """none, non_declarable_only, one_leaf or several_leaves for each heading."""
+def branch_status(headings: DataFrame, branches: DataFrame) -> DataFrame:
+    """none, non_declarable_only, one_leaf or several_leaves for each asked heading."""
     n = F.count_if("leaf")
-    return branches.groupBy("heading").agg(
-        n.alias("n_leaves"), F.when(F.count(F.lit(1)) == 0, "none").when(n == 0, "non_declarable_only").when(n == 1, "one_leaf").otherwise("several_leaves").alias("status")
-    )
+    found = branches.groupBy("heading").agg(n.alias("n_leaves"), F.when(n == 0, "non_declarable_only").when(n == 1, "one_leaf").otherwise("several_leaves").alias("status"))
+    joined = headings.select("heading").distinct().join(found, "heading", "left")
+    return joined.select("heading", F.coalesce("n_leaves", F.lit(0)).alias("n_leaves"), F.coalesce("status", F.lit("none")).alias("status"))
 
 
 def measure_groups(measures: DataFrame, most: int = 8) -> DataFrame:
@@ -61,25 +61,40 @@ def measure_groups(measures: DataFrame, most: int = 8) -> DataFrame:
     )
 
 
-def duty_priority(inherited: DataFrame, keep: int = 3) -> DataFrame:
-    """Best rates of each code and bucket: same-looking items keep the most specific code, then lowest rate first."""
-    rows = inherited.withColumn("bucket", duty.duty_bucket(F.col("measure_type_code"), F.lit("")))
-    near = codes.specificity(F.col("goods_code_10"), F.col("code10"))
-    rows = rows.withColumn("rate", F.coalesce(duty.percent_part(F.col("duty_text")), F.lit(0.0))).withColumn("near", near)
+def duty_priority(targets: DataFrame, measures: DataFrame, keep: int = 3) -> DataFrame:
+    """Best rates of each code and bucket: same-looking items keep the most specific code, then lowest rate first.
+
+    Only the first `keep` different-looking items of each attached code and bucket can be among the best of a code that
+    inherits them: whatever displaces one of these from a more specific code has the same rate and comes before it. So
+    measures are reduced where they are attached, and only these few are handed down.
+    """
+    rows = measures.withColumn("bucket", duty.duty_bucket(F.col("measure_type_code"), F.lit("")))
+    rows = rows.groupBy("goods_code_10", "bucket", "measure_type_code", "duty_text").agg(F.min("measure_id").alias("measure_id"))
+    rows = rows.withColumn("rate", F.coalesce(duty.percent_part(F.col("duty_text")), F.lit(0.0)))
+    first = Window.partitionBy("goods_code_10", "bucket").orderBy("rate", "measure_id")
+    rows = inherit_measures(targets, rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= keep).drop("place"))
+    rows = rows.withColumn("near", codes.specificity(F.col("goods_code_10"), F.col("code10")))
     same = Window.partitionBy("code10", "bucket", "measure_type_code", "duty_text").orderBy(F.desc("near"), "measure_id")
     rows = rows.withColumn("same", F.row_number().over(same)).where("same = 1")
     order = Window.partitionBy("code10", "bucket").orderBy("rate", F.desc("near"), "measure_id")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= keep).select("code10", "bucket", "place", "measure_id", "duty_text", "rate")
 
 
+def inheritance_counts(targets: DataFrame, measures: DataFrame) -> DataFrame:
+    """For each code and scope: how many measures it has, the first of them, and how many legal bases; counted where they are attached."""
+    bases = measures.groupBy("goods_code_10", "legal_base").agg(F.count(F.lit(1)).alias("n"), F.min("measure_id").alias("first_id"))
+    return inherit_measures(targets, bases).groupBy("code10", "scope").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.countDistinct("legal_base").alias("bases"))
+
+
 def basic_rate(goods: DataFrame, measures: DataFrame) -> DataFrame:
-    """For each code: how many measures it inherits, and its lowest applying basic rate from the most specific code."""
-    rows = inherit_measures(goods.select("code10").distinct(), current_measures(measures))
-    rows = rows.withColumn("basic", duty.duty_bucket(F.col("measure_type_code"), F.lit("")) == "basic")
-    near = codes.specificity(F.col("goods_code_10"), F.col("code10"))
+    """For each code: how many measures it inherits, and its lowest applying basic rate from the most specific code; reduced where measures are attached."""
+    rows = current_measures(measures).withColumn("basic", duty.duty_bucket(F.col("measure_type_code"), F.lit("")) == "basic")
     rate = F.coalesce(duty.percent_part(F.col("duty_text")), F.lit(0.0))
-    best = F.max_by(F.col("duty_text"), F.when(F.col("basic"), F.struct(near.alias("near"), (-rate).alias("rate"), (-F.col("measure_id")).alias("id"))))
-    return rows.groupBy("code10").agg(F.count(F.lit(1)).alias("n_measures"), F.count_if("basic").alias("n_basic"), best.alias("best_basic"))
+    lowest = F.min(F.when(F.col("basic"), F.struct(rate.alias("rate"), F.col("measure_id").alias("id"), "duty_text")))
+    attached = rows.groupBy("goods_code_10").agg(F.count(F.lit(1)).alias("n"), F.count_if("basic").alias("nb"), lowest.alias("lowest"))
+    held = inherit_measures(goods.select("code10").distinct(), attached)
+    near = F.when(F.col("lowest").isNotNull(), codes.specificity(F.col("goods_code_10"), F.col("code10")))
+    return held.groupBy("code10").agg(F.sum("n").alias("n_measures"), F.sum("nb").alias("n_basic"), F.max_by(F.col("lowest.duty_text"), near).alias("best_basic"))
 
 
 def parse_duties(measures: DataFrame) -> DataFrame:
@@ -197,7 +212,7 @@ def bind_documents(details: DataFrame, bindings: DataFrame) -> DataFrame:
 def required_documents(groups: DataFrame) -> DataFrame:
     """Each certificate once, with its first measure kind; exemption and preferential kinds left out."""
     kind = duty.certificate_kind(F.col("certificate"))
-    return groups.where(~kind.isin("exemption", "preferential")).groupBy("certificate").agg(F.min("measure_type_code").alias("first_kind"), F.countDistinct("legal_base").alias("bases"))
+    return groups.where(~kind.isin("exemption_declaration", "preferential_origin")).groupBy("certificate").agg(F.min("measure_type_code").alias("first_kind"), F.countDistinct("legal_base").alias("bases"))
 
 
 def signals(packages: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ QUERIES = {
     "bridge_terms": (
         lambda s, d: ops.bridge_terms(views.table(s, d, "part").select(F.col("p_partkey").alias("entry_id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("x"), F.regexp_replace("p_name", " ", ""))).otherwise(F.col("p_name")).alias("name")), _names(s, d)),
         f"""{views.WITH_GOODS}, k AS (SELECT string_split(label, ' ')[2] AS key, min(code10) AS code10 FROM goods WHERE p_partkey % 97 = 0 GROUP BY 1), n AS (SELECT p_partkey AS entry_id, lower(CASE WHEN p_partkey % 3 = 0 THEN 'x' || replace(p_name, ' ', '') ELSE p_name END) AS name FROM part),
-        h AS (SELECT entry_id, key, code10, CASE WHEN name = key THEN 1 WHEN list_contains(string_split_regex(name, '\\s+'), key) THEN 2 ELSE 3 END AS tier FROM n JOIN k ON contains(name, key) AND (length(key) BETWEEN 3 AND 12 OR name = key OR list_contains(string_split_regex(name, '\\s+'), key))),
+        h AS (SELECT entry_id, key, code10, CASE WHEN name = key THEN 1 WHEN list_contains(string_split_regex(name, '\\s+'), key) THEN 2 ELSE 3 END AS tier FROM n JOIN k ON contains(name, key) AND (length(key) >= 2 OR name = key OR list_contains(string_split_regex(name, '\\s+'), key))),
         b AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY tier, length(key) DESC, key, code10) AS r FROM h) SELECT entry_id, key, code10, coalesce(tier, 0) AS tier FROM n LEFT JOIN (SELECT * FROM b WHERE r = 1) USING (entry_id)""",
     ),
     "merge_compositions": (

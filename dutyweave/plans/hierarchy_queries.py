@@ -38,7 +38,11 @@ def _paths(s, d):
 
 
 QUERIES = {
-    "build_tree": (lambda s, d: ops.build_tree(nodes(s, d)), f"{views.WITH_GOODS}, {D_NODES} SELECT * FROM tree"),
+    "build_tree": (
+        lambda s, d: ops.build_tree(nodes(s, d).withColumn("end_date", F.when((F.col("pos") % 7 == 3) & (F.col("depth") > 0), "2020-12-31"))).drop("end_date"),
+        f"""{views.WITH_GOODS}, {D_NODES}, live AS (SELECT * FROM pos WHERE NOT (pos % 7 = 3 AND depth > 0))
+        SELECT *, (SELECT max(p.pos) FROM live p WHERE p.chapter = c.chapter AND p.pos < c.pos AND p.depth < c.depth) AS parent_pos FROM live c""",
+    ),
     "tree_summary": (
         lambda s, d: ops.tree_summary(ops.build_tree(nodes(s, d)).withColumn("leaf", F.col("depth") == 4)),
         f"{views.WITH_GOODS}, {D_NODES} SELECT count(*) AS nodes, count_if(parent_pos IS NULL) AS roots, max(depth) AS max_depth, count(DISTINCT chapter) AS chapters, count_if(depth = 4) AS leaves FROM tree",

@@ -28,11 +28,11 @@ def values(rows: list[tuple], names: str) -> str:
 
 def _groups(s, d):
     m = views.measures(s, d)
-    g = m.select("measure_type_code", "legal_base", F.concat(F.when(F.col("measure_id") % 7 == 0, "Y").otherwise("C"), F.lit("-000"), (F.col("measure_id") % 5).cast("string")).alias("certificate"))
+    g = m.select("measure_type_code", "legal_base", F.concat(F.when(F.col("measure_id") % 7 == 0, "Y").when(F.col("measure_id") % 7 == 1, "N").when(F.col("measure_id") % 7 == 2, "L").when(F.col("measure_id") % 7 == 3, "u").when(F.col("measure_id") % 7 == 4, "D").otherwise("C"), F.lit("-000"), (F.col("measure_id") % 5).cast("string")).alias("certificate"))
     return g.distinct()
 
 
-GROUPS = "grp AS (SELECT DISTINCT measure_type_code, legal_base, CASE WHEN measure_id % 7 = 0 THEN 'Y' ELSE 'C' END || '-000' || CAST(measure_id % 5 AS VARCHAR) AS certificate FROM measures)"
+GROUPS = "grp AS (SELECT DISTINCT measure_type_code, legal_base, CASE measure_id % 7 WHEN 0 THEN 'Y' WHEN 1 THEN 'N' WHEN 2 THEN 'L' WHEN 3 THEN 'u' WHEN 4 THEN 'D' ELSE 'C' END || '-000' || CAST(measure_id % 5 AS VARCHAR) AS certificate FROM measures)"
 
 
 def _details(s, d):
@@ -80,7 +80,7 @@ QUERIES = {
         SELECT code10, count(*) AS n_measures, count_if(basic) AS n_basic, max(CASE WHEN basic AND k = 1 THEN duty_text END) AS best_basic FROM r GROUP BY code10""",
     ),
     "inherit_measures": (
-        lambda s, d: _inherited(s, d).groupBy("code10", "scope").agg(F.count(F.lit(1)).alias("n"), F.min("measure_id").alias("first_id"), F.countDistinct("legal_base").alias("bases")),
+        lambda s, d: ops.inheritance_counts(views.goods(s, d), views.measures(s, d)),
         f"""{views.WITH_MEASURES}, {ANC} SELECT code10, CASE WHEN goods_code_10 = code10 THEN 'direct' ELSE 'ancestor' END AS scope, count(*) AS n, min(measure_id) AS first_id, count(DISTINCT legal_base) AS bases
         FROM anc JOIN measures USING (goods_code_10) GROUP BY ALL""",
     ),
@@ -97,8 +97,9 @@ QUERIES = {
         f"""{views.WITH_MEASURES}, {BRANCH} SELECT heading, first(goods_code_10 ORDER BY applies DESC, leaf DESC, n_measures DESC, goods_code_10) AS primary_code FROM branches GROUP BY heading""",
     ),
     "branch_status": (
-        lambda s, d: ops.branch_status(_branches(s, d)),
-        f"""{views.WITH_MEASURES}, {BRANCH} SELECT heading, count_if(leaf) AS n_leaves, CASE WHEN count_if(leaf) = 0 THEN 'non_declarable_only' WHEN count_if(leaf) = 1 THEN 'one_leaf' ELSE 'several_leaves' END AS status FROM branches GROUP BY heading""",
+        lambda s, d: ops.branch_status(views.goods(s, d).select(F.concat(F.left("code10", F.lit(3)), F.lit("0")).alias("heading")).unionByName(views.goods(s, d).select(F.concat(F.left("code10", F.lit(3)), F.lit("5")).alias("heading"))), _branches(s, d)),
+        f"""{views.WITH_MEASURES}, {BRANCH} SELECT heading, coalesce(count_if(leaf), 0) AS n_leaves, CASE WHEN count(goods_code_10) = 0 THEN 'none' WHEN count_if(leaf) = 0 THEN 'non_declarable_only' WHEN count_if(leaf) = 1 THEN 'one_leaf' ELSE 'several_leaves' END AS status
+        FROM (SELECT DISTINCT substr(code10, 1, 3) || t.x AS heading FROM goods, (VALUES ('0'), ('5')) AS t(x)) LEFT JOIN branches USING (heading) GROUP BY heading""",
     ),
     "measure_groups": (
         lambda s, d: ops.measure_groups(views.measures(s, d)),
@@ -106,7 +107,7 @@ QUERIES = {
         array_to_string(list_slice(list_sort(list_distinct(list(goods_code_10))), 1, 8), ';') AS codes FROM measures GROUP BY ALL""",
     ),
     "duty_priority": (
-        lambda s, d: ops.duty_priority(_inherited(s, d)),
+        lambda s, d: ops.duty_priority(views.goods(s, d), views.measures(s, d)),
         f"""{views.WITH_MEASURES}, {ANC}, j AS (SELECT *, {BUCKET} AS bucket, {RATE} AS rate, CASE WHEN goods_code_10 = code10 THEN 1 ELSE 0 END AS ex, length(rtrim(goods_code_10, '0')) AS wid FROM anc JOIN measures USING (goods_code_10)),
         u AS (SELECT *, row_number() OVER (PARTITION BY code10, bucket, measure_type_code, duty_text ORDER BY ex DESC, wid DESC, measure_id) AS same FROM j),
         p AS (SELECT *, row_number() OVER (PARTITION BY code10, bucket ORDER BY rate, ex DESC, wid DESC, measure_id) AS place FROM u WHERE same = 1)
@@ -124,7 +125,7 @@ QUERIES = {
     ),
     "certificate_kinds": (
         lambda s, d: _groups(s, d).groupBy(duty.certificate_kind(F.col("certificate")).alias("kind")).agg(F.count(F.lit(1)).alias("n")),
-        f"""{views.WITH_MEASURES}, {GROUPS} SELECT CASE substr(certificate, 1, 1) WHEN 'Y' THEN 'exemption' ELSE 'certificate' END AS kind, count(*) AS n FROM grp GROUP BY ALL""",
+        f"""{views.WITH_MEASURES}, {GROUPS} SELECT CASE substr(certificate, 1, 1) WHEN 'Y' THEN 'exemption_declaration' WHEN 'C' THEN 'mandatory_certificate' WHEN 'N' THEN 'national_document' WHEN 'u' THEN 'preferential_origin' WHEN 'L' THEN 'import_license' ELSE 'other' END AS kind, count(*) AS n FROM grp GROUP BY ALL""",
     ),
     "scope_join_chapter": (
         lambda s, d: ops.scope_join_chapter(views.goods(s, d), s.createDataFrame(DOCS, "document string, scope string")).select("p_partkey", "chapter", "document"),

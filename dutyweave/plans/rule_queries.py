@@ -112,7 +112,7 @@ QUERIES = {
     ),
     "required_documents": (
         lambda s, d: requirements.required_documents(_groups(s, d)),
-        f"{views.WITH_MEASURES}, {GROUPS} SELECT certificate, min(measure_type_code) AS first_kind, count(DISTINCT legal_base) AS bases FROM grp WHERE substr(certificate, 1, 1) <> 'Y' GROUP BY certificate",
+        f"{views.WITH_MEASURES}, {GROUPS} SELECT certificate, min(measure_type_code) AS first_kind, count(DISTINCT legal_base) AS bases FROM grp WHERE substr(certificate, 1, 1) NOT IN ('Y', 'u') GROUP BY certificate",
     ),
     "signals": (
         lambda s, d: requirements.signals(views.goods(s, d).join(views.measures(s, d).groupBy(F.col("goods_code_10").alias("code10")).agg(F.count(F.lit(1)).alias("n")), "code10", "left").select(F.col("p_partkey").alias("product"), F.coalesce("n", F.lit(0)).alias("n_measures"), F.col("label").startswith("red").alias("ambiguous"))),

@@ -36,10 +36,12 @@ def _signed(e):
     return e.select((F.col("user_id") % 60).alias("signature"), "event_id", F.when(F.col("event_type") == "purchase", "closed").otherwise("request").alias("status"))
 
 
+BOXES = """SELECT l_orderkey AS page, l_orderkey * 10 + l_linenumber AS box_id, min(l_suppkey) % 3 * 10 AS x1, min(l_partkey) % 3 * 5 AS y1, min(l_suppkey) % 3 * 10 + 20 + l_linenumber AS x2, min(l_partkey) % 3 * 5 + 20 AS y2,
+  CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE min(l_returnflag) || CASE WHEN min(l_partkey) % 2 = 0 THEN '  ' ELSE ' ' END || CAST(min(l_partkey) % 9 AS <S>) END AS text FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
+
+
 def _boxes(s, d):
-    l = views.table(s, d, "lineitem").where("l_orderkey % 5 = 0")
-    x, y = (F.col("l_suppkey") % 7 * 10).cast("double"), (F.col("l_partkey") % 5 * 10).cast("double")
-    return l.select((F.col("l_orderkey") % 2000).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box_id"), x.alias("x1"), y.alias("y1"), (x + 20 + F.col("l_linenumber")).alias("x2"), (y + 20).alias("y2"), F.col("l_returnflag").alias("text")).dropDuplicates(["page", "box_id"])
+    return s.sql(BOXES.replace("<S>", "STRING"), lineitem=views.table(s, d, "lineitem"))
 
 
 def _preds(s, d):
@@ -152,9 +154,14 @@ QUERIES = {
     ),
     "dedupe_boxes": (
         lambda s, d: evaluate.dedupe_boxes(_boxes(s, d)).select("page", "box_id"),
-        """WITH b AS (SELECT DISTINCT ON (page, box_id) * FROM (SELECT l_orderkey % 2000 AS page, l_orderkey * 10 + l_linenumber AS box_id, (l_suppkey % 7 * 10)::DOUBLE AS x1, (l_partkey % 5 * 10)::DOUBLE AS y1, l_suppkey % 7 * 10 + 20.0 + l_linenumber AS x2, l_partkey % 5 * 10 + 20.0 AS y2, l_returnflag AS text FROM lineitem WHERE l_orderkey % 5 = 0)),
-        p AS (SELECT a.page, a.box_id, greatest(0, least(a.x2, o.x2) - greatest(a.x1, o.x1)) * greatest(0, least(a.y2, o.y2) - greatest(a.y1, o.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) AS s, a.text = o.text AS same FROM b a JOIN b o ON a.page = o.page AND o.box_id < a.box_id)
-        SELECT page, box_id FROM b WHERE (page, box_id) NOT IN (SELECT (page, box_id) FROM p WHERE i > 0 AND (same OR i >= 0.65 * (s - i)))""",
+        f"""WITH RECURSIVE b AS (SELECT *, regexp_replace(text, '\\s+', ' ', 'g') AS t, row_number() OVER (PARTITION BY page ORDER BY box_id) AS k FROM ({BOXES.replace("<S>", "VARCHAR").replace("{lineitem}", "lineitem")})),
+        g AS (SELECT page, k, [{{'i': box_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 't': t}}] AS kept FROM b WHERE k = 1
+          UNION ALL SELECT g.page, b.k, CASE WHEN len(list_filter(g.kept, lambda o: (b.t <> '' AND o.t = b.t)
+            OR greatest(0, least(o.x2, b.x2) - greatest(o.x1, b.x1)) * greatest(0, least(o.y2, b.y2) - greatest(o.y1, b.y1)) >= 0.65 * ((o.x2 - o.x1) * (o.y2 - o.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
+              - greatest(0, least(o.x2, b.x2) - greatest(o.x1, b.x1)) * greatest(0, least(o.y2, b.y2) - greatest(o.y1, b.y1))))) > 0 THEN g.kept
+            ELSE list_append(g.kept, {{'i': b.box_id, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 't': b.t}}) END FROM g JOIN b ON b.page = g.page AND b.k = g.k + 1),
+        z AS (SELECT page, arg_max(kept, k) AS kept FROM g GROUP BY page)
+        SELECT page, unnest(kept).i AS box_id FROM z""",
     ),
     "review_queue": (
         lambda s, d: runs.run_to_end(runs.review_queue(_stream(s, d).select("event_id", "ts", (F.col("user_id") % 40).alias("term"), F.concat("event_type", F.lit(":"), F.col("user_id").cast("string")).alias("raw"))), ["term"]),

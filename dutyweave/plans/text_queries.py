@@ -21,6 +21,13 @@ def labels(s, d):
     return s.sql(views.for_spark(LABELS), part=views.table(s, d, "part"))
 
 
+def _residual_text():
+    """Wordings on both sides of the test: Other, Otherwise, Other: , a marker at the end, a marker at the beginning."""
+    heads = ["Other ", "Otherwise prepared ", " Other, ", "", "N.E.S. ", "not other "]
+    head = F.element_at(F.array(*[F.lit(h) for h in heads]), (F.least(F.col("p_partkey") % 7, F.lit(5)) + 1).cast("int"))
+    return F.concat(head, "descr", F.when(F.col("p_partkey") % 7 == 3, ", not elsewhere specified").otherwise(""))
+
+
 def _joined(c):
     return F.array_join(F.array_sort(c), " ")
 
@@ -55,8 +62,8 @@ QUERIES = {
         "SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || rtrim(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/') AS url FROM pages",
     ),
     "residual_labels": (
-        lambda s, d: labels(s, d).select("p_partkey", text.is_residual(F.regexp_replace("descr", "^small ", "Other ")).alias("residual")),
-        f"WITH {D_LABELS} SELECT p_partkey, starts_with(lower(trim(regexp_replace(descr, '^small ', 'Other '))), 'other') AS residual FROM labels_",
+        lambda s, d: labels(s, d).select("p_partkey", text.is_residual(_residual_text()).alias("residual")),
+        f"""WITH {D_LABELS} SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true ELSE false END AS residual FROM labels_""",
     ),
     "stable_keys": (
         lambda s, d: views.table(s, d, "part").select("p_partkey", text.stable_key(F.col("p_name"), F.col("p_brand"), F.col("p_size")).alias("key")),

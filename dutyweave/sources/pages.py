@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # fixed values: elements that break lines, elements whose text is dropped
-BREAKS = frozenset("p div br li ul ol tr td th table section article header footer nav h1 h2 h3 h4 h5 h6 title option dt dd".split())
+BREAKS = frozenset("article br dd div dt h1 h2 h3 h4 h5 li main p section td th title tr ul".split())
 DROPPED = frozenset(("script", "style", "noscript"))
 
 

@@ -18,11 +18,11 @@ RULINGS = """SELECT doc_id AS ref, code10, substr(code10, 1, 4) AS prefix, <SPLI
 
 
 def duck(text: str) -> str:
-    return views.for_duckdb(text).replace("{documents}", "documents").replace("<SPLIT>", "string_split_regex").replace("<LINE>", "string_split(text, chr(10))[1]")
+    return views.for_duckdb(text).replace("{documents}", "documents").replace("<SPLIT>", "string_split_regex").replace("<LINE>", "text")
 
 
 def rulings(s, d):
-    text = RULINGS.replace("<SPLIT>", "split").replace("<LINE>", "split(text, '\\n')[0]")
+    text = RULINGS.replace("<SPLIT>", "split").replace("<LINE>", "text")
     r = s.sql(text, documents=views.table(s, d, "documents"), goods=views.goods(s, d))
     return r.withColumn("toks", F.array_distinct(F.filter("toks", lambda w: F.length(w) >= 3))).where(F.size("toks") > 0)
 
@@ -64,18 +64,18 @@ def _d_cascade(level: int) -> str:
 
 
 def _facts(s, d):
-    p = views.table(s, d, "part").where("p_size < 5")
+    p = views.table(s, d, "part")
     return p.select(F.col("p_partkey").alias("product"), F.explode(F.split("p_name", " ")).alias("word"), (1 + F.col("p_partkey") % 3).cast("double").alias("weight"))
 
 
 def _children(s, d):
     p = views.table(s, d, "part")
-    return p.select(F.col("p_type").alias("parent"), F.col("p_brand").alias("code"), F.explode(F.split("p_name", " ")).alias("word"), (F.col("p_size") % 9 == 0).alias("excluded")).where("p_partkey % 5 = 0")
+    return p.select(F.col("p_type").alias("parent"), F.col("p_brand").alias("code"), F.explode(F.split("p_name", " ")).alias("word"), (F.col("p_size") % 9 == 0).alias("excluded"))
 
 
 def _details(s, d):
     c = views.table(s, d, "conversations")
-    return c.where("turn = 0").select(
+    return c.select("conv_id").distinct().select(
         F.col("conv_id").alias("question_key"), F.when(F.col("conv_id") % 5 == 0, True).alias("verdict"), F.when(F.col("conv_id") % 2 == 0, "not_contains").otherwise("contains").alias("op")
     )
 
@@ -102,8 +102,8 @@ QUERIES = {
     ),
     "lexical_scores": (
         lambda s, d: ops.lexical_scores(_facts(s, d), _children(s, d)),
-        """WITH f AS (SELECT p_partkey AS product, w AS word, max(1 + p_partkey % 3)::DOUBLE AS weight FROM (SELECT *, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size < 5) GROUP BY ALL),
-        c AS (SELECT DISTINCT p_type AS parent, p_brand AS code, unnest(string_split(p_name, ' ')) AS word, p_size % 9 = 0 AS excluded FROM part WHERE p_partkey % 5 = 0),
+        """WITH f AS (SELECT p_partkey AS product, w AS word, max(1 + p_partkey % 3)::DOUBLE AS weight FROM (SELECT *, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY ALL),
+        c AS (SELECT DISTINCT p_type AS parent, p_brand AS code, unnest(string_split(p_name, ' ')) AS word, p_size % 9 = 0 AS excluded FROM part),
         n AS (SELECT parent, count(DISTINCT code) AS n FROM c GROUP BY parent), h AS (SELECT parent, word FROM c JOIN n USING (parent) WHERE NOT excluded GROUP BY parent, word, n HAVING count(*) * 2 <= n)
         SELECT product, parent, code, round(sum(CASE WHEN excluded THEN -0.5 ELSE weight END), 2) AS score FROM c JOIN f USING (word) WHERE excluded OR (parent, word) IN (SELECT (parent, word) FROM h) GROUP BY product, parent, code""",
     ),
@@ -120,7 +120,7 @@ QUERIES = {
         lambda s, d: ops.overlay_answers(_details(s, d), _answers(s, d)),
         """WITH a AS (SELECT conv_id, arg_max(CASE length(text) % 4 WHEN 0 THEN true WHEN 1 THEN false END, turn) AS x, arg_max(length(text) % 4, turn) AS k FROM conversations WHERE length(text) % 4 < 3 GROUP BY conv_id)
         SELECT conv_id AS question_key, CASE WHEN conv_id % 5 = 0 THEN true WHEN k = 0 THEN conv_id % 2 = 1 WHEN k = 1 THEN conv_id % 2 = 0 END AS verdict, CASE WHEN conv_id % 2 = 0 THEN 'not_contains' ELSE 'contains' END AS op
-        FROM (SELECT conv_id FROM conversations WHERE turn = 0) LEFT JOIN a USING (conv_id)""",
+        FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN a USING (conv_id)""",
     ),
     "inherit_violation": (
         lambda s, d: ops.inherit_violation(ranked(s, d).select("product", "parent", "code", "decision", "score"), ranked(s, d).select("product", F.col("parent").alias("code"), "decision").distinct()),

@@ -22,7 +22,7 @@ def _labels(s, d):
 
 def _names(s, d):
     p = views.goods(s, d)
-    return p.where("p_partkey % 97 = 0").groupBy("label").agg(F.min("code10").alias("code10")).select(F.element_at(F.split("label", " "), 2).alias("key"), "code10").groupBy("key").agg(F.min("code10").alias("code10"))
+    return p.groupBy("label").agg(F.min("code10").alias("code10")).select(F.element_at(F.split("label", " "), 2).alias("key"), "code10").groupBy("key").agg(F.min("code10").alias("code10"))
 
 
 def _sheet(s, d, flag):
@@ -55,21 +55,21 @@ QUERIES = {
         SELECT page_id, CAST(field_no AS BIGINT) AS field_no, arg_min(line, pos) AS label, md5(coalesce(string_agg(CASE WHEN NOT is_l THEN line END, ' ' ORDER BY pos), '')) AS value FROM g WHERE field_no > 0 GROUP BY ALL""",
     ),
     "text_spans": (
-        lambda s, d: ops.text_spans(lines(s, d).where("pos = 1").select(F.col("page_id").alias("doc_id"), "line")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("span")).alias("chars"), F.max("span").alias("last")),
-        rf"""WITH {D_LINES}, x AS (SELECT page_id AS doc_id, trim(line, ' ') AS t, line FROM lines WHERE pos = 1),
+        lambda s, d: ops.text_spans(lines(s, d).select(F.col("page_id").alias("doc_id"), "line")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("span")).alias("chars"), F.max("span").alias("last")),
+        rf"""WITH {D_LINES}, x AS (SELECT page_id AS doc_id, trim(line, ' ') AS t, line FROM lines),
         sp AS (SELECT doc_id, t AS span FROM x UNION SELECT doc_id, trim(unnest(string_split_regex(line, '[,;/()]+')), ' ') FROM x UNION SELECT doc_id, unnest(string_split_regex(t, '\s+')) FROM x)
         SELECT doc_id, count(*) AS n, CAST(sum(length(span)) AS BIGINT) AS chars, max(span) AS last FROM sp WHERE span <> '' GROUP BY doc_id""",
     ),
     "bigram_lookup": (
-        lambda s, d: ops.bigram_lookup(views.table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.lower(F.concat(F.lit("hot "), F.substring("s_name", 1, 6))).alias("query")).union(views.table(s, d, "part").select(F.concat("p_name", F.lit(" gear")).alias("query"))).distinct(), views.table(s, d, "part").select(F.col("p_name").alias("term")).distinct()),
-        """WITH q AS (SELECT DISTINCT query FROM (SELECT lower('hot ' || substr(s_name, 1, 6)) AS query FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT p_name || ' gear' FROM part)), d AS (SELECT DISTINCT p_name AS term FROM part),
+        lambda s, d: ops.bigram_lookup(views.table(s, d, "supplier").select(F.lower(F.concat(F.lit("hot "), F.substring("s_name", 1, 6))).alias("query")).union(views.table(s, d, "part").select(F.concat("p_name", F.lit(" gear")).alias("query"))).distinct(), views.table(s, d, "part").select(F.col("p_name").alias("term")).distinct()),
+        """WITH q AS (SELECT DISTINCT query FROM (SELECT lower('hot ' || substr(s_name, 1, 6)) AS query FROM supplier UNION ALL SELECT p_name || ' gear' FROM part)), d AS (SELECT DISTINCT p_name AS term FROM part),
         qb AS (SELECT DISTINCT query, substr(t, i, 2) AS b FROM (SELECT query, replace(lower(query), ' ', '') AS t FROM q), range(1, 60) AS r(i) WHERE i < length(t)), db AS (SELECT DISTINCT term, substr(t, i, 2) AS b FROM (SELECT term, replace(lower(term), ' ', '') AS t FROM d), range(1, 60) AS r(i) WHERE i < length(t)),
         s AS (SELECT query, term, count(*) AS shared FROM qb JOIN db USING (b) GROUP BY ALL), j AS (SELECT query, term, shared, round(shared / (nq + nd - shared), 6) AS jaccard FROM s JOIN (SELECT query, count(*) AS nq FROM qb GROUP BY query) USING (query) JOIN (SELECT term, count(*) AS nd FROM db GROUP BY term) USING (term)),
         k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, jaccard DESC, term) AS place FROM j) SELECT * FROM k WHERE place <= 3""",
     ),
     "bridge_terms": (
         lambda s, d: ops.bridge_terms(views.table(s, d, "part").select(F.col("p_partkey").alias("entry_id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("x"), F.regexp_replace("p_name", " ", ""))).otherwise(F.col("p_name")).alias("name")), _names(s, d)),
-        f"""{views.WITH_GOODS}, k AS (SELECT string_split(label, ' ')[2] AS key, min(code10) AS code10 FROM goods WHERE p_partkey % 97 = 0 GROUP BY 1), n AS (SELECT p_partkey AS entry_id, lower(CASE WHEN p_partkey % 3 = 0 THEN 'x' || replace(p_name, ' ', '') ELSE p_name END) AS name FROM part),
+        f"""{views.WITH_GOODS}, k AS (SELECT string_split(label, ' ')[2] AS key, min(code10) AS code10 FROM goods GROUP BY 1), n AS (SELECT p_partkey AS entry_id, lower(CASE WHEN p_partkey % 3 = 0 THEN 'x' || replace(p_name, ' ', '') ELSE p_name END) AS name FROM part),
         h AS (SELECT entry_id, key, code10, CASE WHEN name = key THEN 1 WHEN list_contains(string_split_regex(name, '\\s+'), key) THEN 2 ELSE 3 END AS tier FROM n JOIN k ON contains(name, key) AND (length(key) >= 2 OR name = key OR list_contains(string_split_regex(name, '\\s+'), key))),
         b AS (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY tier, length(key) DESC, key, code10) AS r FROM h) SELECT entry_id, key, code10, coalesce(tier, 0) AS tier FROM n LEFT JOIN (SELECT * FROM b WHERE r = 1) USING (entry_id)""",
     ),

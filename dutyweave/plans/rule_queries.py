@@ -8,15 +8,23 @@ from dutyweave.plans.classify_queries import D_RANKED, VERDICTS, ranked, rulings
 from dutyweave.plans.requirement_queries import GROUPS, _groups
 from pyspark.sql import functions as F
 
-D_WORDS = "ws AS (SELECT DISTINCT p_type AS parent, p_brand AS code, unnest(string_split(p_name, ' ')) AS word FROM part WHERE p_partkey % 4 = 0)"
+D_WORDS = "ws AS (SELECT DISTINCT p_type AS parent, p_brand AS code, unnest(string_split(p_name, ' ')) AS word FROM part)"
 CONDS = ("processing_state", "preservation_state", "identity", "species")
 
 
 def _words(s, d):
-    p = views.table(s, d, "part").where("p_partkey % 4 = 0")
+    p = views.table(s, d, "part")
     return p.select(F.col("p_type").alias("parent"), F.col("p_brand").alias("code"), F.explode(F.split("p_name", " ")).alias("word")).distinct()
 
 
+D_PART_WORDS = "ws AS (SELECT DISTINCT p_type AS parent, CAST(p_partkey AS VARCHAR) AS code, unnest(string_split(p_name, ' ')) AS word FROM part)"
+
+
+def _part_words(s, d):
+    p = views.table(s, d, "part")
+    return p.select(F.col("p_type").alias("parent"), F.col("p_partkey").cast("string").alias("code"), F.explode(F.split("p_name", " ")).alias("word")).distinct()
+
+
 def _labels(s, d):
     p = views.table(s, d, "part")
     return p.select(F.col("p_type").alias("parent"), F.col("p_partkey").alias("code"), F.concat(F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit(" ; "), "p_type", F.lit(" ; "))).otherwise(""), F.when(F.col("p_partkey") % 5 == 0, "Other").otherwise(F.col("p_name")), F.when(F.col("p_partkey") % 2 == 0, ", whether or not cooked").otherwise("")).alias("label"))
@@ -44,7 +52,7 @@ u AS (SELECT product, code, CASE WHEN t > 0 THEN 1 WHEN f = n THEN -1 ELSE 0 END
 
 
 def _runs(s, d):
-    e = views.table(s, d, "events").where("event_id % 10 = 0")
+    e = views.table(s, d, "events")
     details = F.array(F.struct(F.col("event_type").alias("axis"), F.when(F.col("user_id") % 2 == 0, "true").otherwise("false").alias("verdict")), F.struct(F.lit("form").alias("axis"), F.lit("unknown").alias("verdict")))
     cands = F.array(F.struct(F.concat(F.lit("c"), (F.col("user_id") % 9).cast("string")).alias("code"), details.alias("details")))
     stages = F.array(F.struct(F.lit(4).alias("level"), cands.alias("candidates")), F.struct(F.lit(6).alias("level"), cands.alias("candidates")))
@@ -53,7 +61,7 @@ def _runs(s, d):
 
 def _package(s, d):
     o = views.table(s, d, "orders")
-    return o.select((F.col("o_custkey") % 400).alias("package"), F.col("o_orderkey").alias("pos"), "o_orderpriority", F.regexp_replace("o_orderpriority", "^[0-9]-", "Doc ").alias("name"), F.when(F.col("o_orderstatus") == "F", "exempted").otherwise("required").alias("status")).where("pos % 7 = 0")
+    return o.select(F.col("o_custkey").alias("package"), F.col("o_orderkey").alias("pos"), "o_orderpriority", F.regexp_replace("o_orderpriority", "^[0-9]-", "Doc ").alias("name"), F.when(F.col("o_orderstatus") == "F", "exempted").otherwise("required").alias("status"))
 
 
 QUERIES = {
@@ -63,8 +71,8 @@ QUERIES = {
         SELECT parent, code, CASE WHEN c THEN leaf || ',' ELSE leaf END AS leaf, above, leaf = 'Other' AS residual FROM l""",
     ),
     "rare_words": (
-        lambda s, d: rules.rare_words(_words(s, d)),
-        f"WITH {D_WORDS} SELECT parent, code, word, df, n FROM ws JOIN (SELECT parent, word, count(*) AS df FROM ws GROUP BY ALL) USING (parent, word) JOIN (SELECT parent, count(DISTINCT code) AS n FROM ws GROUP BY parent) USING (parent) WHERE df * 2 <= n",
+        lambda s, d: rules.rare_words(_part_words(s, d)),
+        f"WITH {D_PART_WORDS} SELECT parent, code, word, df, n FROM ws JOIN (SELECT parent, word, count(*) AS df FROM ws GROUP BY ALL) USING (parent, word) JOIN (SELECT parent, count(DISTINCT code) AS n FROM ws GROUP BY parent) USING (parent) WHERE df * 2 <= n",
     ),
     "clean_values": (
         lambda s, d: rules.clean_values(_words(s, d).select("parent", "code", F.col("word").alias("value"))),
@@ -77,8 +85,8 @@ QUERIES = {
         k AS (SELECT parent, residual, value, row_number() OVER (PARTITION BY parent, residual ORDER BY code, value) AS place FROM f) SELECT * FROM k WHERE place <= 8""",
     ),
     "mine_aliases": (
-        lambda s, d: rules.mine_aliases(_words(s, d).where("word > 'p'").select(F.col("word"), F.col("parent").alias("lineage"), F.left("code", F.lit(7)).alias("cls"))),
-        f"""WITH {D_WORDS}, l AS (SELECT DISTINCT word, parent AS lineage, substr(code, 1, 7) AS cls FROM ws WHERE word > 'p'), h AS (SELECT word, cls, n FROM (SELECT word, cls, count(DISTINCT lineage) AS k FROM l GROUP BY ALL) JOIN (SELECT word, count(DISTINCT lineage) AS n FROM l GROUP BY word) USING (word) WHERE k = n),
+        lambda s, d: rules.mine_aliases(_words(s, d).select(F.col("word"), F.col("parent").alias("lineage"), F.left("code", F.lit(7)).alias("cls"))),
+        f"""WITH {D_WORDS}, l AS (SELECT DISTINCT word, parent AS lineage, substr(code, 1, 7) AS cls FROM ws), h AS (SELECT word, cls, n FROM (SELECT word, cls, count(DISTINCT lineage) AS k FROM l GROUP BY ALL) JOIN (SELECT word, count(DISTINCT lineage) AS n FROM l GROUP BY word) USING (word) WHERE k = n),
         k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY cls) AS place FROM h) SELECT * FROM k WHERE place <= 6""",
     ),
     "coverage": (
@@ -132,9 +140,9 @@ QUERIES = {
         f"""{D_RANKED}, c AS (SELECT substr(code10, 1, 4) AS code, min(label) AS label FROM goods GROUP BY 1), k AS (SELECT product, code, 20 - score AS rank, label, row_number() OVER (PARTITION BY product ORDER BY 20 - score, code) AS place FROM ranked JOIN c USING (code)) SELECT * FROM k WHERE place <= 2""",
     ),
     "ruling_pool": (
-        lambda s, d: classify.ruling_pool(views.goods(s, d).where("p_partkey % 9 = 0").select(F.col("p_partkey").alias("product"), "code10"), [rulings(s, d).where("ref % 2 = 0").select("ref", "code10"), rulings(s, d).select("ref", "code10", "prefix")]),
-        f"""{views.WITH_GOODS}, r AS (SELECT doc_id AS ref, code10 FROM documents JOIN goods ON p_partkey = doc_id % 2000 WHERE len(list_filter(string_split_regex(lower(string_split(text, chr(10))[1]), '[^a-z]+'), lambda w: length(w) >= 3)) > 0), p AS (SELECT ref, code10, 0 AS source FROM r WHERE ref % 2 = 0 UNION ALL SELECT ref, code10, 1 FROM r),
-        j AS (SELECT p_partkey AS product, ref, source, tier FROM goods g JOIN p ON true, (VALUES (0, 8), (1, 6), (2, 4)) AS t(tier, w) WHERE p_partkey % 9 = 0 AND substr(g.code10, 1, w) = substr(p.code10, 1, w)),
+        lambda s, d: classify.ruling_pool(views.goods(s, d).select(F.col("p_partkey").alias("product"), "code10"), [rulings(s, d).where("ref % 2 = 0").select("ref", "code10"), rulings(s, d).select("ref", "code10", "prefix")]),
+        f"""{views.WITH_GOODS}, r AS (SELECT doc_id AS ref, code10 FROM documents JOIN goods ON p_partkey = doc_id % 2000 WHERE len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) >= 3)) > 0), p AS (SELECT ref, code10, 0 AS source FROM r WHERE ref % 2 = 0 UNION ALL SELECT ref, code10, 1 FROM r),
+        j AS (SELECT p_partkey AS product, ref, source, tier FROM goods g JOIN p ON true, (VALUES (0, 8), (1, 6), (2, 4)) AS t(tier, w) WHERE substr(g.code10, 1, w) = substr(p.code10, 1, w)),
         k AS (SELECT *, row_number() OVER (PARTITION BY product, ref ORDER BY source, tier) AS r FROM j) SELECT product, ref, source, tier FROM k WHERE r = 1""",
     ),
     "state_conflict": (
@@ -152,11 +160,11 @@ QUERIES = {
     ),
     "explode_runs": (
         lambda s, d: ingest.explode_runs(_runs(s, d)),
-        """SELECT event_id AS run, level, 'c' || CAST(user_id % 9 AS VARCHAR) AS code, CASE k WHEN 0 THEN event_type ELSE 'form' END AS axis, CASE WHEN k = 1 THEN 'unknown' WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END AS verdict FROM events, (VALUES (4), (6)) AS l(level), (VALUES (0), (1)) AS n(k) WHERE event_id % 10 = 0""",
+        """SELECT event_id AS run, level, 'c' || CAST(user_id % 9 AS VARCHAR) AS code, CASE k WHEN 0 THEN event_type ELSE 'form' END AS axis, CASE WHEN k = 1 THEN 'unknown' WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END AS verdict FROM events, (VALUES (4), (6)) AS l(level), (VALUES (0), (1)) AS n(k)""",
     ),
     "package_documents": (
         lambda s, d: ingest.flatten_package_documents(_package(s, d), _package(s, d).groupBy("package").agg(F.min("o_orderpriority").alias("name"))),
-        r"""WITH p AS (SELECT o_custkey % 400 AS package, o_orderkey AS pos, o_orderpriority AS pr, regexp_replace(o_orderpriority, '^[0-9]-', 'Doc ') AS name, o_orderstatus FROM orders WHERE o_orderkey % 7 = 0),
+        r"""WITH p AS (SELECT o_custkey AS package, o_orderkey AS pos, o_orderpriority AS pr, regexp_replace(o_orderpriority, '^[0-9]-', 'Doc ') AS name, o_orderstatus FROM orders),
         k AS (SELECT package, name, regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS key, row_number() OVER (PARTITION BY package, regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') ORDER BY pos) AS r FROM p WHERE o_orderstatus <> 'F')
         SELECT package, CASE WHEN r > 1 THEN key || '_' || CAST(r AS VARCHAR) ELSE key END AS key, name FROM k UNION ALL SELECT package, regexp_replace(lower(min(pr)), '[^a-z0-9]+', '-', 'g'), min(pr) FROM p WHERE package NOT IN (SELECT package FROM k) GROUP BY package""",
     ),

@@ -307,10 +307,12 @@ def _encode_units(cps: np.ndarray, doc_of: np.ndarray, start: np.ndarray, before
 def _draw_short(cps: np.ndarray, start: np.ndarray, size: np.ndarray, stream: np.ndarray, vocab: Vocabulary) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By step from the units' ends: units still active, the piece drawn for each, the position at which it ends."""
     own = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    offset = own - np.repeat(start, size)
     with np.errstate(over="ignore"):
-        each = splitmix(cps[own].astype(np.uint64)) * _powers(LONG_UNIT)[offset]
+        each = splitmix(cps[own].astype(np.uint64))
+        own -= np.repeat(start, size)
+        each *= _powers(LONG_UNIT)[own]
         name = splitmix(np.add.reduceat(each, np.cumsum(size) - size) + size.astype(np.uint64))
+    del own, each  # before the lattice, where memory peaks
     _, sample, unit_of = np.unique(name, return_index=True, return_inverse=True)
     u_size = size[sample]
     u_start = np.cumsum(u_size) - u_size

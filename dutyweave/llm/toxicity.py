@@ -39,7 +39,7 @@ from dutyweave.llm.batches import held_out, may_learn, per_batch, seeded_sample,
 LENGTH = 3
 START = "^"
 DECAY = 0.7
-FLOOR = 0.35
+FLOOR = 0.5
 LANDMARKS = 96
 WORD_MAX = 24
 #: Letter classes of a landmark whose sets are tabulated.

@@ -550,7 +550,7 @@ def test_every_kernel_from_the_floor_on_is_found():
     rng = random.Random(1)
     marks = ["^" + "".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(60)] + ["^aaaa", "^abcdefghijklmnopq"]
     words = ["^" + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(200)]
-    for m in marks * 8:
+    for m in marks * 20:
         w = list(m[1:])
         for _ in range(rng.randint(0, 3)):
             w.insert(rng.randrange(len(w) + 1), rng.choice("abxyz")) if rng.random() < 0.5 or len(w) < 3 else w.pop(rng.randrange(len(w)))

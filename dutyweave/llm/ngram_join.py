@@ -15,9 +15,14 @@ Sets that share a list or subset become neighbours if sizes and histograms of ha
 allow the similarity (the histograms' distance never exceeds the symmetric
 difference, so no link is lost). Components of these neighbours are candidate groups;
 a group's sets meet once and all its links are verified exactly by scanning the
-group's inverted lists. Groups beyond BLOCK_TOKENS are split into blocks and every
-pair of blocks meets, so no task holds an unbounded group and no link is lost. Only
-links that join two parts of a block leave a task.
+group's inverted lists. Only links that join two parts of a block leave a task.
+
+Lists beyond LONG_LIST sets and groups beyond BLOCK_TOKENS are split into blocks, so no
+task holds an unbounded one. First each block meets block zero alone, which joins a
+family of near copies at a cost linear in its size. What is in one part then needs no
+further comparison: where several parts are left, the sets outside the largest part
+are dealt into blocks of their own, which meet each other and the largest part's
+blocks. No link between two parts is lost.
 
 Defined results for odd input: null and empty texts have no shingles and link with
 nothing; a text with fewer words than a shingle is one shingle of all its words; rows
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,7 +51,7 @@ HOT_SHARE = 0.002
 MAX_HOT = 1 << 20
 #: Cost of an inverted-list entry against that of an enumerated subset.
 LIST_COST = 4.0
-#: Lists longer than this are split into blocks, of which every pair meets.
+#: Lists longer than this are split into blocks.
 LONG_LIST = 2048
 BLOCK_TOKENS = 1 << 19
 PIECE = 1 << 22
@@ -331,43 +336,91 @@ def verify(sets: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.n
     return pairs[:, 0], pairs[:, 1]
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs with (doc_id, text)."""
-    small_batches(docs.sparkSession)
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stage(_profile(ready, words), "shingle-profiles")
-    classes = profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("cells").alias("cells"))
-    classes = stage(classes, "shingle-classes")
-    # node names may clash; that only widens candidate groups, which are verified
-    # lists of hot tokens are spread by set here, so that none is gathered to be counted
-    spread = F.when(F.col("hot"), F.xxhash64("h", "node")).otherwise(F.col("h"))
-    entries = _signatures(ready, profile, words, percent).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(spread)))
-    entries = stage(entries.where("held > 1 OR hot"), "shared-signatures")
+def _block(blocks: Column, *key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), blocks).cast("int")
+
+
+def _meeting(a: Column, b: Column) -> Column:
+    return F.struct(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"))
+
+
+def _first_meetings(mine: Column, blocks: Column) -> Column:
+    """Each block meets itself and block zero."""
+    every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda m: _meeting(F.lit(0), m))
+    return F.when(mine == 0, every).otherwise(F.array(_meeting(F.lit(0), mine), _meeting(mine, mine)))
+
+
+def _later_meetings(rows: DataFrame, key: str, node: str, weight: str, limit: int) -> DataFrame:
+    """Of rows (key, node, mine, blocks, part, weight, ...): those of keys with several parts, with new blocks and meetings.
+
+    One row of totals for each old block of a key, so that a key's rows meet them in many tasks.
+    """
+    parts = rows.groupBy(key, "part").agg(F.sum(weight).alias("w"), F.max("blocks").alias("blocks"))
+    total = parts.groupBy(key).agg(F.sum("w").alias("all"), F.max(F.struct("w", "part")).alias("main"), F.count(F.lit(1)).alias("parts"), F.max("blocks").alias("blocks"))
+    total = total.where("parts > 1").select(
+        key,
+        F.col("main.part").alias("main"),
+        F.ceil(F.col("main.w") / limit).cast("int").alias("m"),
+        F.ceil((F.col("all") - F.col("main.w")) / limit).cast("int").alias("r"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"),
+    )
+    met = rows.drop("blocks").join(total, [key, "mine"])
+    is_main = F.col("part") == F.col("main")
+    met = met.withColumn("mine", F.when(is_main, _block(F.col("m"), node, key)).otherwise(F.col("m") + _block(F.col("r"), node, key)))
+    others = F.transform(F.sequence(F.col("m"), F.col("m") + F.col("r") - 1), lambda o: _meeting(F.col("mine"), o))
+    mains = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: _meeting(o, F.col("mine")))
+    return met.withColumn("at", F.when(is_main, others).otherwise(F.concat(mains, others)))
+
+
+def _stars(found: DataFrame) -> DataFrame:
+    """Components (node, component) as edges."""
+    return found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _with_part(rows: DataFrame, node: str, found: DataFrame) -> DataFrame:
+    known = found.select(F.col("node").alias(node), F.col("component").alias("part"))
+    return rows.join(known, node, "left").withColumn("part", F.coalesce("part", node))
+
+
+def _neighbour_edges(entries: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of entries (h, node, n, cells, at)."""
+    met = entries.withColumn("at", F.explode("at"))
+    # a clash only compares more sets
+    met = met.select(F.xxhash64("h", "at.p", "at.q").alias("h"), "node", "n", "cells").repartition(F.col("h")).sortWithinPartitions("h", "n", "node")
+    return met.mapInArrow(_neighbours(percent), "a long, b long")
+
+
+def _candidates(entries: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of sets that share entries (h, node, hot, held) and may be linked."""
     hot = entries.where("hot").select("h", "node")
-    hot = hot.join(hot.groupBy("h").agg(F.count(F.lit(1)).alias("held")), "h")
-    short = entries.where("NOT hot").select("h", "node", "held").unionByName(hot)
-    short = short.join(classes.select(F.col("d1").alias("node"), "n", "cells"), "node")
+    counted = stage(hot.groupBy("h").agg(F.count(F.lit(1)).alias("held")), "hot-lists")
+    lists = entries.where("NOT hot").select("h", "node", "held").unionByName(hot.join(counted, "h"))
     blocks = F.ceil(F.col("held") / LONG_LIST).cast("int")
-    mine = F.pmod(F.xxhash64("node", "h"), blocks).cast("int")
-    short = short.select("h", "node", "n", "cells", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    list_key = F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))  # a clash only compares more sets
-    short = short.select(list_key.alias("h"), "node", "n", "cells").repartition(F.col("h")).sortWithinPartitions("h", "n", "node")
-    near = short.mapInArrow(_neighbours(percent), "a long, b long")
-    groups = connected_components(near)
-    groups = stage(groups.join(classes.select(F.col("d1").alias("node"), "n", "rep"), "node"), "candidate-groups")
-    weight = groups.groupBy("component").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    dealt = groups.join(weight, "component").select(F.col("rep").alias("doc_id"), "component", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    lists = lists.join(classes.select(F.col("d1").alias("node"), "n", "cells"), "node").withColumn("blocks", blocks)
+    lists = lists.withColumn("mine", _block(F.col("blocks"), "node", "h"))
+    # in a list's meeting all its sets are compared, so block zero's meetings hold all the others' own
+    first = lists.withColumn("at", F.when(F.col("mine") == 0, _first_meetings(F.col("mine"), F.col("blocks"))).otherwise(F.array(_meeting(F.lit(0), F.col("mine")))))
+    found = connected_components(_neighbour_edges(first, percent))
+    if counted.where(F.col("held") > LONG_LIST).isEmpty() and entries.where(~F.col("hot") & (F.col("held") > LONG_LIST)).isEmpty():
+        return found
+    found = stage(found, "first-candidates")
+    rows = _with_part(lists.where("blocks > 1").withColumn("weight", F.lit(1)), "node", found)
+    later = _neighbour_edges(_later_meetings(rows, "h", "node", "weight", LONG_LIST), percent)
+    return connected_components(_stars(found).unionByName(later))
+
+
+def _links(ready: DataFrame, dealt: DataFrame, words: int, percent: int) -> DataFrame:
+    """Verified links (a, b) of dealt (doc_id, component, mine, at), whose texts are in ready."""
     # the same plan at every size: texts meet their groups in a shuffle
-    with_text = ready.join(dealt.hint("shuffle_merge"), "doc_id")
+    with_text = ready.join(dealt.select("doc_id", "component", "mine", "at").hint("shuffle_merge"), "doc_id")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)]
-        return pa.record_batch([batch.column("doc_id"), batch.column("component"), batch.column("blocks"), pa.array(tokens, pa.binary())], ["doc_id", "component", "blocks", "tokens"])
+        return pa.record_batch([batch.column(k) for k in ("doc_id", "component", "mine", "at")] + [pa.array(tokens, pa.binary())], ["doc_id", "component", "mine", "at", "tokens"])
 
-    member = with_text.select("doc_id", "component", "blocks", "text").mapInArrow(per_batch(sets), "doc_id long, component long, blocks int, tokens binary")
-    mine = F.pmod(F.xxhash64("doc_id", "component"), F.col("blocks")).cast("int")
-    member = member.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    member = member.select("component", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "doc_id", "tokens")
+    shape = "doc_id long, component long, mine int, at array<struct<p:int,q:int>>, tokens binary"
+    member = with_text.select("doc_id", "component", "mine", "at", "text").mapInArrow(per_batch(sets), shape)
+    member = member.withColumn("at", F.explode("at")).select("component", "at.p", "at.q", "mine", "doc_id", "tokens")
 
     def check(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
@@ -377,8 +430,31 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         i, j = verify([np.frombuffer(tokens[k], np.uint64) for k in order], side[order], percent)
         return pa.table({"a": ids[order][i], "b": ids[order][j]})
 
-    links = member.groupBy("component", "p", "q").applyInArrow(check, "a long, b long")
-    found = stage(connected_components(links), "shingle-components")
+    return member.groupBy("component", "p", "q").applyInArrow(check, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs with (doc_id, text)."""
+    small_batches(docs.sparkSession)
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    profile = stage(_profile(ready, words), "shingle-profiles")
+    classes = profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("cells").alias("cells"))
+    classes = stage(classes, "shingle-classes")
+    # node names may clash; that only widens candidate groups, which are verified
+    # lists of hot tokens are spread by set here, so that none is gathered to be counted
+    spread = F.when(F.col("hot"), F.xxhash64("h", "node")).otherwise(F.col("h"))
+    entries = _signatures(ready, profile, words, percent).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(spread)))
+    entries = stage(entries.where("held > 1 OR hot"), "shared-signatures")
+    groups = _candidates(entries, classes, percent)
+    groups = stage(groups.join(classes.select(F.col("d1").alias("node"), "n", "rep"), "node"), "candidate-groups")
+    weight = groups.groupBy("component").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    dealt = groups.join(weight, "component").select(F.col("rep").alias("doc_id"), "component", "n", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    dealt = dealt.withColumn("mine", _block(F.col("blocks"), "doc_id", "component"))
+    first = _links(ready, dealt.withColumn("at", _first_meetings(F.col("mine"), F.col("blocks"))), words, percent)
+    found = stage(connected_components(first), "shingle-components")
+    if not weight.where(F.col("tokens") > BLOCK_TOKENS).isEmpty():
+        rest = _later_meetings(_with_part(dealt.where("blocks > 1"), "doc_id", found), "component", "doc_id", "n", BLOCK_TOKENS)
+        found = stage(connected_components(_stars(found).unionByName(_links(ready, rest, words, percent))), "shingle-components")
     rows = profile.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     rows = rows.join(found, rows["rep"] == found["node"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))

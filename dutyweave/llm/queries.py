@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from dutyweave.llm import collision_search, exact_dedup, language_id, mixing, ngram_join, personal_data, piece_sampling, suffix_dedup, toxicity, url_filter
+from dutyweave.llm import collision_search, exact_dedup, hard_negatives, language_id, mixing, ngram_join, packing, personal_data, piece_sampling, suffix_dedup, token_alignment
+from dutyweave.llm import toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.op8_language_id,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_piece_sampling": piece_sampling.op10_piece_sampling,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op12_packing": packing.op12_packing,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_mix_sources": mixing.ORACLE,
         "op6_url_filter": url_filter.ORACLE,
         "op9_ngram_join": ngram_join.ORACLE,
+        "op13_hard_negatives": hard_negatives.ORACLE,
     }

@@ -147,6 +147,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, most: int = PLAN_PIECES)
 
     counts[n]: pieces of length n. Sequences are numbered from 0.
     """
+    most = max(most, 2 * capacity)  # so that no division leaves every length without a piece
     rest, rounds, kept, best = counts.astype(np.int64).copy(), [], 0, None
     while rest.sum():
         times = int(-(-rest.sum() // most))

@@ -30,6 +30,7 @@ gives an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,8 @@ CELLS = 1024
 SAMPLE_ROWS = 16_384
 #: Rows of a block whose positions on all lines are compared at a time.
 TILE = 4096
+#: Pairs of a query and a block that are written at a time.
+VISITS = 1 << 20
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -152,6 +155,26 @@ def centres_of(x: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return found
 
 
+def other_blocks(centre: np.ndarray, radius: np.ndarray, longest: np.ndarray, held: np.ndarray, parts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over queries (s, b, q, carried): every block but b that may hold a score of `carried` or more; VISITS pairs at most are looked at together."""
+    at_once = max(1, VISITS // max(1, int(parts.sum())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, at_once):
+                batch = whole.slice(a, at_once)
+                q, carried, home = matrix(batch.column("q")), batch.column("carried").to_numpy(zero_copy_only=False), batch.column("b").to_numpy()
+                length = np.sqrt((q**2).sum(1))[:, None]
+                most = np.minimum(q @ centre.T + length * radius, length * longest)
+                may = np.repeat((most >= carried[:, None] - 1e-9 * length * longest) & (held > 0), parts, 1)
+                may[np.arange(len(q)), home] = False
+                row, b = np.nonzero(may)
+                if len(row):
+                    yield pa.record_batch([pa.array(b.astype(np.int32)), batch.column("s").take(pa.array(row)), pa.array(carried[row])], ["b", "s", "carried"])
+
+    return run
+
+
 def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS, cells: int = CELLS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose vec_id is divisible by query_every."""
     rows = stage(usable(vectors).withColumn("s", F.monotonically_increasing_id()), "vectors")
@@ -195,24 +218,13 @@ def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, index_rows:
         copied = index.join(many, "b").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         return copied.select("b", "c", "vec_id", "v").groupBy("b", "c").cogroup(visits.select("b", "c", "query_id", "q", "carried").groupBy("b", "c")).applyInArrow(meet, FOUND)
 
-    def other_blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Every block but the first visited one that may hold a score of `carried` or more."""
-        q, carried, home = matrix(batch.column("q")), batch.column("carried").to_numpy(zero_copy_only=False), batch.column("b").to_numpy()
-        length = np.sqrt((q**2).sum(1))[:, None]
-        most = np.minimum(q @ centre.T + length * radius, length * longest)
-        may = np.repeat((most >= carried[:, None] - 1e-9 * length * longest) & (held > 0), parts, 1)
-        may[np.arange(len(q)), home] = False
-        row, b = np.nonzero(may)
-        take = batch.take(pa.array(row))
-        return pa.record_batch([pa.array(b.astype(np.int32)), take.column("query_id"), take.column("q"), take.column("carried")], ["b", "query_id", "q", "carried"])
-
-    visit = "b int, query_id long, q array<double>, carried double"
-    at_home = asked.select(block.cast("int").alias("b"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(float("-inf")).alias("carried"))
+    at_home = asked.select("s", block.cast("int").alias("b"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(float("-inf")).alias("carried"))
     home = stage(search(at_home), "found-at-home")
     kth = home.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("found"))
     kth = kth.select("query_id", F.when(F.col("found") == k, F.col("least")).alias("least"))
-    carried = at_home.drop("carried").join(kth, "query_id", "left").select("b", "query_id", "q", F.coalesce("least", F.lit(float("-inf"))).alias("carried"))
-    elsewhere = search(stage(carried.mapInArrow(per_batch(other_blocks), visit), "visits"))
+    carried = at_home.drop("carried").join(kth, "query_id", "left").select("s", "b", "q", F.coalesce("least", F.lit(float("-inf"))).alias("carried"))
+    visits = stage(carried.mapInArrow(other_blocks(centre, radius, longest, held, parts), "b int, s long, carried double"), "visits")
+    elsewhere = search(visits.join(at_home.select("s", "query_id", "q"), "s"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = home.unionByName(elsewhere).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", (F.col("score") * scale * scale).alias("score"))

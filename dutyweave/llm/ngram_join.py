@@ -25,9 +25,11 @@ are dealt into blocks of their own, which meet each other and the largest part's
 blocks. No link between two parts is lost.
 
 Defined results for odd input: null and empty texts have no shingles and link with
-nothing; a text with fewer words than a shingle is one shingle of all its words; rows
-that share a doc_id count as linked; a null doc_id links with nothing and has a null
-component; an empty table gives an empty result; other columns are ignored.
+nothing; a text with fewer words than a shingle is one shingle of all its words; very
+long texts are hashed whole; rows that share a doc_id are linked only if their texts are;
+a null doc_id links with nothing and has a null component; an empty table gives an empty
+result; other columns are ignored. A similarity of a half or less is refused: sets that
+share one token of two would have no signature in common.
 """
 
 from __future__ import annotations
@@ -160,7 +162,7 @@ def signatures(s: np.ndarray, hot: np.ndarray, hot_rank: np.ndarray, boundary: i
 
 
 def _profile(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, d1, d2, cells, tokens) of every document; the first row of a batch also carries its frequent tokens."""
+    """(doc_id, said, n, d1, d2, cells, frequent) of every row; the first row of a batch carries its frequent tokens."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, d1, d2, cells, sets = [], [], [], [], []
@@ -176,11 +178,11 @@ def _profile(docs: DataFrame, words: int) -> DataFrame:
         frequent = [{"h": int(h), "n": int(c)} for h, c in zip(token[often].view(np.int64), count[often])]
         kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
         return pa.record_batch(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(cells, pa.binary()), pa.array([frequent] + [[]] * (len(n) - 1), kind)],
-            ["doc_id", "n", "d1", "d2", "cells", "frequent"],
+            [batch.column("doc_id"), batch.column("said"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(cells, pa.binary()), pa.array([frequent] + [[]] * (len(n) - 1), kind)],
+            ["doc_id", "said", "n", "d1", "d2", "cells", "frequent"],
         )
 
-    return docs.mapInArrow(per_batch(run), "doc_id long, n long, d1 long, d2 long, cells binary, frequent array<struct<h:long,n:long>>")
+    return docs.mapInArrow(per_batch(run), "doc_id long, said long, n long, d1 long, d2 long, cells binary, frequent array<struct<h:long,n:long>>")
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -410,20 +412,24 @@ def _candidates(entries: DataFrame, classes: DataFrame, percent: int) -> DataFra
 
 
 def _links(ready: DataFrame, dealt: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links (a, b) of dealt (doc_id, component, mine, at), whose texts are in ready."""
+    """Verified links (a, b) of dealt classes (node, rep, d1, d2, component, mine, at), whose texts are in ready."""
+    of = ["node", "d1", "d2", "component", "mine", "at"]
     # the same plan at every size: texts meet their groups in a shuffle
-    with_text = ready.join(dealt.select("doc_id", "component", "mine", "at").hint("shuffle_merge"), "doc_id")
+    with_text = ready.join(dealt.select(F.col("rep").alias("doc_id"), *of).hint("shuffle_merge"), "doc_id")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)]
-        return pa.record_batch([batch.column(k) for k in ("doc_id", "component", "mine", "at")] + [pa.array(tokens, pa.binary())], ["doc_id", "component", "mine", "at", "tokens"])
+        found = list(shingle_sets(batch.column("text").to_pylist(), words))
+        own = [digest(x) == d for x, d in zip(found, zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist()))]  # not another text of that doc_id
+        at = pa.array(np.flatnonzero(own))
+        return pa.record_batch([batch.column(k).take(at) for k in kept] + [pa.array([found[k].tobytes() for k in at.to_pylist()], pa.binary())], [*kept, "tokens"])
 
-    shape = "doc_id long, component long, mine int, at array<struct<p:int,q:int>>, tokens binary"
-    member = with_text.select("doc_id", "component", "mine", "at", "text").mapInArrow(per_batch(sets), shape)
-    member = member.withColumn("at", F.explode("at")).select("component", "at.p", "at.q", "mine", "doc_id", "tokens")
+    kept = ["node", "component", "mine", "at"]
+    shape = "node long, component long, mine int, at array<struct<p:int,q:int>>, tokens binary"
+    member = with_text.select(*of, "text").mapInArrow(per_batch(sets), shape)
+    member = member.withColumn("at", F.explode("at")).select("component", "at.p", "at.q", "mine", "node", "tokens")
 
     def check(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
+        ids = table.column("node").to_numpy()
         side = table.column("mine").to_numpy()
         order = np.argsort(ids, kind="stable")
         tokens = table.column("tokens").to_pylist()
@@ -433,47 +439,68 @@ def _links(ready: DataFrame, dealt: DataFrame, words: int, percent: int) -> Data
     return member.groupBy("component", "p", "q").applyInArrow(check, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs with (doc_id, text)."""
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, said, n_shingles, part, component_id) of every row of docs with (doc_id, text).
+
+    said: hash of the text; part: a number of the linked rows' group, null for rows without a shingle or a doc_id; component_id:
+    the group's smallest doc_id, or the row's own.
+    """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     small_batches(docs.sparkSession)
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stage(_profile(ready, words), "shingle-profiles")
+    text = F.col("text").cast("string")
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    profile = stage(_profile(ready.withColumn("said", F.xxhash64("text")), words), "shingle-profiles")
     classes = profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("cells").alias("cells"))
-    classes = stage(classes, "shingle-classes")
-    # node names may clash; that only widens candidate groups, which are verified
+    classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "shingle-classes")
+    # list members are named by d1, which may clash; that only widens candidate groups, which are verified
     # lists of hot tokens are spread by set here, so that none is gathered to be counted
     spread = F.when(F.col("hot"), F.xxhash64("h", "node")).otherwise(F.col("h"))
     entries = _signatures(ready, profile, words, percent).withColumn("held", F.count(F.lit(1)).over(Window.partitionBy(spread)))
     entries = stage(entries.where("held > 1 OR hot"), "shared-signatures")
     groups = _candidates(entries, classes, percent)
-    groups = stage(groups.join(classes.select(F.col("d1").alias("node"), "n", "rep"), "node"), "candidate-groups")
+    known = classes.select(F.col("d1").alias("node"), "d1", "d2", "n", "rep", "class")
+    groups = stage(groups.join(known, "node"), "candidate-groups")
     weight = groups.groupBy("component").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    dealt = groups.join(weight, "component").select(F.col("rep").alias("doc_id"), "component", "n", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    dealt = dealt.withColumn("mine", _block(F.col("blocks"), "doc_id", "component"))
+    dealt = groups.join(weight, "component").select(F.col("class").alias("node"), "rep", "d1", "d2", "component", "n", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    dealt = dealt.withColumn("mine", _block(F.col("blocks"), "node", "component"))
     first = _links(ready, dealt.withColumn("at", _first_meetings(F.col("mine"), F.col("blocks"))), words, percent)
     found = stage(connected_components(first), "shingle-components")
     if not weight.where(F.col("tokens") > BLOCK_TOKENS).isEmpty():
-        rest = _later_meetings(_with_part(dealt.where("blocks > 1"), "doc_id", found), "component", "doc_id", "n", BLOCK_TOKENS)
+        rest = _later_meetings(_with_part(dealt.where("blocks > 1"), "node", found), "component", "node", "n", BLOCK_TOKENS)
         found = stage(connected_components(_stars(found).unionByName(_links(ready, rest, words, percent))), "shingle-components")
-    rows = profile.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
-    rows = rows.join(found, rows["rep"] == found["node"], "left")
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    linked = classes.join(found.select(F.col("node").alias("class"), F.col("component").alias("part")), "class")
+    smallest = linked.groupBy("part").agg(F.min("rep").alias("least"))
+    named = classes.join(linked.select("class", "part").join(smallest, "part"), "class", "left")
+    named = named.select("d1", "d2", "n", F.coalesce("part", "class").alias("part"), F.coalesce("least", "rep").alias("least"))
+    rows = profile.select("doc_id", "said", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return rows.select("doc_id", "said", F.col("n").alias("n_shingles"), F.when(own, F.col("part")).alias("part"), F.when(own, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs with (doc_id, text)."""
+    return _grouped(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of a group of similar documents the one with the smallest doc_id.
+    """The rows of docs that stay, with all their columns: of each group of similar rows the one with the smallest doc_id.
 
-    Of rows that share a doc_id the one with the smallest text stays; they are combined where they are read.
+    Where a group has several rows of that doc_id, the one with the smallest text stays; they are combined where they are read.
+    Rows that share a doc_id are in one group only if their texts are linked, or if none of them has a word. Rows without a
+    doc_id stay.
     """
-    groups = stage(similar_groups(docs, words, percent).where("doc_id IS NOT NULL"), "similar-groups")
-    seen = stage(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("component_id")).where("rows > 1 OR doc_id <> component_id"), "not-alone")
+    groups = stage(_grouped(docs, words, percent).where("doc_id IS NOT NULL"), "similar-groups")
+    seen = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("least"), F.max(F.col("component_id") == F.col("doc_id")).alias("leads"))
+    seen = stage(seen.where("rows > 1 OR doc_id <> least"), "not-alone")
     alone = docs.join(seen.select(F.col("doc_id").alias("_seen")), docs["doc_id"].cast("long") == F.col("_seen"), "left_anti")
-    shared = seen.where("rows > 1 AND doc_id = component_id").select(F.col("doc_id").alias("_shared"))
+    shared = seen.where("rows > 1 AND leads").select("doc_id")
     if shared.isEmpty():
         return alone
-    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.struct(*docs.columns).alias("_row"))
-    one = packed.join(shared, F.col("_id") == F.col("_shared"), "left_semi").groupBy("_id").agg(F.min_by("_row", "_text").alias("_row"))
+    leading = groups.where("component_id = doc_id").join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("said").alias("_said"), "part").distinct()
+    text = F.col("text").cast("string")
+    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_said"), F.coalesce(text, F.lit("")).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    one = packed.join(leading, ["_id", "_said"]).groupBy("_id", "part").agg(F.min_by("_row", "_text").alias("_row"))
     return alone.unionByName(one.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
 
 

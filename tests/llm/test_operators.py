@@ -543,7 +543,40 @@ def test_near_duplicates_keep_one_of_repeated_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS rows", "2 AS component_id", "3 AS n")
     left = ngram_join.keep_one_of_each(df)
     assert left.columns == df.columns
-    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", text), ("3", "another text here"), ("None", text), ("None", text), ("5", "")])
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", text), ("3", "another text here"), ("3", "short one"), ("None", text), ("None", text), ("5", "")])
+
+
+def test_near_duplicates_lose_no_text_of_a_doc_id_with_several(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(1, a), (5, a), (5, b), (7, b + " more"), (9, "quite another text of some words"), (7, a + " more"), (5, b + " x"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS said", "2 AS part", "3 AS class").repartition(3)
+    left = ngram_join.keep_one_of_each(df)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, a), (5, ""), (5, b), (9, rows[4][1])]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.similar_groups(df).collect())
+    assert got == [(1, 1), (5, 1), (5, 5), (5, 5), (5, 5), (7, 1), (7, 5), (9, 9)]
+
+
+@pytest.mark.parametrize("percent", [0, 30, 50, 101])
+def test_ngram_join_refuses_similarities_that_it_cannot_find(spark, percent):
+    with pytest.raises(ValueError, match="percent"):
+        ngram_join.similar_groups(spark.createDataFrame([(1, "x y"), (2, "x")], "doc_id long, text string"), 1, percent)
+
+
+def test_ngram_join_just_above_a_half(spark):
+    rows = [(1, "x y"), (2, "x y z"), (3, "x"), (4, "p q r s t"), (5, "p q r"), (6, "p q")]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1, 51).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4}
+
+
+def test_visits_of_many_blocks_come_in_small_batches():
+    rng = np.random.default_rng(1)
+    cells, n, d = 200, 10_000, 64
+    centre, q = rng.normal(size=(cells, d)), rng.normal(size=(n, d))
+    batch = pa.record_batch([pa.array(np.arange(n)), pa.array(np.zeros(n, np.int32)), pa.array(list(q)), pa.array(np.full(n, -np.inf))], ["s", "b", "q", "carried"])
+    run = collision_search.other_blocks(centre, np.ones(cells), np.full(cells, 20.0), np.ones(cells, np.int64), np.ones(cells, np.int64))
+    found = list(run(iter([batch])))
+    assert sum(b.num_rows for b in found) == n * (cells - 1) and max(b.nbytes for b in found) < 50e6
 
 
 def test_every_kernel_from_the_floor_on_is_found():

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dutyweave.functions.text import stem
+from dutyweave.functions.text import is_residual, stem
 
 # fixed values: words and prefixes that deny the word after them, entries that stand for no value
 NEGATIONS = ("no", "not", "without", "non", "un")
@@ -128,7 +128,7 @@ def axis_verdicts(rows: DataFrame, states: list[str], forms: list[str]) -> DataF
     return rows.select(
         "row_id",
         F.when(F.trim(F.coalesce("label", F.lit(""))) == "", "none")
-        .when(F.lower(F.trim("label")).rlike(r"^other\b"), "resid")
+        .when(is_residual(F.col("label")), "resid")
         .when(F.arrays_overlap(own, "denied"), "X")
         .when(F.col("status") != "answered", "none")
         .when(state_axis, F.when(F.size(in_states) == 0, "none").when(F.arrays_overlap(in_states, "tokens"), "O").otherwise("X"))

@@ -8,9 +8,14 @@ from pyspark.sql.window import Window
 
 from dutyweave.functions.text import fold_spaces, stem
 
-# fixed values: how a label denies, and the words of comparisons that make a denial a quantity
+# fixed values: how a label denies, the heads that make a denial a quantity, the words that do if there are no others, and how an optional clause begins and what ends it
 DENIAL = r"(?i)\b(?:other\s+than|excluding|except|does\s+not\s+include|not\s+including|not\s+containing|without|no|not)\s+([a-z][a-z ,\-]{2,60}[a-z]*)"
 QUANTITY_HEADS = ("more", "less", "exceeding")
+QUANTITY_WORDS = (
+    "more", "less", "than", "exceed", "exceeding", "least", "most", "over", "under", "weigh", "weighing", "contain", "containing",
+    "and", "the", "for", "with", "not", "its", "this", "that", "but",
+)
+OPTIONAL_CLAUSE = r"(?i)\bwhether\s+or\s+not\b.*?(,\s*such\s+as\b|$)"
 
 
 def phrase_units(text: Column, leave_out: Column, most: int = 8) -> Column:
@@ -27,14 +32,17 @@ def phrase_units(text: Column, leave_out: Column, most: int = 8) -> Column:
 
 
 def exclusions(labels: DataFrame) -> DataFrame:
-    """(code, kind, words) denied in a label's last part: up to four sorted stems; a denial headed by a comparison is a quantity, one of other headings is skipped."""
-    leaf = F.element_at(F.split("label", ";"), -1)
+    """(code, kind, words) denied in a label's last part: up to four sorted stems; a denial of other headings is skipped.
+
+    One headed by a comparison, or of words of quantities alone, is a quantity. What "whether or not" leaves open is not denied.
+    """
+    leaf = F.regexp_replace(F.element_at(F.split("label", ";"), -1), OPTIONAL_CLAUSE, "$1")
     said = labels.select("code", F.explode(F.regexp_extract_all(leaf, F.lit(DENIAL), F.lit(1))).alias("said"))
     said = said.where(~F.col("said").rlike(r"(?i)\bof\s+(?:heading|chapter)s?\b"))
     words = F.transform(F.regexp_extract_all(F.lower("said"), F.lit(r"[a-z0-9]+"), F.lit(0)), stem)
     words = F.slice(F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 3))), 1, 4)
     head = F.element_at(F.split(F.lower(F.trim("said")), r"\s+"), 1)
-    found = said.select("code", F.when(head.isin(*QUANTITY_HEADS), "quantity").otherwise("exclusion").alias("kind"), words.alias("words"))
+    found = said.select("code", F.when(head.isin(*QUANTITY_HEADS) | F.forall(words, lambda w: w.isin(*QUANTITY_WORDS)), "quantity").otherwise("exclusion").alias("kind"), words.alias("words"))
     return found.where(F.size("words") > 0).distinct()
 
 

@@ -25,13 +25,12 @@ EDGES = [("aquatic_invertebrate", None), ("mollusc", "aquatic_invertebrate"), ("
 LABELS = [(c, c.replace("_", " ")) for c, _ in EDGES] + [("mollusc", "molluscs"), ("crustacean", "crustaceans"), ("shrimp", "white-leg shrimp")]
 ASKED = [("crustaceans", "white-leg shrimp", "O", "fact_is_question_or_descendant"), ("shrimp", "a crustacean", "SILENCE", "fact_is_only_question_ancestor"), ("shrimp", "cod", "X", "authoritative_taxa_disjoint"), ("cod", "pollack", "X", "authoritative_taxa_disjoint"),
          ("langoustine", "unknown seafood", "SILENCE", "taxonomy_term_unresolved"), ("cod", "decode product", "SILENCE", "taxonomy_term_unresolved"), ("sea bream", " Sea  bream", "O", "exact_phrase"), ("mollusc", "octopus and fish", "O", "fact_is_question_or_descendant")]
-STATES, FORMS = ["frozen", "dried", "fresh"], ["powder", "juice", "whole"]
-AXIS_ROWS = [
-    ("preservation_state", "Frozen fish", "answered", "frozen", "", "", "", "O"), ("preservation_state", "Dried fish", "answered", "frozen", "", "", "", "X"), ("preservation_state", "Fish", "answered", "frozen", "", "", "", "none"),
-    ("physical_form", "Fish powder", "answered", "fish", "", "", "", "X"), ("physical_form", "Fish", "answered", "fish", "", "", "", "none"), ("product_identity", "Other, of fish", "answered", "fish", "", "", "", "resid"),
-    ("product_identity", "Otherwise made fish", "answered", "fish", "", "", "", "O"), ("product_identity", "Stuffed pasta", "answered", "pasta", "stuffed", "", "", "X"), ("product_identity", "Pasta", "empty", "", "", "", "", "none"),
-    ("species_source", "Squids", "answered", "squid,noodle", "", "noodle", "squid", "X"), ("species_source", "Squids and noodles", "answered", "squid,noodle", "", "noodle", "squid", "O"), ("species_source", "", "answered", "squid", "", "", "", "none"),
-]
+STATES, FORMS = ["anodized", "brushed", "burnished", "plated", "polished"], ["bag", "box", "can", "drum", "jar"]
+AXES = """SELECT p_partkey AS row_id, CASE p_size % 4 WHEN 0 THEN 'preservation_state' WHEN 1 THEN 'physical_form' WHEN 2 THEN 'product_identity' ELSE 'species_source' END AS axis,
+  CASE p_partkey % 9 WHEN 0 THEN 'Other, ' || p_type WHEN 1 THEN 'Not elsewhere specified or included, ' || p_type WHEN 2 THEN p_name || ' n.e.s.' WHEN 3 THEN '' WHEN 4 THEN p_name ELSE p_type || CASE p_size % 3 WHEN 0 THEN ' box of ' WHEN 1 THEN ' large jars with ' ELSE ' ' END || p_name END AS label,
+  CASE WHEN p_size % 7 = 0 THEN 'empty' ELSE 'answered' END AS status,
+  CASE p_partkey % 3 WHEN 0 THEN 'anodized' WHEN 1 THEN 'box' ELSE split_part(p_name, ' ', 2) END || ',' || split_part(p_name, ' ', 1 + p_size % 2) AS tokens,
+  CASE WHEN p_partkey % 11 = 0 THEN split_part(p_name, ' ', 3) ELSE '' END AS denied, CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 1) ELSE '' END AS first, split_part(p_name, ' ', 1) AS accessory FROM {part}"""
 
 
 def for_duckdb(text):
@@ -128,8 +127,12 @@ QUERIES = {
         CASE kind {" ".join(f"WHEN '{k}' THEN '{v[2]}'" for k, v in VERDICTS.items())} ELSE CASE WHEN known THEN 'wrapper_requires_text_corroboration' ELSE 'no_source_text' END END AS reason FROM k""",
     ),
     "axis_verdicts": (
-        lambda s, d: ops.axis_verdicts(views.table(s, d, "part").select(F.col("p_partkey").alias("row_id"), *[pick([r[i] for r in AXIS_ROWS], F.col("p_partkey")).alias(c) if i < 3 else words(pick([r[i] for r in AXIS_ROWS], F.col("p_partkey"))).alias(c) for i, c in enumerate(("axis", "label", "status", "tokens", "denied", "first", "accessory"))]), STATES, FORMS),
-        f"SELECT p_partkey AS row_id, {case([r[7] for r in AXIS_ROWS], 'p_partkey')} AS verdict FROM part",
+        lambda s, d: ops.axis_verdicts(rows(s, d, AXES).withColumns({c: words(F.col(c)) for c in ("tokens", "denied", "first", "accessory")}), STATES, FORMS),
+        f"""WITH a AS ({for_duckdb(AXES)}), o AS (SELECT *, list_distinct(list_filter(list_transform(regexp_extract_all(lower(label), '[a-z0-9]+'), lambda w: {D_STEM}), lambda x: length(x) >= 3)) AS own, string_split(tokens, ',') AS tk FROM a),
+        m AS (SELECT *, list_intersect(own, {STATES}) AS st, CASE axis WHEN 'physical_form' THEN list_intersect(own, {FORMS}) ELSE own END AS asked FROM o), n AS (SELECT *, list_intersect(asked, tk) AS hit FROM m)
+        SELECT row_id, CASE WHEN label = '' THEN 'none' WHEN regexp_matches(lower(label), '^(other\\b|not elsewhere|n\\.e\\.s)') THEN 'resid' WHEN denied <> '' AND list_contains(own, denied) THEN 'X' WHEN status <> 'answered' THEN 'none'
+          WHEN axis = 'preservation_state' THEN CASE WHEN len(st) = 0 THEN 'none' WHEN list_has_any(st, tk) THEN 'O' ELSE 'X' END WHEN axis = 'physical_form' AND len(asked) = 0 THEN 'none' WHEN len(hit) = 0 THEN 'X'
+          WHEN axis = 'species_source' AND list_contains(hit, accessory) AND first <> accessory AND len(list_filter(hit, lambda x: x <> accessory)) = 0 THEN 'X' ELSE 'O' END AS verdict FROM n""",
     ),
     "answer_concepts": (
         lambda s, d: ops.answer_concepts(views.table(s, d, "part").select(F.col("p_partkey").alias("pair_id"), pick([a[0] for a in ASKED], F.col("p_partkey")).alias("question"), pick([a[1] for a in ASKED], F.col("p_partkey")).alias("fact")), s.createDataFrame(LABELS, "concept string, label string"), s.createDataFrame(closure_values(), "concept string, ancestor string, distance int")),

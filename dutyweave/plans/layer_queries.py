@@ -21,11 +21,13 @@ RULINGS = """SELECT CAST(doc_id AS <S>) AS ref, CASE doc_id % 7 WHEN 0 THEN 'Rej
 CHUNKS = """SELECT l_orderkey AS ref, l_suppkey % 40 AS code, l_returnflag AS country, 'kind' || CAST(l_partkey % 6 AS <S>) || ' w' || CAST(l_linenumber % 3 AS <S>) AS phrase FROM {lineitem}"""
 FAMILY = """SELECT l_orderkey AS ref, l_suppkey % 60 AS code, l_suppkey % 60 % 6 AS family, 'w' || CAST(l_partkey % 30 AS <S>) || ' of v' || CAST(l_suppkey % 12 AS <S>) AS phrase FROM {lineitem}"""
 SHEETS = """SELECT l_orderkey AS form, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS order_index, CASE WHEN l_linenumber % 3 = 1 THEN <SECTION> ELSE '  ' END AS section, <NAME> AS ingredient, l_quantity / 4 AS percent FROM {lineitem}"""
-SECTIONS = ["Wrapper", "Meat filling", "Soy SAUCE", "broth", "Noodle", "Main", "", "Topping"]
-NAMES = ["Water", "rice flour", "soy sauce mix", "beef broth", "Grain product (wheat, flour; 20 %)", "salt", "oil (50%)", "Spices ( pepper/ , x)"]
-ROLE_OF = {"Wrapper": "wrapper", "Meat filling": "filling", "Soy SAUCE": "sauce", "broth": "broth", "Noodle": "noodle", "Topping": "topping"}
-HEADS = ["Water", "rice flour", "soy sauce mix", "beef broth", "Grain product", "salt", "oil", "Spices"]
-PARTS = ["", "", "", "", "wheat|flour", "", "", "pepper"]
+SECTIONS = ["Wrapper", "Meat filling", "Soy SAUCE", "broth", "Noodle", "Main", "", "Topping", "만두피", "양념", "국물", "생면", "고명", "소금구이"]
+NAMES = ["정제수", "다시마 국물", "간장 소스 육수", "소금", "Water", "rice flour", "soy sauce mix", "beef broth", "Grain product (wheat, flour; 20 %)", "salt", "oil (50%)", "Spices ( pepper/ , x)"]
+ROLE_OF = {"Wrapper": "wrapper", "Meat filling": "filling", "Soy SAUCE": "sauce", "broth": "broth", "Noodle": "noodle", "Topping": "topping", "만두피": "wrapper", "양념": "sauce", "국물": "broth", "생면": "noodle", "고명": "topping"}
+HEADS = ["정제수", "다시마 국물", "간장 소스 육수", "소금", "Water", "rice flour", "soy sauce mix", "beef broth", "Grain product", "salt", "oil", "Spices"]
+PARTS = ["", "", "", "", "", "", "", "", "wheat|flour", "", "", "pepper"]
+DENYING = """SELECT p_partkey AS code, descr || CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '; fish, whether or not smoked, such as eels, not frozen' WHEN 2 THEN '; boxes not weighing over 2 kg'
+  WHEN 3 THEN '; goods without the covers' ELSE '; Pasta, whether or not cooked' END AS label FROM {labels}"""
 WORDS = """SELECT p_partkey AS code, p_partkey % 300 AS family, p_name || ' ' || p_type || ' b' || CAST(p_partkey % 7 AS <S>) AS text FROM {part}"""
 
 
@@ -33,13 +35,17 @@ def _sheet_sql(engine_case):
     return SHEETS.replace("<SECTION>", engine_case(SECTIONS, "l_suppkey")).replace("<NAME>", engine_case(NAMES, "l_partkey"))
 
 
+def _denying(s, d):
+    return s.sql(DENYING, labels=labels(s, d))
+
+
 def _sheets(s, d):
     return rows(s, d, _sheet_sql(case), "lineitem")
 
 
 D_SHEETS = f"""e0 AS ({for_duckdb(_sheet_sql(case))}), e1 AS (SELECT *, coalesce(last_value(nullif(trim(section), '') IGNORE NULLS) OVER (PARTITION BY form ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS sec FROM e0),
 e2 AS (SELECT *, CASE ingredient {" ".join(f"WHEN '{n}' THEN '{h}'" for n, h in zip(NAMES, HEADS, strict=True))} END AS head, CASE ingredient {" ".join(f"WHEN '{n}' THEN '{p}'" for n, p in zip(NAMES, PARTS, strict=True))} END AS parts FROM e1),
-e AS (SELECT *, CASE WHEN head = 'Water' THEN 'solvent' {" ".join(f"WHEN sec = '{k}' THEN '{v}'" for k, v in ROLE_OF.items())} WHEN head = 'soy sauce mix' THEN 'sauce' WHEN head = 'beef broth' THEN 'broth' ELSE 'other' END AS role,
+e AS (SELECT *, CASE WHEN head IN ('Water', '정제수') THEN 'solvent' {" ".join(f"WHEN sec = '{k}' THEN '{v}'" for k, v in ROLE_OF.items())} WHEN head IN ('soy sauce mix', '간장 소스 육수') THEN 'sauce' WHEN head IN ('beef broth', '다시마 국물') THEN 'broth' ELSE 'other' END AS role,
   CASE parts WHEN '' THEN head ELSE string_split(parts, '|')[1] END AS name FROM e2)"""
 D_FORMS = f"""{D_SHEETS}, s AS (SELECT *, role NOT IN ('solvent', 'sauce') AS solid FROM e), f1 AS (SELECT *, solid AND row_number() OVER (PARTITION BY form, sec, solid ORDER BY order_index) = 1 AS first FROM s),
 c AS (SELECT form, name, min(order_index) AS spot FROM f1 WHERE first GROUP BY ALL), c3 AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY spot) AS k FROM c), cc AS (SELECT form, list(name ORDER BY spot) AS cs FROM c3 WHERE k <= 3 GROUP BY form),
@@ -111,11 +117,13 @@ QUERIES = {
         SELECT p_partkey, coalesce(string_agg(u, '|' ORDER BY i), '') AS units FROM labels_ LEFT JOIN k USING (p_partkey) WHERE k IS NULL OR k <= 8 GROUP BY p_partkey""",
     ),
     "exclusions": (
-        lambda s, d: phrases.exclusions(labels(s, d).select(F.col("p_partkey").alias("code"), F.col("descr").alias("label"))).select("code", "kind", F.array_join("words", " ").alias("words")),
-        f"""WITH {D_LABELS}, m AS (SELECT p_partkey AS code, unnest(regexp_extract_all(descr, '(?i)\\b(?:other\\s+than|excluding|except|does\\s+not\\s+include|not\\s+including|not\\s+containing|without|no|not)\\s+([a-z][a-z ,\\-]{{2,60}}[a-z]*)', 1)) AS t FROM labels_),
+        lambda s, d: phrases.exclusions(_denying(s, d)).select("code", "kind", F.array_join("words", " ").alias("words")),
+        f"""WITH {D_LABELS}, den AS ({DENYING.replace("{labels}", "labels_")}), lf AS (SELECT code, regexp_replace(string_split(label, ';')[-1], '(?i)\\bwhether\\s+or\\s+not\\b.*?(,\\s*such\\s+as\\b|$)', '\\1', 'g') AS leaf FROM den),
+        m AS (SELECT code, unnest(regexp_extract_all(leaf, '(?i)\\b(?:other\\s+than|excluding|except|does\\s+not\\s+include|not\\s+including|not\\s+containing|without|no|not)\\s+([a-z][a-z ,\\-]{{2,60}}[a-z]*)', 1)) AS t FROM lf),
         q AS (SELECT code, t, row_number() OVER () AS r FROM m WHERE NOT regexp_matches(t, '(?i)\\bof\\s+(heading|chapter)s?\\b')), v AS (SELECT r, code, t, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS w FROM q),
         x AS (SELECT DISTINCT r, code, t, {D_STEM} AS x FROM v WHERE length({D_STEM}) >= 3), y AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY x) AS k FROM x)
-        SELECT DISTINCT code, kind, words FROM (SELECT r, code, CASE WHEN string_split_regex(lower(trim(t)), '\\s+')[1] IN ('more', 'less', 'exceeding') THEN 'quantity' ELSE 'exclusion' END AS kind, string_agg(x, ' ' ORDER BY x) AS words FROM y WHERE k <= 4 GROUP BY r, code, t)""",
+        SELECT DISTINCT code, kind, words FROM (SELECT r, code, CASE WHEN string_split_regex(lower(trim(t)), '\\s+')[1] IN ('more', 'less', 'exceeding') OR bool_and(x IN ('weighing', 'over', 'under', 'than', 'the')) THEN 'quantity' ELSE 'exclusion' END AS kind,
+          string_agg(x, ' ' ORDER BY x) AS words FROM y WHERE k <= 4 GROUP BY r, code, t)""",
     ),
     "ruling_phrases": (
         lambda s, d: phrases.ruling_phrases(rows(s, d, FAMILY, "lineitem"), rows(s, d, FAMILY, "lineitem").where("code % 5 = 0").select("code", F.explode(F.split("phrase", " ")).alias("word")).where("word <> 'w7'").distinct()),

@@ -73,5 +73,21 @@ def test_empty_layers_and_phrases(spark):
     assert layers.match_pregate(none, gates).count() == 0
     units = lambda t: spark.range(1).select(phrases.phrase_units(F.lit(t), F.array(F.lit("fish"))).alias("u")).first().u
     assert units("Fish fillets, smoked or dried; L sections") == ["fillet", "smoked", "dried", "section", "l"] and units(None) == []
-    roles = spark.createDataFrame([("", "water"), ("Dough", "flour"), ("", "beef stock"), ("", None)], "s string, i string").select(sheets.component_role(F.col("s"), F.col("i")).alias("r"))
-    assert [r.r for r in roles.collect()] == ["solvent", "wrapper", "broth", "other"]
+    roles = spark.createDataFrame([("", "water"), ("Dough", "flour"), ("", "beef stock"), ("", None), ("만두피", "밀가루"), ("김치소", "x"), ("비빔장", "x"), ("", "정제수"), ("", "멸치 육수"), ("", "간장 소스"), ("소금구이", "x")], "s string, i string").select(sheets.component_role(F.col("s"), F.col("i")).alias("r"))
+    assert [r.r for r in roles.collect()] == ["solvent", "wrapper", "broth", "other", "wrapper", "filling", "sauce", "solvent", "broth", "sauce", "other"]
+
+
+def test_what_is_left_open_is_not_denied(spark):
+    labels = spark.createDataFrame(
+        [(1, "Pasta, whether or not cooked"), (2, "Fish, whether or not smoked, such as eels, not frozen"), (3, "Boxes not weighing over"), (4, "Goods, not more than 3"), (5, "Pasta, not stuffed"), (6, "Not dried; whole, without bones")],
+        "code int, label string",
+    )
+    got = sorted((r.code, r.kind, " ".join(r.words)) for r in phrases.exclusions(labels).collect())
+    assert got == [(2, "exclusion", "frozen"), (3, "quantity", "over weighing"), (4, "quantity", "more than"), (5, "exclusion", "stuffed"), (6, "exclusion", "bone")]
+
+
+def test_labels_led_by_a_marker_are_residual(spark):
+    labels = ["Not elsewhere specified or included", "N.E.S. fish", "Other, of fish", "Fish, not elsewhere specified", "Otherwise made fish"]
+    rows = [(k, "product_identity", v, "answered", ["fish"], [], [], []) for k, v in enumerate(labels)]
+    df = spark.createDataFrame(rows, "row_id int, axis string, label string, status string, tokens array<string>, denied array<string>, first array<string>, accessory array<string>")
+    assert [r.verdict for r in binding.axis_verdicts(df, [], []).orderBy("row_id").collect()] == ["resid", "resid", "resid", "O", "O"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dutyweave.operators.containment import contained
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,16 +67,14 @@ def bigram_lookup(queries: DataFrame, dictionary: DataFrame, k: int = 3) -> Data
 def bridge_terms(entries: DataFrame, standard: DataFrame) -> DataFrame:
     """Entry names to dictionary codes: exact, else a blank-separated part, else the longest key contained in the name.
 
-    Contained keys have two or more characters; they are found by expanding the names to substrings of
-    the lengths that the dictionary holds (one row) and joining by equality.
+    Contained keys have two or more characters; they are looked for where their rarest gram is.
     """
     n = entries.select("entry_id", F.lower(F.trim("name")).alias("name"))
     exact = n.select("entry_id", F.col("name").alias("key"), F.lit(1).alias("tier"))
     parts = n.select("entry_id", F.explode(F.split("name", r"\s+")).alias("key"), F.lit(2).alias("tier"))
-    sizes = standard.where(F.length("key") >= 2).agg(F.collect_set(F.length("key")).alias("sizes"))
-    sized = n.crossJoin(F.broadcast(sizes)).select("entry_id", "name", F.explode("sizes").alias("k")).where(F.length("name") >= F.col("k"))
-    starts = F.sequence(F.lit(1), F.length("name") - F.col("k") + 1)
-    inner = sized.select("entry_id", F.explode(F.transform(starts, lambda i: F.substring("name", i, F.col("k")))).alias("key"), F.lit(3).alias("tier")).distinct()
+    keys = standard.where(F.length("key") >= 2).select(F.col("key").alias("needle"))
+    held = contained(n.select(F.col("name").alias("text")), keys).select(F.col("text").alias("name"), F.col("needle").alias("key"))
+    inner = n.join(held, "name").select("entry_id", "key", F.lit(3).alias("tier"))
     hits = exact.unionByName(parts).unionByName(inner).join(standard, "key")
     order = Window.partitionBy("entry_id").orderBy("tier", F.desc(F.length("key")), "key", "code10")
     best = hits.withColumn("r", F.row_number().over(order)).where("r = 1").select("entry_id", "key", "code10", "tier")

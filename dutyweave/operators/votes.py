@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dutyweave.operators.classify import bm25_shortlist
+from dutyweave.operators.containment import contained
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,16 +75,10 @@ def pick_principal(candidates: DataFrame, facts: DataFrame, entries: DataFrame,
     return j.select("product", F.coalesce("by_identity", "by_percent", F.lit("")).alias("principal"), way.alias("way"))
 
 
-def _pieces(word: Column) -> Column:
-    """All pieces of two or more characters of a word."""
-    ends = lambda i: F.transform(F.sequence(F.lit(2), F.length(word) - i + 1), lambda n: F.substring(word, i, n))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(word) - 1), ends)))
-
-
 def like_forms(products: DataFrame, keys: DataFrame, least: int = 2) -> DataFrame:
     """(product, key, score) of products (product, name) and keys (key): the key that most of the name's words contain or are contained in, `least` at least.
 
-    Pairs of words are found once over the distinct words, by equal pieces.
+    Pairs of words are found once over the distinct words, where the rarest gram of the contained one is.
     """
 
     def words(name: Column) -> Column:
@@ -92,8 +87,8 @@ def like_forms(products: DataFrame, keys: DataFrame, least: int = 2) -> DataFram
     p = products.select("product", words(F.col("name")).alias("word"))
     q = keys.select("key", words(F.col("key")).alias("other")).distinct()
     ours, theirs = p.select("word").distinct(), q.select("other").distinct()
-    inside = theirs.select("other", F.explode(_pieces(F.col("other"))).alias("word")).join(ours, "word").select("word", "other")
-    around = ours.select("word", F.explode(_pieces(F.col("word"))).alias("other")).join(theirs, "other").select("word", "other")
+    inside = contained(theirs.withColumnRenamed("other", "text"), ours.withColumnRenamed("word", "needle")).select(F.col("needle").alias("word"), F.col("text").alias("other"))
+    around = contained(ours.withColumnRenamed("word", "text"), theirs.withColumnRenamed("other", "needle")).select(F.col("text").alias("word"), F.col("needle").alias("other"))
     alike = inside.unionByName(around).distinct()
     met = p.join(alike, "word").join(q, "other").select("product", "key", "word").distinct().groupBy("product", "key").agg(F.count(F.lit(1)).alias("score"))
     best = met.where(F.col("score") >= least).groupBy("product").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("b"))

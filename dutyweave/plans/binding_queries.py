@@ -25,12 +25,12 @@ EDGES = [("aquatic_invertebrate", None), ("mollusc", "aquatic_invertebrate"), ("
 LABELS = [(c, c.replace("_", " ")) for c, _ in EDGES] + [("mollusc", "molluscs"), ("crustacean", "crustaceans"), ("shrimp", "white-leg shrimp")]
 ASKED = [("crustaceans", "white-leg shrimp", "O", "fact_is_question_or_descendant"), ("shrimp", "a crustacean", "SILENCE", "fact_is_only_question_ancestor"), ("shrimp", "cod", "X", "authoritative_taxa_disjoint"), ("cod", "pollack", "X", "authoritative_taxa_disjoint"),
          ("langoustine", "unknown seafood", "SILENCE", "taxonomy_term_unresolved"), ("cod", "decode product", "SILENCE", "taxonomy_term_unresolved"), ("sea bream", " Sea  bream", "O", "exact_phrase"), ("mollusc", "octopus and fish", "O", "fact_is_question_or_descendant")]
-STATES, FORMS = ["anodized", "brushed", "burnished", "plated", "polished"], ["bag", "box", "can", "drum", "jar"]
+STATES, FORMS = ["economy", "hot", "promo", "small", "standard"], ["bag", "box", "can", "drum", "jar"]
 AXES = """SELECT p_partkey AS row_id, CASE p_size % 4 WHEN 0 THEN 'preservation_state' WHEN 1 THEN 'physical_form' WHEN 2 THEN 'product_identity' ELSE 'species_source' END AS axis,
   CASE p_partkey % 9 WHEN 0 THEN 'Other, ' || p_type WHEN 1 THEN 'Not elsewhere specified or included, ' || p_type WHEN 2 THEN p_name || ' n.e.s.' WHEN 3 THEN '' WHEN 4 THEN p_name ELSE p_type || CASE p_size % 3 WHEN 0 THEN ' box of ' WHEN 1 THEN ' large jars with ' ELSE ' ' END || p_name END AS label,
   CASE WHEN p_size % 7 = 0 THEN 'empty' ELSE 'answered' END AS status,
-  CASE p_partkey % 3 WHEN 0 THEN 'anodized' WHEN 1 THEN 'box' ELSE split_part(p_name, ' ', 2) END || ',' || split_part(p_name, ' ', 1 + p_size % 2) AS tokens,
-  CASE WHEN p_partkey % 11 = 0 THEN split_part(p_name, ' ', 3) ELSE '' END AS denied, CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 1) ELSE '' END AS first, split_part(p_name, ' ', 1) AS accessory FROM {part}"""
+  CASE p_partkey % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'box' ELSE lower(p_type) END || ',' || split_part(p_name, ' ', 1 + p_size % 2) AS tokens,
+  CASE WHEN p_partkey % 11 = 0 THEN lower(p_type) ELSE '' END AS denied, CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 1) ELSE '' END AS first, split_part(p_name, ' ', 1) AS accessory FROM {part}"""
 
 
 def for_duckdb(text):

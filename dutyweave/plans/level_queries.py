@@ -11,14 +11,14 @@ from dutyweave.plans import views
 
 NODES = """SELECT DISTINCT substr(code10, 1, w) AS code, substr(code10, 1, w - 2) AS parent, substr(code10, w - 1, 2) = '00' AS residual FROM {goods} CROSS JOIN (SELECT 4 AS w UNION ALL SELECT 6 UNION ALL SELECT 8)"""
 CONDITIONS = """SELECT code, row_id, CASE WHEN row_id = 2 AND rep % 2 = 1 THEN '' ELSE 'a' END AS alt_group,
-  CASE WHEN row_id = 2 THEN 'color' WHEN w = 4 THEN 'metal' WHEN w = 6 THEN 'coat' ELSE 'class' END AS field,
-  CASE WHEN row_id = 2 THEN split_part(p_name, ' ', 1) WHEN w = 4 THEN split_part(p_type, ' ', 3) WHEN w = 6 THEN split_part(p_type, ' ', 2) ELSE split_part(p_type, ' ', 1) END AS value
+  CASE WHEN row_id = 2 THEN 'brand' WHEN w = 4 THEN 'kind' WHEN w = 6 THEN 'look' ELSE 'thing' END AS field,
+  CASE WHEN row_id = 2 THEN p_brand WHEN w = 4 THEN p_type WHEN w = 6 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 2) END AS value
   FROM (SELECT substr(code10, 1, w) AS code, w, min(p_partkey) AS rep FROM {goods} CROSS JOIN (SELECT 4 AS w UNION ALL SELECT 6 UNION ALL SELECT 8) GROUP BY 1, 2)
   JOIN {part} ON p_partkey = rep CROSS JOIN (SELECT 1 AS row_id UNION ALL SELECT 2)"""
-FACTS = """SELECT p_partkey AS product, 'metal' AS field, split_part(p_type, ' ', 3) AS value FROM {part} WHERE p_size % 5 <> 0
-  UNION ALL SELECT p_partkey, 'coat', split_part(p_type, ' ', 2) FROM {part} WHERE p_size % 7 <> 0
-  UNION ALL SELECT p_partkey, 'class', split_part(p_type, ' ', 1) FROM {part} WHERE p_size % 3 <> 0
-  UNION ALL SELECT p_partkey, 'color', split_part(p_name, ' ', 1 + p_size % 3) FROM {part} WHERE p_size % 4 <> 0"""
+FACTS = """SELECT p_partkey AS product, 'kind' AS field, p_type AS value FROM {part} WHERE p_size % 5 <> 0
+  UNION ALL SELECT p_partkey, 'look', split_part(p_name, ' ', 1) FROM {part} WHERE p_size % 7 <> 0
+  UNION ALL SELECT p_partkey, 'thing', split_part(p_name, ' ', 2) FROM {part} WHERE p_size % 3 <> 0
+  UNION ALL SELECT p_partkey, 'brand', p_brand FROM {part} WHERE p_size % 4 <> 0"""
 STARTS = """SELECT p_partkey AS product, substr(code10, 1, 2) AS parent FROM {goods}
   UNION ALL SELECT p_partkey, lpad(CAST(CAST(substr(code10, 1, 2) AS INT) % 24 + 1 AS <S>), 2, '0') FROM {goods}"""
 PRECEDENTS = """SELECT p_partkey AS product, substr(code10, 1, w) AS code FROM {goods} CROSS JOIN (SELECT 4 AS w UNION ALL SELECT 6 UNION ALL SELECT 8) WHERE p_partkey % 4 = 0"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dutyweave.functions import text
+from dutyweave.staging import stage
 
 
 def roll_up(verdicts: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,17 +126,27 @@ def top_k(rows: DataFrame, partition: list[str], order: list[Column], k: int) ->
 
 
 def similar_rulings(products: DataFrame, rulings: DataFrame, n: int = 3) -> DataFrame:
-    """Rulings of the same 8 digits, else 6, else 4, sharing a word; best by shared words, n at most."""
-    tier = F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), F.left("code10", F.lit(w)).alias("prefix")) for i, w in enumerate((8, 6, 4))])).alias("t")
-    p = products.select("product", F.explode("toks").alias("tok"), "code10").select("product", "tok", tier).select("product", "tok", "t.*").distinct()
-    r = rulings.select("ref", F.explode("toks").alias("tok"), "code10").select("ref", "tok", tier).select("ref", "tok", "t.*").distinct()
-    shared = p.join(r, ["tier", "prefix", "tok"]).groupBy("product", "ref", "tier").agg(F.count(F.lit(1)).alias("shared"))
-    nearest = shared.withColumn("best", F.min("tier").over(Window.partitionBy("product"))).where("tier = best").drop("best")
-    return top_k(nearest, ["product"], [F.desc("shared"), F.col("ref")], n)
+    """Rulings of the same 8 digits, else 6, else 4, sharing a word; best by shared words, n at most.
+
+    One tier after the other: only products without a ruling so far go on to a wider one, and only rulings of their scopes meet them.
+    """
+    rulings = stage(rulings.select("ref", "code10", "toks"), "rulings")
+    rest, found = stage(products.select("product", "code10", "toks"), "products"), None
+    for tier, width in enumerate((8, 6, 4)):
+        scope = F.left("code10", F.lit(width)).alias("prefix")
+        p = rest.select("product", scope, F.explode("toks").alias("tok")).distinct()
+        near = rulings.select("ref", scope, "toks").join(p.select("prefix").distinct(), "prefix", "left_semi")
+        r = near.select("ref", "prefix", F.explode("toks").alias("tok")).distinct()
+        shared = p.join(r, ["prefix", "tok"]).groupBy("product", "ref").agg(F.count(F.lit(1)).alias("shared"))
+        shared = stage(shared.select("product", "ref", F.lit(tier).alias("tier"), "shared"), "similar-rulings")
+        found = shared if found is None else found.unionByName(shared)
+        rest = rest.join(shared.select("product").distinct(), "product", "left_anti")
+    return top_k(found, ["product"], [F.desc("shared"), F.col("ref")], n)
 
 
 def bm25_shortlist(queries: DataFrame, rulings: DataFrame, n: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Rulings of a query's scope by BM25, each matched word counting once."""
+    rulings = stage(rulings.select("ref", "prefix", "toks"), "rulings")
     terms = rulings.select("ref", "prefix", F.explode(F.array_distinct("toks")).alias("tok"), F.size("toks").alias("dl"))
     stats = rulings.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("toks")).alias("mean")).first()
     df = terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))

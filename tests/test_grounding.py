@@ -4,7 +4,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
-from dutyweave.operators import alternatives, evidence, grounding
+from dutyweave.operators import alternatives, evidence, fact_lines, grounding
 
 UNITS = {"g", "kg", "mg", "l", "ml", "kcal"}
 
@@ -120,3 +120,21 @@ def test_each_rule_of_evidence_decides_a_fact(spark):
         1: "valid", 2: "unknown_reference", 3: "unknown_reference", 4: "no_reference", 5: "no_reference", 6: "quantity_missing", 7: "valid", 8: "no_label_evidence", 9: "outside_section", 10: "valid",
         11: "valid", 12: "valid", 13: "not_supported", 14: "not_supported", 15: "valid",
     }
+
+
+def test_fact_lines(spark):
+    lines = [
+        (1, 0, "Welcome"), (1, 1, "Ingredients:"), (1, 2, "rice"), (1, 3, "http://x"), (1, 4, "see package"), (1, 5, "salt"), (1, 6, "500 g left"), (1, 7, "more text"), (1, 8, "Net weight  300 g"), (1, 9, "Net contents"), (1, 10, "2 packs"),
+        (2, 0, "500 g left"), (2, 1, "500 g left"), (2, 2, " "), (2, 3, None), (2, 4, "see package 3 g"),
+    ]
+    labels = spark.createDataFrame([("ingredients", 2), ("net", 0), ("net contents", 1)], "label string, most int")
+    found = fact_lines.capture_fact_lines(spark.createDataFrame(lines, "page_id int, pos int, line string"), labels, "[a-z0-9]", "http", "[0-9]", "see package")
+    got = sorted((r.page_id, r.pos, r.label or "", r.text) for r in found.collect())
+    assert got == [(1, 1, "ingredients", "Ingredients: rice salt"), (1, 6, "", "500 g left"), (1, 8, "net", "Net weight 300 g"), (1, 9, "net contents", "Net contents 2 packs"), (2, 0, "", "500 g left")]
+
+
+def test_summary_fields(spark):
+    lines = [(1, 0, "Weight"), (1, 1, "Origin"), (1, 2, "Korea"), (1, 3, "9,900원"), (1, 4, "Weight"), (1, 5, "about"), (1, 6, "500 g"), (1, 7, "more"), (1, 8, "Care"), (1, 9, "상품설명 x"), (2, 0, "Care"), (2, 1, "keep"), (3, 0, "Care")]
+    labels = spark.createDataFrame([("Weight",), ("Origin",), ("Care",)], "label string")
+    found = fact_lines.summary_fields(spark.createDataFrame(lines, "page_id int, pos int, line string"), labels, "^상품설명", "(원|%)$")
+    assert sorted((r.page_id, r.field, r.value) for r in found.collect()) == [(1, "Origin", "Korea"), (1, "Weight", "about 500 g"), (2, "Care", "keep")]

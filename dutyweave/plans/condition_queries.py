@@ -47,7 +47,8 @@ def _list(words):
 
 def _units(text, leave, most=4, first=8):
     words = f"list_filter(list_transform(regexp_extract_all(s, '[a-z0-9]+'), lambda w: {D_STEM}), lambda x: length(x) >= 3 AND NOT list_contains({leave}, x))"
-    return f"list_slice(list_filter(list_transform(string_split_regex(lower({text}), '[,;:()]|\\band\\b|\\bor\\b'), lambda s: array_to_string(list_slice({words}, 1, {most}), ' ')), lambda u: u <> ''), 1, {first})"
+    every = f"list_filter(list_transform(string_split_regex(lower({text}), '[,;:()]|\\band\\b|\\bor\\b'), lambda s: array_to_string(list_slice({words}, 1, {most}), ' ')), lambda u: u <> '')"
+    return f"list_slice(list_filter({every}, lambda u, i: list_position({every}, u) = i), 1, {first})"  # each phrase once, at its first place
 
 
 def _stems(text):

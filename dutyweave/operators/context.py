@@ -81,16 +81,18 @@ def product_signs(bound: DataFrame, texts: DataFrame, wrappers: DataFrame) -> Da
     own = lambda a: F.struct(
         F.coalesce(F.bool_or((F.col("axis") == a) & (F.col("status") == "answered")), F.lit(False)).alias("answered"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("axis") == a, words)))).alias("words")
     )
-    known = bound.groupBy("product").agg(*[own(a).alias(c) for c, a in AXES.items()])
     kind = F.when(F.col("axis") == "physical_form", polarity(F.col("value"), list(FILLED)))
     low = F.when(F.col("axis") == "otherwise_prepared", F.regexp_replace(F.lower(F.trim("value")), "_", " "))
-    signs = texts.select("product", kind.alias("kind"), low.alias("low")).groupBy("product").agg(
+    # all that is known of a product meets in one shuffle
+    every = bound.select("product", "axis", "status", "tokens").unionByName(texts.select("product", kind.alias("kind"), low.alias("low")), allowMissingColumns=True)
+    every = every.unionByName(wrappers.select("product", "wrapper"), allowMissingColumns=True)
+    return every.groupBy("product").agg(
+        *[own(a).alias(c) for c, a in AXES.items()],
         F.bool_or(F.col("kind").isin("positive", "conflict")).alias("filled"), F.bool_or(F.col("kind").isin("negated", "conflict")).alias("unfilled"), F.bool_or(F.col("kind") == "neutral").alias("neutral"),
         F.bool_or(F.col("low").rlike(OTHERWISE) & ~F.col("low").rlike(NOT_OTHERWISE) | F.col("low").rlike(PREPARED)).alias("prepared"),
         F.bool_or(F.col("low").rlike(NOT_OTHERWISE) | F.col("low").rlike(UNPREPARED)).alias("unprepared"),
+        F.max("wrapper").alias("wrapper"),
     )
-    flags = wrappers.groupBy("product").agg(F.max("wrapper").alias("wrapper"))
-    return known.join(signs, "product", "full").join(flags, "product", "full")
 
 
 def _said(verdict: str | Column, reason: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dutyweave.operators.classes import representatives, to_members
 from dutyweave.operators.classify import bm25_shortlist
 from dutyweave.operators.containment import contained
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,7 @@ def precedent_vote(queries: DataFrame, rulings: DataFrame, codes: DataFrame, k:
     queries: product, prefix, toks; rulings: ref, prefix, code, toks, phrases; codes: code. Scores only make the shortlist. Without
     exactly one code that exists and k rulings the code is empty, and silence tells why.
     """
+    queries, members = representatives(queries.select("product", "prefix", "toks"), "product")  # equal queries get one answer
     short = bm25_shortlist(queries, rulings, shortlist)
     asked = queries.groupBy("product").agg(F.array_distinct(F.flatten(F.collect_list("toks"))).alias("asked"))
     met = short.join(rulings.select("ref", "code", "phrases"), "ref").join(asked, "product")
@@ -45,10 +47,11 @@ def precedent_vote(queries: DataFrame, rulings: DataFrame, codes: DataFrame, k:
         .when(F.col("exists").isNull(), "not_in_tree").when(F.col("n_refs") < k, "k_below_min").otherwise("")
     )
     words = F.slice(F.array_sort(F.array_distinct(F.flatten(F.transform("phrases", lambda p: F.split(p, " "))))), 1, 8)
-    return v.withColumn("silence", silence).select(
+    answers = v.withColumn("silence", silence).select(
         "product", F.when(F.col("silence") == "", F.col("code")).otherwise("").alias("code"), "silence", F.coalesce("n_refs", F.lit(0)).alias("n_refs"),
         F.array_join(F.coalesce("refs", F.array().cast("array<string>")), ",").alias("refs"), F.array_join(F.coalesce(words, F.array().cast("array<string>")), ",").alias("words"),
     )
+    return to_members(answers, members, "product").select(answers.columns)
 
 
 def _signs(text: Column) -> Column:
@@ -84,15 +87,15 @@ def like_forms(products: DataFrame, keys: DataFrame, least: int = 2) -> DataFram
     def words(name: Column) -> Column:
         return F.explode(F.array_except(F.array_distinct(F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(NAME_WORDS), F.lit(0))), F.array(*[F.lit(g) for g in GENERIC])))
 
-    p = products.select("product", words(F.col("name")).alias("word"))
-    q = keys.select("key", words(F.col("key")).alias("other")).distinct()
+    p, members = representatives(products.select("product", words(F.col("name")).alias("word")), "product")  # names of equal words meet the keys once
+    q = keys.select("key").distinct().select("key", words(F.col("key")).alias("other"))
     ours, theirs = p.select("word").distinct(), q.select("other").distinct()
     inside = contained(theirs.withColumnRenamed("other", "text"), ours.withColumnRenamed("word", "needle")).select(F.col("needle").alias("word"), F.col("text").alias("other"))
     around = contained(ours.withColumnRenamed("word", "text"), theirs.withColumnRenamed("other", "needle")).select(F.col("text").alias("word"), F.col("needle").alias("other"))
     alike = inside.unionByName(around).distinct()
     met = p.join(alike, "word").join(q, "other").select("product", "key", "word").distinct().groupBy("product", "key").agg(F.count(F.lit(1)).alias("score"))
     best = met.where(F.col("score") >= least).groupBy("product").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("b"))
-    return best.select("product", "b.key", (-F.col("b.s")).alias("score"))
+    return to_members(best.select("product", "b.key", (-F.col("b.s")).alias("score")), members, "product").select("product", "key", "score")
 
 
 def looked_up_names(name: Column, most: int = 4) -> Column:

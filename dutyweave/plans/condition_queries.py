@@ -90,12 +90,16 @@ def _note_units(t, n):
 
 
 D_NOTES = f"""{D_PARTS}, nt AS (SELECT code, kind, text, row_number() OVER (PARTITION BY code, kind ORDER BY pos, text) AS k FROM ({views.for_duckdb(NOTES)})),
-ex AS (SELECT code, kind, k, unnest({_note_units('t', 2)}) AS u, unnest(range(1, 3)) AS i FROM (SELECT code, kind, k, unnest(regexp_extract_all(text, '(?i)(?:does not cover|do not cover|excludes?|excluding|are not included|is not included|not covered by)[:\\s]+([^.;(]{{4,90}})', 1)) AS t FROM nt WHERE kind <> 'note_incl' AND k <= 4)),
-ok AS (SELECT family, ex.code, kind, k, i, u FROM ex JOIN pt USING (code) WHERE u IS NOT NULL AND contains(u, ' ') AND NOT list_has_any(string_split(u, ' '), list_filter({_stems('leaf')}, lambda x: length(x) >= 3)) AND NOT regexp_matches(u, '^(less|than| )+$')),
-f1 AS (SELECT family, code, kind, u, min(k * 10 + i) AS p FROM ok GROUP BY ALL), f2 AS (SELECT *, min(CASE kind WHEN 'note_excl' THEN 0 ELSE 1000 END + p) OVER (PARTITION BY code, u) AS q, CASE kind WHEN 'note_excl' THEN 0 ELSE 1000 END + p AS own FROM f1),
-seq AS (SELECT DISTINCT family, code, u, q FROM f2 WHERE q = own), cnt AS (SELECT *, count(*) OVER (PARTITION BY code ORDER BY q) AS c FROM seq),
--- a note is read while fewer than four phrases came before it, and the first of each kind always
-kept AS (SELECT s.family, s.code, s.u, s.q FROM cnt s WHERE s.q % 1000 // 10 = 1 OR (SELECT count(*) FROM seq r WHERE r.code = s.code AND r.q < s.q // 10 * 10) < 4)"""
+cl AS (SELECT code, kind, k, unnest(ts) AS t, generate_subscripts(ts, 1) AS c FROM (SELECT *, regexp_extract_all(text, '(?i)(?:does not cover|do not cover|excludes?|excluding|are not included|is not included|not covered by)[:\\s]+([^.;(]{{4,90}})', 1) AS ts FROM nt WHERE kind <> 'note_incl' AND k <= 4)),
+ex AS (SELECT code, kind, k, c, unnest({_note_units('t', 2)}) AS u, unnest(range(1, 3)) AS i FROM cl),
+ok AS (SELECT family, ex.code, kind, k, c, i, u FROM ex JOIN pt USING (code) WHERE u IS NOT NULL AND contains(u, ' ') AND NOT list_has_any(string_split(u, ' '), list_filter({_stems('leaf')}, lambda x: length(x) >= 3)) AND NOT regexp_matches(u, '^(less|than| )+$')),
+f1 AS (SELECT family, code, kind, u, min((k, c, i)) AS p FROM ok GROUP BY ALL),
+-- a note is read while its kind's phrases so far, with those read of the kind before, are fewer than four; the first of each kind always
+e2 AS (SELECT *, p[1] AS k FROM f1 WHERE kind = 'note_excl'), er AS (SELECT a.family, a.code, a.u, a.p FROM e2 a WHERE a.k = 1 OR (SELECT count(*) FROM e2 b WHERE b.code = a.code AND b.k < a.k) < 4),
+-- a phrase of an unread note was not met, so the next kind may bring it
+r2 AS (SELECT *, p[1] AS k FROM f1 WHERE kind = 'rule_excl' AND NOT EXISTS (SELECT 1 FROM er WHERE er.code = f1.code AND er.u = f1.u)), ec AS (SELECT code, count(*) AS n FROM er GROUP BY code),
+rr AS (SELECT a.family, a.code, a.u, a.p FROM r2 a WHERE a.k = 1 OR coalesce((SELECT n FROM ec WHERE ec.code = a.code), 0) + (SELECT count(*) FROM r2 b WHERE b.code = a.code AND b.k < a.k) < 4),
+kept AS (SELECT family, code, u, 0 AS kind, p FROM er UNION ALL SELECT family, code, u, 1, p FROM rr)"""
 
 QUERIES = {
     "typed_conditions": (lambda s, d: _typed(s, d).withColumn("words", F.array_join("words", "|")), f"WITH {D_TYPED} SELECT family, code, axis, op, words, source FROM td"),
@@ -111,7 +115,7 @@ QUERIES = {
     ),
     "note_conditions": (
         lambda s, d: ops.note_conditions(_sql(s, d, NOTES), _parts(s, d), IDLE),
-        f"""WITH {D_NOTES} SELECT family, code, 'exclusion' AS kind, u AS phrase, row_number() OVER (PARTITION BY code ORDER BY q) - 1 AS place FROM kept
+        f"""WITH {D_NOTES} SELECT family, code, 'exclusion' AS kind, u AS phrase, row_number() OVER (PARTITION BY code ORDER BY kind, p) - 1 AS place FROM kept
         UNION ALL SELECT family, code, 'inclusion', u, row_number() OVER (PARTITION BY code ORDER BY p) - 1 FROM (SELECT family, code, u, min(k * 10 + i) AS p FROM (SELECT code, k, unnest({_note_units('text', 3)}) AS u, unnest(range(1, 4)) AS i FROM nt WHERE kind = 'note_incl' AND k <= 2) JOIN pt USING (code) WHERE u IS NOT NULL AND NOT residual GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY code ORDER BY p) <= 3""",
     ),
 }

@@ -120,3 +120,21 @@ def test_empty_table(spark):
     typed = ops.typed_conditions(none, PATTERNS, [], [])
     assert typed.count() == 0 and ops.qualifiers(none, PATTERNS, {}, []).count() == 0
     assert ops.fallback_identity(none, typed, df.where("false"), PATTERNS, [], []).count() == 0
+
+
+def test_a_phrase_of_an_unread_note_may_come_with_the_next_kind(spark, tmp_path):
+    import duckdb
+
+    from dutyweave.plans import condition_queries
+
+    # two notes fill the four; "widget glass" stands in a third, unread one, then in the first note of the next kind
+    lines = [(3, 3, 1000, 100), (3, 3, 2000, 104), (3, 3, 3000, 101), (3, 1, 4000, 105)]
+    spark.createDataFrame(lines, "l_partkey long, l_linenumber int, l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(3, "red widget", "SMALL", 7)], "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found, sql = condition_queries.QUERIES["note_conditions"]
+    got = sorted((r.code, r.kind, r.phrase, r.place) for r in found(spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    for t in ("part", "lineitem"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = sorted(c.execute(f"SELECT code, kind, phrase, place FROM ({sql})").fetchall())
+    assert got == want and "widget glass" in [r[2] for r in got]

@@ -38,8 +38,8 @@ BLOCK = 1 << 14
 MARK = 0x2581
 #: Stands for a word mark that the text itself holds.
 LITERAL_MARK = 0x110000
-#: Characters of texts handled at once.
-CHUNK_CHARS = 1 << 21
+#: Characters of texts handled at once; memory of a task grows with their lattices.
+CHUNK_CHARS = 1 << 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 ODD = np.uint64(0xD1342543DE82EF95)
 

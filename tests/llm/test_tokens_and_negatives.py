@@ -220,3 +220,22 @@ def test_packed_products_are_exact():
         want = [[sum(int(p) * int(q) for p, q in zip(x, y)) for y in hard_negatives.whole(c)] for x in hard_negatives.whole(a)]
         assert hard_negatives.Packed(c, a).scores(slice(0, 5)).tolist() == want
     assert hard_negatives.Packed(rng.normal(size=(9, 64)) / 8, rng.normal(size=(2, 64)) / 8).fields == 2
+
+
+def test_encoding_holds_the_lattice_of_few_characters():
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from dutyweave.llm import piece_sampling
+
+    vocab, r = piece_sampling.load_vocabulary(), random.Random(1)
+    texts = [" ".join("".join(r.choices("abcdefghij", k=8)) for _ in range(100)) for _ in range(1000)]
+    keys = np.arange(len(texts)).astype(np.uint64)
+    tracemalloc.start()
+    sizes, ids = piece_sampling.encode_batch(texts, keys, vocab)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [b.decode() for b in piece_sampling.decode_batch(sizes, ids, vocab)] == texts
+    assert peak < 100e6

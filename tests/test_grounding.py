@@ -138,3 +138,13 @@ def test_summary_fields(spark):
     labels = spark.createDataFrame([("Weight",), ("Origin",), ("Care",)], "label string")
     found = fact_lines.summary_fields(spark.createDataFrame(lines, "page_id int, pos int, line string"), labels, "^상품설명", "(원|%)$")
     assert sorted((r.page_id, r.field, r.value) for r in found.collect()) == [(1, "Origin", "Korea"), (1, "Weight", "about 500 g"), (2, "Care", "keep")]
+
+
+def test_cells_and_regions_are_not_broadcast(spark):
+    """Repeated texts shrink when written, so their size on disk must not decide; what grows is sorted and merged."""
+    cells = spark.range(400).selectExpr("id % 40 AS page", "1 AS table_no", "cast(id / 40 AS int) AS row_no", "1 AS cell_no", "'red cod 5 g' AS text")
+    regions = spark.range(80).selectExpr("id % 40 AS page", "cast(id / 40 AS int) AS region", "'red cod 5 g' AS text")
+    found = grounding.ground_cells(cells, regions)
+    assert found.where("grounded").count() == 400
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -8,6 +8,10 @@ from pyspark.sql.window import Window
 
 from dutyweave.functions.text import fold_spaces
 from dutyweave.operators.containment import contained
+from dutyweave.staging import meet
+
+#: Labels that are looked for in every line.
+FEW = 64
 
 
 def capture_fact_lines(lines: DataFrame, labels: DataFrame, value: str, noise: str, quantity: str, placeholder: str) -> DataFrame:
@@ -15,12 +19,21 @@ def capture_fact_lines(lines: DataFrame, labels: DataFrame, value: str, noise: s
 
     A line that holds a label, the longest counts, opens a field; up to `most` of the lines after it that match value and not noise
     belong to it, until the next such line. Other lines of an open field are left out; outside of one, lines with a quantity are
-    facts without a label. Placeholder lines are nothing at all. Of equal facts of a page the first stays.
+    facts without a label. Placeholder lines are nothing at all. Of equal facts of a page the first stays. FEW labels or less are
+    looked for in each line as it is read; of more, lines meet those that they contain.
     """
     l = lines.withColumn("line", fold_spaces(F.col("line"))).where("line <> ''").select("page_id", "pos", "line", F.lower("line").alias("low"))
-    held = contained(l.select(F.col("low").alias("text")), labels.select(F.col("label").alias("needle")))
-    best = held.join(labels, held["needle"] == labels["label"]).groupBy("text").agg(F.max(F.struct(F.length("label").alias("n"), "label", "most")).alias("_l"))
-    l = l.join(best.withColumnRenamed("text", "low"), "low", "left").withColumn("_blank", F.col("low").rlike(placeholder))
+    few = labels.where("label <> ''").select("label", "most").distinct().limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        kind = labels.schema["most"].dataType
+        known = [F.struct(F.lit(len(r.label)).alias("n"), F.lit(r.label).alias("label"), F.lit(r.most).cast(kind).alias("most")) for r in few]
+        known = F.array(*known).cast(f"array<struct<n:int,label:string,most:{kind.simpleString()}>>")
+        l = l.withColumn("_l", F.array_max(F.filter(known, lambda x: F.contains(F.col("low"), x["label"]))))
+    else:
+        held = contained(l.select(F.col("low").alias("text")), labels.select(F.col("label").alias("needle")))
+        best = held.join(labels, held["needle"] == labels["label"]).groupBy("text").agg(F.max(F.struct(F.length("label").alias("n"), "label", "most")).alias("_l"))
+        l = meet(l, best.withColumnRenamed("text", "low"), "low", "left")
+    l = l.withColumn("_blank", F.col("low").rlike(placeholder))
     opens = F.col("_l").isNotNull() & ~F.col("_blank")
     page, field = Window.partitionBy("page_id"), Window.partitionBy("page_id", "_field")
     l = l.withColumn("_field", F.count_if(opens).over(page.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -148,3 +148,15 @@ def test_cells_and_regions_are_not_broadcast(spark):
     assert found.where("grounded").count() == 400
     found.collect()
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_and_many_labels_capture_the_same(spark, monkeypatch):
+    lines = spark.createDataFrame([(1, 0, "Net weight"), (1, 1, "500 g"), (1, 2, "or so"), (2, 0, "7 kg"), (2, 1, "Weight"), (2, 2, "ag")], "page_id int, pos int, line string")
+    labels = spark.createDataFrame([("weight", 1), ("net weight", 2), ("", 3)], "label string, most int")
+    run = lambda: sorted((tuple(r) for r in fact_lines.capture_fact_lines(lines, labels, "[a-z0-9]", "http", "[0-9]", "###").collect()), key=repr)
+    few = run()
+    assert (1, 0, "net weight", "Net weight 500 g or so") in few and (2, 0, None, "7 kg") in few and (2, 1, "weight", "Weight ag") in few
+    plan = fact_lines.capture_fact_lines(lines, labels, "[a-z0-9]", "http", "[0-9]", "###")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    monkeypatch.setattr(fact_lines, "FEW", 0)
+    assert run() == few

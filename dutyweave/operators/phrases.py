@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dutyweave.functions.text import fold_spaces, stem
+from dutyweave.staging import meet
 
 # fixed values: how a label denies, the heads that make a denial a quantity, the words that do if there are no others, and how an optional clause begins and what ends it
 DENIAL = r"(?i)\b(?:other\s+than|excluding|except|does\s+not\s+include|not\s+including|not\s+containing|without|no|not)\s+([a-z][a-z ,\-]{2,60}[a-z]*)"
@@ -63,13 +64,17 @@ def ruling_phrases(rulings: DataFrame, ancestors: DataFrame, most: int = 4) -> D
 
 
 def pair_conditions(words: DataFrame) -> DataFrame:
-    """(code, first, second) of words (family, code, word, leaf): for each code the first pair of its words, rarest first, one of the leaf, that no sibling holds together."""
+    """(code, first, second) of words (family, code, word, leaf): for each code the first pair of its words, rarest first, one of the leaf, that no sibling holds together.
+
+    All joins are of rows that grow with the words, so none is broadcast.
+    """
     held = words.groupBy("family", "word").agg(F.countDistinct("code").alias("n"))
-    w = words.groupBy("family", "code", "word").agg(F.bool_or("leaf").alias("leaf")).join(held, ["family", "word"])
+    w = words.groupBy("family", "code", "word").agg(F.bool_or("leaf").alias("leaf"))
+    w = meet(w, held, ["family", "word"])
     a, b = F.struct("n", "word"), F.struct(F.col("m").alias("n"), F.col("other").alias("word"))
-    pairs = w.join(w.select("family", "code", F.col("word").alias("other"), F.col("leaf").alias("other_leaf"), F.col("n").alias("m")), ["family", "code"]).where((a < b) & (F.col("leaf") | F.col("other_leaf")))
-    alone = w.join(w.select("family", "code", F.col("word").alias("other")), ["family", "code"]).where("word <> other").groupBy("family", "word", "other").agg(F.count(F.lit(1)).alias("holders")).where("holders = 1")
-    free = pairs.join(alone.select("family", "word", "other"), ["family", "word", "other"])
+    pairs = meet(w, w.select("family", "code", F.col("word").alias("other"), F.col("leaf").alias("other_leaf"), F.col("n").alias("m")), ["family", "code"]).where((a < b) & (F.col("leaf") | F.col("other_leaf")))
+    alone = meet(w, w.select("family", "code", F.col("word").alias("other")), ["family", "code"]).where("word <> other").groupBy("family", "word", "other").agg(F.count(F.lit(1)).alias("holders")).where("holders = 1")
+    free = meet(pairs, alone.select("family", "word", "other"), ["family", "word", "other"])
     best = free.groupBy("code").agg(F.min(F.struct("n", "word", "m", "other")).alias("p"))
     return best.select("code", F.col("p.word").alias("first"), F.col("p.other").alias("second"))
 

@@ -7,16 +7,40 @@ field, value), what is known of each product; precedents (product, code).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dutyweave.operators import classify
+from dutyweave.operators.classes import representatives, to_members
 from dutyweave.staging import stage
 
 LEVELS = (4, 6, 8)
 
 
+def alike(survivors: DataFrame, nodes: DataFrame, conditions: DataFrame, facts: DataFrame, precedents: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(survivors, facts, precedents) of one product of each class, and (product, of) of every product.
+
+    Products of a class have the same parents and know the same of what the codes below these ask: which of the values named there,
+    and of a field with other values only that it is answered. The same of these codes have precedents, where they count.
+    """
+    asked = stage(nodes.join(conditions, "code").select("parent", "field", "value").distinct(), "level-asked")
+    near = survivors.join(facts.select("product", "field", "value"), "product").join(asked.select("parent", "field").distinct(), ["parent", "field"])
+    near = near.join(asked.withColumn("_asked", F.lit(True)), ["parent", "field", "value"], "left").select("product", "field", F.when(F.col("_asked"), F.col("value")).alias("value"))
+    rows = survivors.select("product", F.lit("parent").alias("kind"), "parent").unionByName(near.withColumn("kind", F.lit("fact")), allowMissingColumns=True)
+    if precedents is not None:
+        known = survivors.join(precedents.select("product", "code"), "product").join(nodes.select("parent", "code").distinct(), ["parent", "code"]).select("product", "code")
+        rows = rows.unionByName(known.withColumn("kind", F.lit("precedent")), allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("code", F.lit(None).cast("string"))
+    first, members = representatives(rows, "product")
+    first = stage(first, "level-classes")
+    kind = lambda k, *columns: first.where(F.col("kind") == k).select("product", *columns)
+    return kind("parent", "parent"), kind("fact", "field", "value"), kind("precedent", "code"), members
+
+
 def detail_verdicts(candidates: DataFrame, conditions: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows (product, parent, code, residual, row_id, alt_group, field, value, verdict): null where nothing is known of the field, else whether the value is."""
     known = facts.select("product", "field", "value").distinct()
@@ -97,18 +121,38 @@ def level_step(survivors: DataFrame, nodes: DataFrame, conditions: DataFrame, fa
     return result, stage(silent, "level-silent")
 
 
-def classify_levels(starts: DataFrame, nodes: DataFrame, conditions: DataFrame, facts: DataFrame, precedents: DataFrame, levels: tuple[int, ...] = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """(result, silent) of all levels, as level_step has them; products leave at the first level that gives no winner, with their open questions."""
-    survivors, results, silents = starts.select("product", "parent").distinct(), None, None
+def _descend(starts: DataFrame, nodes: DataFrame, conditions: DataFrame, facts: DataFrame, precedents: DataFrame, levels: tuple[int, ...]) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """(result of every product, silent of one product of each class, members) of each level: a level's work is done once for each class."""
+    nodes, conditions = stage(nodes, "level-nodes"), stage(conditions, "level-conditions")
+    survivors, found = stage(starts.select("product", "parent").distinct(), "level-starts"), []
     for level in levels:
-        result, silent = level_step(survivors, nodes, conditions, facts, precedents, level)
-        results = result if results is None else results.unionByName(result)
-        silents = silent if silents is None else silents.unionByName(silent)
+        *one, members = alike(survivors, nodes, conditions, facts, precedents)
+        members = stage(members, "level-members")
+        parents, known, before = one
+        result, silent = level_step(parents, nodes, conditions, known, before, level)
+        result = stage(to_members(result, members, "product"), "level-results")
+        found.append((result, silent, members))
         survivors = result.where("code IS NOT NULL").select("product", F.col("code").alias("parent"))
-    return results, silents
+    return found
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def classify_levels(starts: DataFrame, nodes: DataFrame, conditions: DataFrame, facts: DataFrame, precedents: DataFrame, levels: tuple[int, ...] = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """(result, silent) of all levels, as level_step has them; products leave at the first level that gives no winner, with their open questions."""
+    found = _descend(starts, nodes, conditions, facts, precedents, levels)
+    return _together([result for result, _, _ in found]), _together([to_members(silent, members, "product") for _, silent, members in found])
 
 
 def level_questions(silent: DataFrame, most: int = 8) -> DataFrame:
     """What to ask of products that left: one question a field and value, most at most a product, with the level where it left."""
     asked = classify.questions(silent.select("product", "field", "value"), most)
     return asked.join(silent.select("product", "level").distinct(), "product")
+
+
+def questions_of_levels(starts: DataFrame, nodes: DataFrame, conditions: DataFrame, facts: DataFrame, precedents: DataFrame, levels: tuple[int, ...] = LEVELS, most: int = 8) -> DataFrame:
+    """level_questions of what classify_levels leaves silent; they are chosen once for each class of products."""
+    found = _descend(starts, nodes, conditions, facts, precedents, levels)
+    return _together([to_members(stage(level_questions(silent, most), "level-questions"), members, "product") for _, silent, members in found])

@@ -7,7 +7,9 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 from dutyweave.operators import levels as ops
+from dutyweave.operators.classes import to_members
 from dutyweave.plans import views
+from dutyweave.staging import stage
 
 NODES = """SELECT DISTINCT substr(code10, 1, w) AS code, substr(code10, 1, w - 2) AS parent, substr(code10, w - 1, 2) = '00' AS residual FROM {goods} CROSS JOIN (SELECT 4 AS w UNION ALL SELECT 6 UNION ALL SELECT 8)"""
 CONDITIONS = """SELECT code, row_id, CASE WHEN row_id = 2 AND rep % 2 = 1 THEN '' ELSE 'a' END AS alt_group,
@@ -30,16 +32,25 @@ def inputs(s: SparkSession, d: str) -> list[DataFrame]:
     return [s.sql(views.for_spark(text), **{k: v for k, v in given.items() if "{" + k + "}" in text}) for text in INPUTS.values()]
 
 
-def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _ranked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranked candidates, explicit matches) of one product of each class, and the members of the classes."""
     starts, nodes, conditions, facts, _ = inputs(s, d)
-    candidates = starts.join(nodes, "parent")
-    details = ops.detail_verdicts(candidates, conditions, facts)
-    explicit = ops.explicit_matches(details, nodes, conditions)
-    return ops.rank_candidates(candidates, details, explicit), explicit
+    nodes, conditions = stage(nodes, "level-nodes"), stage(conditions, "level-conditions")
+    parents, known, _, members = ops.alike(starts, nodes, conditions, facts)
+    candidates = stage(parents.join(nodes, "parent"), "level-candidates")
+    details = stage(ops.detail_verdicts(candidates, conditions, known), "level-details")
+    explicit = stage(ops.explicit_matches(details, nodes, conditions), "level-explicit")
+    return ops.rank_candidates(candidates, details, explicit), explicit, members
+
+
+def _explicit(s: SparkSession, d: str) -> DataFrame:
+    _, explicit, members = _ranked(s, d)
+    return to_members(explicit, members, "product")
 
 
 def _promoted(s: SparkSession, d: str) -> DataFrame:
-    return ops.promote_residual(*_ranked(s, d))
+    ranked, explicit, members = _ranked(s, d)
+    return to_members(stage(ops.promote_residual(ranked, explicit), "level-promoted"), members, "product")
 
 
 D_INPUTS = f"{views.WITH_GOODS}, " + ", ".join(f"{name} AS ({views.for_duckdb(text)})" for name, text in INPUTS.items())
@@ -90,7 +101,7 @@ D_RESULT = "SELECT * FROM w4 UNION ALL SELECT * FROM w6 UNION ALL SELECT * FROM
 D_SILENT = " UNION ALL ".join(f"SELECT DISTINCT product, {n} AS level, field, value FROM d{n} WHERE verdict IS NULL AND product IN (SELECT product FROM w{n} WHERE code IS NULL)" for n in ops.LEVELS)
 
 QUERIES = {
-    "explicit_matches": (lambda s, d: _ranked(s, d)[1], f"{D_INPUTS}, {_d_rank('', 'starts')} SELECT * FROM x"),
+    "explicit_matches": (_explicit, f"{D_INPUTS}, {_d_rank('', 'starts')} SELECT * FROM x"),
     "promote_residual": (_promoted, f"{D_INPUTS}, {_d_rank('', 'starts')} SELECT product, parent, code, phase, place FROM p"),
     "classify_levels": (lambda s, d: ops.classify_levels(*inputs(s, d))[0], f"{_d_loop()} {D_RESULT}"),
     "level_questions": (

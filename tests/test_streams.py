@@ -139,3 +139,21 @@ def test_a_met_value_of_the_residual_code_is_no_explicit_match(spark):
     explicit = levels.explicit_matches(details, nodes, conditions)
     got = {(r.product, r.code): r.decision for r in levels.rank_candidates(candidates, details, explicit).collect()}
     assert got[1, "10"] == "undecided" and got[1, "19"] == "confirmed" and got[2, "11"] == "confirmed" and got[2, "10"] == "violated"
+
+
+def test_products_alike_are_worked_out_once(spark, monkeypatch):
+    df, kept, write = spark.createDataFrame, {}, levels.stage
+    monkeypatch.setattr(levels, "stage", lambda rows, label: kept.setdefault(label, []).append(write(rows, label)) or kept[label][-1])
+    nodes = df([("0101", "01", False), ("0102", "01", True)], "code string, parent string, residual boolean")
+    conditions = df([("0101", 1, "", "kind", "fish"), ("0102", 1, "", "kind", "meat")], "code string, row_id int, alt_group string, field string, value string")
+    # values that no code asks, and fields and precedents of other scopes, make no difference
+    facts = df([(p, "kind", ["fish", f"none {p}", "meat", None][p % 4]) for p in range(40)] + [(p, "look", str(p)) for p in range(40)], "product long, field string, value string")
+    starts = df([(p, "01") for p in range(41)], "product long, parent string")
+    before = df([(p, f"99{p:02}") for p in range(40)] + [(40, "0101")], "product long, code string")
+    result, silent = levels.classify_levels(starts, nodes, conditions, facts, before, (4,))
+    assert kept["level-details"][0].count() == 2 * 4  # fish, meat, another kind, nothing known with a precedent
+    got = {r.product: (r.code, r.authority) for r in result.collect()}
+    assert got == {p: [("0101", "confirmed"), (None, "open"), ("0102", "confirmed"), (None, "open")][p % 4] for p in range(40)} | {40: (None, "open")}
+    assert {tuple(r) for r in silent.select("product", "field", "value").collect()} == {(40, "kind", "fish"), (40, "kind", "meat")}
+    asked = levels.questions_of_levels(starts, nodes, conditions, facts, before, (4,)).collect()
+    assert sorted((r.product, r.level, r.value) for r in asked) == [(40, 4, "fish"), (40, 4, "meat")]

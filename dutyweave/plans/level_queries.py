@@ -105,7 +105,7 @@ QUERIES = {
     "promote_residual": (_promoted, f"{D_INPUTS}, {_d_rank('', 'starts')} SELECT product, parent, code, phase, place FROM p"),
     "classify_levels": (lambda s, d: ops.classify_levels(*inputs(s, d))[0], f"{_d_loop()} {D_RESULT}"),
     "level_questions": (
-        lambda s, d: ops.level_questions(ops.classify_levels(*inputs(s, d))[1]),
+        lambda s, d: ops.questions_of_levels(*inputs(s, d)),
         f"""{_d_loop()}, z AS ({D_SILENT}), k AS (SELECT DISTINCT product, level, field, value, sha256('["' || field || '","' || value || '"]') AS question_key FROM z),
         n AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY question_key) AS place FROM k) SELECT * FROM n WHERE place <= 8""",
     ),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dutyweave.operators.binding import polarity
+from dutyweave.staging import stage
 
 # fixed values: the words of a context by what they speak of, words that name no product, and forms that answer for each other
 PROCESSING = ("uncooked", "cooked")
@@ -34,13 +35,19 @@ def _list(words: tuple[str, ...]) -> Column:
 
 
 def context_clauses(labels: DataFrame) -> DataFrame:
-    """(code, clauses) of labels (code, label): what a context asks, as structs (axis, expected, words).
+    """(code, clauses) of labels (code, label), as clauses_of_labels has them; labels of many codes are read once."""
+    said = labels.select("code", F.coalesce("label", F.lit("")).alias("label"))
+    return said.join(clauses_of_labels(said), "label").select("code", "clauses")
+
+
+def clauses_of_labels(labels: DataFrame) -> DataFrame:
+    """(label, clauses) of each distinct label: what a context asks, as structs (axis, expected, words).
 
     One clause for each processing state, one for all preservation states, one for each form (one_of for several that "or" joins,
     none under "whether or not"), one for "otherwise prepared", one for the words left over, which name the product. A label of
     legal words alone asks nothing (no_gate); one without words is empty; one whose words all lapse is open.
     """
-    low = F.lower(F.trim(F.coalesce("label", F.lit(""))))
+    low = F.lower(F.trim("label"))
     words = F.array_distinct(F.regexp_extract_all(F.regexp_replace(low, "-", " "), F.lit("[a-z]+"), F.lit(0)))
     held = lambda ws: F.array_sort(F.array_intersect("words", _list(ws)))
     clause = lambda axis, expected, ws: F.struct(F.lit(axis).alias("axis"), F.lit(expected).alias("expected"), ws.alias("words"))
@@ -50,7 +57,7 @@ def context_clauses(labels: DataFrame) -> DataFrame:
 
     denied = F.array_compact(F.array(*[F.when(F.col("low").rlike(rf"\b(?:not|non|without)[ -]+{f}\b"), f) for f in FORMS]))
     forms = F.when(F.contains(F.col("low"), F.lit("whether or not")), F.array().cast("array<string>")).otherwise(held(FORMS))
-    l = labels.select("code", low.alias("low"), words.alias("words")).withColumn("forms", forms)
+    l = labels.select("label").distinct().select("label", low.alias("low"), words.alias("words")).withColumn("forms", forms)
     l = l.withColumn("plain", F.array_except("forms", denied)).withColumn("denied", F.array_except("forms", "plain"))
     l = l.withColumn("named", F.array_sort(F.array_except("words", _list(PROCESSING + PRESERVATION + FORMS + LEGAL + LEFT_OVER))))
     several = (F.size("plain") > 1) & F.contains(F.col("low"), F.lit(" or "))
@@ -68,7 +75,7 @@ def context_clauses(labels: DataFrame) -> DataFrame:
     asks = F.size(F.array_except("words", _list(LEGAL + LEFT_OVER))) > 0
     l = l.withColumn("found", found)
     clauses = F.when(F.size("words") == 0, alone("empty")).when(~asks, alone("no_gate")).when(F.size("found") == 0, alone("open")).otherwise(F.col("found"))
-    return l.select("code", clauses.alias("clauses"))
+    return stage(l.select("label", clauses.alias("clauses")), "clauses")
 
 
 def product_signs(bound: DataFrame, texts: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -167,12 +174,21 @@ def context_verdicts(asks: DataFrame, labels: DataFrame, signs: DataFrame, taxa:
 
     X if any clause is X; O only if all are O and each was answered by itself, so never by one_of; else SILENCE. taxa (product,
     code, verdict) says how the product's species answers the code's identity, where its own words do not; codes without a label
-    are empty. Clauses stay an array of the row, so asks meet labels and products once each and nothing is expanded.
+    are empty. Clauses stay an array of the row, so asks meet labels and products once each and nothing is expanded; each distinct
+    label is read once, and asks carry its number until they have met their products.
     """
-    known = labels.groupBy("code").agg(F.min("label").alias("label"))
-    species = taxa.groupBy("product", "code").agg(F.when(F.max("verdict") == F.min("verdict"), F.max("verdict")).alias("taxon"))
+    known = labels.groupBy("code").agg(F.min("label").alias("label")).select("code", F.coalesce("label", F.lit("")).alias("label"))
+    clauses = stage(clauses_of_labels(known).withColumn("asked", F.monotonically_increasing_id()), "numbered-clauses")
+    numbers = known.join(clauses.select("label", "asked"), "label").select("code", "asked")
+    # pairs stay narrow until they have met the products; flags, unlike texts, are added up without sorting
+    is_said = lambda v: F.coalesce(F.col("verdict") == v, F.lit(False))
+    said = taxa.where("product IS NOT NULL AND code IS NOT NULL").select("product", "code", is_said("O").alias("o"), is_said("X").alias("x"), F.coalesce(~F.col("verdict").isin("O", "X"), F.lit(False)).alias("other"), F.lit(False).alias("asks"))
+    no = F.lit(False)
+    pairs = asks.select("product", "code", no.alias("o"), no.alias("x"), no.alias("other"), F.lit(True).alias("asks")).unionByName(said)
+    pairs = pairs.groupBy("product", "code").agg(*[F.bool_or(c).alias(c) for c in ("o", "x", "other", "asks")]).where("asks")
+    taxon = F.when(F.col("o") & ~F.col("x") & ~F.col("other"), "O").when(F.col("x") & ~F.col("o") & ~F.col("other"), "X")
     empty = F.array(F.struct(F.lit("branch_context").alias("axis"), F.lit("empty").alias("expected"), F.array().cast("array<string>").alias("words"))).cast(CLAUSES)
-    j = asks.select("product", "code").distinct().join(context_clauses(known), "code", "left").join(species, ["product", "code"], "left").join(signs, "product", "left")
+    j = pairs.select("product", "code", taxon.alias("taxon")).join(numbers, "code", "left").join(signs, "product", "left").join(clauses.select("asked", "clauses"), "asked", "left")
     j = j.withColumn("clauses", F.coalesce("clauses", empty))
     j = j.select("product", "code", F.transform("clauses", _clause).alias("conditions"))
     v = F.transform("conditions", lambda c: c["verdict"])

@@ -112,3 +112,12 @@ def test_no_products_and_no_labels(spark):
     got = context.context_verdicts(asks, none[0], context.product_signs(*none[1:4]), none[4]).collect()
     assert sorted((r.code, r.verdict, r.reason) for r in got) == [("c", "SILENCE", "empty_context"), ("d", "SILENCE", "empty_context")]
     assert context.context_verdicts(asks.limit(0), none[0], context.product_signs(*none[1:4]), none[4]).count() == 0
+
+
+def test_each_label_is_read_once(spark, monkeypatch):
+    kept, write = {}, context.stage
+    monkeypatch.setattr(context, "stage", lambda rows, label: kept.setdefault(label, write(rows, label)))
+    labels = spark.createDataFrame([(i, ["Other", None, "", "Fish, frozen"][i % 4]) for i in range(40)], "code int, label string")
+    got = {r.code: [c.expected if c.axis == "branch_context" else c.axis for c in r.clauses] for r in context.context_clauses(labels).collect()}
+    assert got == {i: [["no_gate"], ["empty"], ["empty"], ["preservation_state", "product_identity"]][i % 4] for i in range(40)}
+    assert kept["clauses"].count() == 3

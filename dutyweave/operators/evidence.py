@@ -29,27 +29,27 @@ def validate_facts(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     The first that holds: no_reference; unknown_reference, one that the product's evidence lacks; quantity_missing, one of the fact's
     that no evidence has; for ingredients no_label_evidence, and outside_section where no label evidence lies in the ingredient
     section; not_supported, where the text is in no evidence, not all of its words are, and not half of them, if it has HALF_FROM or
-    more. Else valid. Facts meet their evidence by reference, words and quantities by equality.
+    more. Else valid. Facts, one row each, meet their evidence once, by reference; words and quantities are compared within the pair.
     """
-    f = facts.select("fact_id", "product", "kind", "text", F.array_distinct(F.filter(F.coalesce("refs", F.array().cast("array<string>")), lambda r: r.isNotNull())).alias("refs"))
-    e = evidence.select("product", "ref", "source", "in_section", F.col("text").alias("said"), F.lit(True).alias("known"))
-    met = f.select("fact_id", "product", "text", F.explode("refs").alias("ref")).join(e, ["product", "ref"], "left")
+    refs = F.array_distinct(F.filter(F.coalesce("refs", F.array().cast("array<string>")), lambda r: r.isNotNull()))
+    f = facts.select("fact_id", "product", "kind", _compact(F.col("text")).alias("own"), _words(F.col("text")).alias("words"), _sizes(F.col("text")).alias("sizes"), refs.alias("refs"))
+    e = evidence.select("product", "ref", "source", "in_section", *[of(F.col("text")).alias(c) for c, of in (("said", _compact), ("said_words", _words), ("said_sizes", _sizes))], F.lit(True).alias("known"))
+    met = f.withColumn("n_refs", F.size("refs")).withColumn("ref", F.explode_outer("refs")).drop("refs").join(e, ["product", "ref"], "left")
+    # of words and quantities only those of the fact itself are collected, so that a group is no larger than the fact
+    met = met.select(
+        "fact_id", "product", "kind", "n_refs", F.size("words").alias("n_words"), F.size("sizes").alias("n_sizes"), "source", "in_section", "known", ((F.col("own") != "") & F.contains("said", "own")).alias("whole"),
+        F.array_intersect("words", "said_words").alias("words"), F.array_intersect("sizes", "said_sizes").alias("sizes"),
+    )
     label = F.coalesce(F.col("source") == "label", F.lit(False))
-    own = _compact(F.col("text"))
-    one = met.groupBy("fact_id").agg(
-        F.bool_or(F.col("known").isNull()).alias("unknown"), F.bool_or(label).alias("label"), F.bool_or(label & F.coalesce("in_section", F.lit(False))).alias("section"),
-        F.bool_or((own != "") & F.contains(_compact(F.col("said")), own)).alias("whole"),
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    j = met.groupBy("fact_id", "product", "kind", "n_refs", "n_words", "n_sizes").agg(
+        F.bool_or(F.col("known").isNull()).alias("unknown"), F.bool_or(label).alias("label"), F.bool_or(label & F.coalesce("in_section", F.lit(False))).alias("section"), F.bool_or("whole").alias("whole"),
+        distinct("words").alias("there"), distinct("sizes").alias("sized"),
     )
-    sizes = f.select("fact_id", F.explode(_sizes(F.col("text"))).alias("size"))
-    lacking = sizes.join(met.select("fact_id", F.explode(_sizes(F.col("said"))).alias("size")).distinct(), ["fact_id", "size"], "left_anti").select("fact_id").distinct().withColumn("lacking", F.lit(True))
-    words = f.select("fact_id", F.explode(_words(F.col("text"))).alias("word"))
-    covered = words.join(met.select("fact_id", F.explode(_words(F.col("said"))).alias("word")).distinct().withColumn("there", F.lit(1)), ["fact_id", "word"], "left")
-    covered = covered.groupBy("fact_id").agg(F.count(F.lit(1)).alias("words"), F.count("there").alias("there"))
-    j = f.join(one, "fact_id", "left").join(lacking, "fact_id", "left").join(covered, "fact_id", "left")
-    enough = F.col("whole") | (F.coalesce("words", F.lit(0)) > 0) & ((F.col("there") == F.col("words")) | (F.col("words") >= HALF_FROM) & (F.col("there") * 2 >= F.col("words")))
+    enough = F.col("whole") | (F.col("n_words") > 0) & ((F.col("there") == F.col("n_words")) | (F.col("n_words") >= HALF_FROM) & (F.col("there") * 2 >= F.col("n_words")))
     ingredient = F.col("kind") == "ingredient"
     verdict = (
-        F.when(F.size("refs") == 0, "no_reference").when(F.col("unknown"), "unknown_reference").when(F.col("lacking"), "quantity_missing").when(ingredient & ~F.col("label"), "no_label_evidence")
+        F.when(F.col("n_refs") == 0, "no_reference").when(F.col("unknown"), "unknown_reference").when(F.col("sized") < F.col("n_sizes"), "quantity_missing").when(ingredient & ~F.col("label"), "no_label_evidence")
         .when(ingredient & ~F.col("section"), "outside_section").when(~F.coalesce(enough, F.lit(False)), "not_supported").otherwise("valid")
     )
     return j.select("fact_id", verdict.alias("verdict"))

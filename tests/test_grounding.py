@@ -160,3 +160,11 @@ def test_few_and_many_labels_capture_the_same(spark, monkeypatch):
     assert "Join" not in plan
     monkeypatch.setattr(fact_lines, "FEW", 0)
     assert run() == few
+
+
+def test_facts_meet_their_evidence_in_one_join(spark):
+    e = spark.createDataFrame([("a", 1, "label", True, "rice 60 g salt"), ("b", 1, "page", False, "tea 60 g 5 kg cake")], "ref string, product int, source string, in_section boolean, text string")
+    f = spark.createDataFrame([(1, 1, "text", "rice tea cake 5 kg 60 g", ["a", "b", "a", None]), (2, 1, "text", "tea 7 kg", ["a", "b"])], "fact_id int, product int, kind string, text string, refs array<string>")
+    found = evidence.validate_facts(f, e)
+    assert {tuple(r) for r in found.collect()} == {(1, "valid"), (2, "quantity_missing")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1

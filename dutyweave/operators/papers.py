@@ -53,23 +53,26 @@ def sheet_entries(cells: DataFrame, most: int = 60, heading_lines: int = 120) ->
     sheets the one with most lines below its heading counts. Component names hold for the lines below; lines without ingredient go;
     percents of forms that never exceed 1 are shares. The first `most` ingredients stay.
     """
-    cells = cells.where(~F.col("sheet").contains(EXAMPLE_SHEET)).withColumn("text", fold_spaces(F.col("text")))
-    low = F.lower("text")
+    cells = cells.where(~F.col("sheet").contains(EXAMPLE_SHEET) & F.col("form").isNotNull()).select("form", "sheet", "line", "pos", fold_spaces(F.col("text")).alias("text"))
+    low, high = F.lower("text"), F.col("line") <= heading_lines
 
     def first(pattern: str, name: str) -> Column:
-        return F.min(F.when(low.rlike(pattern), F.col("pos"))).alias(name)
-
-    heads = cells.where(F.col("line") <= heading_lines).groupBy("form", "sheet", "line").agg(
-        first(COMPONENT_HEADING, "c_component"), first(INGREDIENT_HEADING, "c_ingredient"), first(CONTENT_HEADING, "c_content"), first(ORIGIN_HEADING, "c_origin")
-    )
-    heads = heads.where("c_ingredient IS NOT NULL AND (c_component IS NOT NULL OR c_content IS NOT NULL)")
+        return F.min(F.when(high & low.rlike(pattern), F.col("pos"))).alias(name)
+
+    # cells are shuffled once, by form; lines, sheets and forms are grouped where they then lie
+    lines = cells.repartition("form").groupBy("form", "sheet", "line").agg(
+        first(COMPONENT_HEADING, "c_component"), first(INGREDIENT_HEADING, "c_ingredient"), first(CONTENT_HEADING, "c_content"), first(ORIGIN_HEADING, "c_origin"),
+        F.collect_list(F.struct("pos", "text")).alias("cells"), F.coalesce(F.bool_or(F.col("text") != ""), F.lit(False)).alias("filled"),
+    )
+    sheet, form = Window.partitionBy("form", "sheet"), Window.partitionBy("form")
+    is_head = F.col("c_ingredient").isNotNull() & (F.col("c_component").isNotNull() | F.col("c_content").isNotNull())
     head = F.struct(F.col("c_component").isNull().alias("second"), F.col("line").alias("head"), "c_component", "c_ingredient", "c_content", "c_origin")
-    heads = heads.groupBy("form", "sheet").agg(F.min(head).alias("h")).select("form", "sheet", "h.*")
-    column = {k: F.max(F.when(F.col("pos") == F.col(f"c_{k}"), F.col("text"))).alias(k) for k in ("component", "ingredient", "content", "origin")}
-    lines = cells.join(heads, ["form", "sheet"]).where("line > head").groupBy("form", "sheet", "line").agg(*column.values(), F.bool_or(F.col("text") != "").alias("filled"))
-    chosen = lines.where("filled").groupBy("form", "sheet").agg(F.count(F.lit(1)).alias("n")).groupBy("form").agg(F.min_by("sheet", F.struct(-F.col("n"), "sheet")).alias("sheet"))
-    down = Window.partitionBy("form").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.join(chosen, ["form", "sheet"]).withColumn("component", F.coalesce(F.last(F.nullif("component", F.lit("")), ignorenulls=True).over(down), F.lit("")))
+    lines = lines.select("form", "sheet", "line", "cells", "filled", F.min(F.when(is_head, head)).over(sheet).alias("h")).where("line > h.head")
+    column = lambda k: F.array_max(F.transform(F.filter("cells", lambda c: c["pos"] == F.col(f"h.c_{k}")), lambda c: c["text"])).alias(k)
+    lines = lines.select("form", "sheet", "line", *[column(k) for k in ("component", "ingredient", "content", "origin")], F.count_if("filled").over(sheet).alias("n"))
+    lines = lines.withColumn("chosen", F.min(F.when(F.col("n") > 0, F.struct(-F.col("n"), "sheet"))).over(form)["sheet"]).where("sheet = chosen")
+    down = form.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("component", F.coalesce(F.last(F.nullif("component", F.lit("")), ignorenulls=True).over(down), F.lit("")))
     rows = lines.where("ingredient <> ''").withColumn("order_index", F.row_number().over(Window.partitionBy("form").orderBy("line"))).where(F.col("order_index") <= most)
     rows = rows.withColumn("percent", _number(F.regexp_extract(F.coalesce("content", F.lit("")), SHEET_PERCENT, 1)))
     shares = F.max("percent").over(Window.partitionBy("form")) <= 1

@@ -36,3 +36,11 @@ def test_a_syllable_pair_decides_the_main_ingredient(spark):
 def test_names_to_look_up(spark):
     df = spark.createDataFrame([("[A] 국산 칼국수 2인분 (new) 500g x",), (None,)], "n string").select(votes.looked_up_names(F.col("n")).alias("n"))
     assert [r.n for r in df.collect()] == [["국산 칼국수", "칼국수"], [""]]
+
+
+def test_cells_of_a_sheet_are_shuffled_once(spark):
+    food = [("f", "A", 0, 0, "품명"), ("f", "A", 0, 1, "성분"), ("f", "A", 1, 1, "쌀"), ("f", "B", 0, 0, "구분"), ("f", "B", 0, 1, "Ingredient"), ("f", "B", 1, 1, "a"), ("f", "B", 2, 0, " "), ("f", "B", 2, 1, "b"), ("g", "A", 3, 0, "x"), (None, "A", 0, 1, "성분")]
+    found = papers.sheet_entries(spark.createDataFrame(food, "form string, sheet string, line int, pos int, text string"))
+    assert sorted((r.form, r.order_index, r.ingredient) for r in found.collect()) == [("f", 1, "a"), ("f", 2, "b")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1

@@ -157,3 +157,17 @@ def test_products_alike_are_worked_out_once(spark, monkeypatch):
     assert {tuple(r) for r in silent.select("product", "field", "value").collect()} == {(40, "kind", "fish"), (40, "kind", "meat")}
     asked = levels.questions_of_levels(starts, nodes, conditions, facts, before, (4,)).collect()
     assert sorted((r.product, r.level, r.value) for r in asked) == [(40, 4, "fish"), (40, 4, "meat")]
+
+
+def test_slices_read_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = spark.range(50, numPartitions=2).mapInPandas(counted, "id long")
+    stream = runs.in_slices(rows, "id", most_rows=10)
+    assert read.value == 2 * 50  # for the ends of the range, and to take the rows apart
+    assert sorted(r.id for r in runs.append_to_end(stream).collect()) == list(range(50))

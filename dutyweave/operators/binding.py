@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dutyweave.functions.text import is_residual, stem
+from dutyweave.staging import spread
 
 # fixed values: words and prefixes that deny the word after them, entries that stand for no value
 NEGATIONS = ("no", "not", "without", "non", "un")
@@ -21,10 +22,10 @@ def words_of(text: Column) -> Column:
 
 
 def project_facts(facts: DataFrame, paths: list[str], most: int = 10) -> DataFrame:
-    """Rows (product, path, pos, value, flag) of the listed paths that say something: a usable value or a true flag; at most `most` entries a path."""
+    """Rows (product, path, pos, value, flag) of the listed paths that say something: a usable value or a true flag; at most `most` entries a path, by pos, then value."""
     usable = F.coalesce(F.col("flag"), ~F.lower(F.trim(F.coalesce("value", F.lit("")))).isin(*NO_VALUE))
-    order = Window.partitionBy("product", "path").orderBy("pos")
-    return facts.where(F.col("path").isin(*paths) & usable).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    order = Window.partitionBy("product", "path").orderBy("pos", "value")
+    return spread(facts.where(F.col("path").isin(*paths) & usable), "product", "path").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
 def field_tokens(entries: DataFrame, most: int = 8) -> DataFrame:

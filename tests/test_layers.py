@@ -26,6 +26,17 @@ def test_domain_classes(spark):
     assert counts == {i: sum(x[0] == i for x in want) for i in range(24)}
 
 
+def test_domain_query_has_every_pair(spark):
+    """The query gives every product with every requirement of its codes and domain, not pairs of classes and their members."""
+    from dutyweave.plans import layer_queries
+
+    df = layer_queries.QUERIES["match_domain_requirements"][0](spark, "/root/testdata/sf0.001")
+    assert df.columns == ["product", "requirement"] and "SELECT * FROM dom" in layer_queries.QUERIES["match_domain_requirements"][1]
+    n, distinct, of_all = df.count(), df.distinct().count(), df.where("requirement = 6 AND product % 3 <> 1").count()
+    products = layer_queries._products(spark, "/root/testdata/sf0.001")
+    assert n == distinct and of_all == products.where("domain <> 'feed'").count() > 0
+
+
 def test_gates_are_counted_by_class(spark):
     products = spark.createDataFrame([(i, f"0{i % 2}00000000", ["", "food;sanctions", "sanctions;food", None][i % 4]) for i in range(16)], "product int, code10 string, domains string")
     gates = spark.range(300).select(F.col("id").cast("int").alias("gate_id"), F.lit(True).alias("runtime_gate"), F.expr("CASE id % 2 WHEN 0 THEN 'ALL; 00' ELSE '01' END").alias("chapter_scope"), F.expr("CASE id % 3 WHEN 0 THEN 'food' ELSE 'sanctions' END").alias("domain_scope"), F.lit("food").alias("domain"), F.lit("f").alias("family"), F.lit("t").alias("type"), F.lit("a").alias("action"), (-F.col("id")).cast("int").alias("priority"), F.lit("x").alias("title"))
